@@ -210,13 +210,10 @@ def representatives_near(spark, folder):
 
 @query
 def luma_cells(spark, folder):
-    grid = luma_grid(F.col("width"), F.col("height"), F.col("channels"), F.col("pixels"))
-    cells = rasters(spark, folder).select("img_id", F.posexplode(grid).alias("cell", "luma"))
-    return cells.select(
-        "img_id",
-        F.call_function("div", "cell", F.lit(GRID_WIDTH)).alias("gy"),
-        (F.col("cell") % GRID_WIDTH).cast("bigint").alias("gx"),
-        "luma",
+    grid = luma_grid("width", "height", "channels", "pixels")
+    cells = rasters(spark, folder).selectExpr("img_id", f"posexplode({grid}) as (cell, luma)")
+    return cells.selectExpr(
+        "img_id", f"cell div {GRID_WIDTH} as gy", f"cast(cell % {GRID_WIDTH} as bigint) as gx", "luma"
     )
 
 

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -17,21 +16,6 @@ GRID_WIDTH, GRID_HEIGHT = 9, 8
 RED, GREEN, BLUE, SCALE = 299, 587, 114, 1000
 
 
-def luma(red: Column, green: Column, blue: Column) -> Column:
-    return _div(red * RED + green * GREEN + blue * BLUE, F.lit(SCALE))
-
-
-def _div(a: Column, b: Column) -> Column:
-    return F.call_function("div", a, b)
-
-
-def cell_bounds(position: Column, extent: Column, cells: int) -> tuple[Column, Column]:
-    """First pixel and end pixel (exclusive) of a grid cell; never empty, even in tiny images."""
-    start = _div(position * extent, F.lit(cells)).cast("int")
-    end = _div((position + 1) * extent, F.lit(cells)).cast("int")
-    return start, F.least(extent, F.greatest(end, start + 1))
-
-
 # --- numpy form, for real images -------------------------------------------------------
 
 
@@ -97,61 +81,45 @@ def dhash_bgr(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series
 # --- expression form, for pixel arrays -------------------------------------------------
 
 
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def luma_grid(width: Column, height: Column, channels: Column, pixels: Column) -> Column:
-    """The 72 cell means, row by row, of an ARRAY<INT> raster, without leaving the row."""
-
-    def brightness(i: Column) -> Column:
-        def at(offset: int) -> Column:
-            return F.get(pixels, i * channels + offset)
-
-        gray = channels < 3
-        return luma(at(0), F.when(gray, at(0)).otherwise(at(1)), F.when(gray, at(0)).otherwise(at(2)))
-
-    def grid(bright: Column) -> Column:
-        def cell(c: Column) -> Column:
-            x0, x1 = cell_bounds(c % GRID_WIDTH, width, GRID_WIDTH)
-            y0, y1 = cell_bounds(_div(c, F.lit(GRID_WIDTH)), height, GRID_HEIGHT)
-            row_sums = F.transform(
-                F.sequence(y0, y1 - 1),
-                lambda y: _total(F.slice(bright, (y * width + x0 + 1).cast("int"), x1 - x0)),
-            )
-            return _div(_total(row_sums), ((x1 - x0) * (y1 - y0)).cast("bigint"))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(GRID_WIDTH * GRID_HEIGHT - 1)), cell)
-
-    bright = F.transform(F.sequence(F.lit(0), width * height - 1), brightness)
-    return _bind(bright, grid)
-
-
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda total, value: total + value)
-
-
-def grid_bits(grid: Column) -> Column:
-    """Bit k, for the k-th of the 8 x 8 left neighbours, is set where it is darker than the cell to its right."""
-
-    def collect(cells: Column) -> Column:
-        def add(bits: Column, k: Column) -> Column:
-            left = (k + _div(k, F.lit(GRID_WIDTH - 1))).cast("int")
-            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
-            return F.when(F.get(cells, left) < F.get(cells, left + 1), bits.bitwiseOR(bit)).otherwise(bits)
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit((GRID_WIDTH - 1) * GRID_HEIGHT - 1)), F.lit(0).cast("bigint"), add)
-
-    return _bind(grid, collect)
-
-
-def dhash_of_pixels(width: Column, height: Column, channels: Column, pixels: Column) -> Column:
-    """Difference hash of an ARRAY<INT> raster; 0 for an empty one, null without pixels."""
-    empty = (width <= 0) | (height <= 0) | (channels <= 0) | (F.size(pixels) == 0)
-    return F.when(pixels.isNull(), F.lit(None).cast("bigint")).when(empty, F.lit(0).cast("bigint")).otherwise(
-        grid_bits(luma_grid(width, height, channels, pixels))
-    )
+def luma_grid(width: str, height: str, channels: str, pixels: str) -> str:
+    """SQL for the 72 cell means, row by row, of an ARRAY<INT> raster, without leaving the row.
+
+    A cell is never empty: in images narrower or lower than the grid, cells share pixels.
+    ``transform(array(x), y -> ...)[0]`` computes ``x`` once for many uses.
+    """
+    gray = f"{channels} < 3"
+    red = f"get({pixels}, i * {channels})"
+    green = f"if({gray}, {red}, get({pixels}, i * {channels} + 1))"
+    blue = f"if({gray}, {red}, get({pixels}, i * {channels} + 2))"
+    bright = f"""transform(sequence(0, {width} * {height} - 1),
+        i -> ({RED} * {red} + {GREEN} * {green} + {BLUE} * {blue}) div {SCALE})"""
+    bounds = f"""array(struct(
+        cast((c % {GRID_WIDTH}) * {width} div {GRID_WIDTH} as int) as x0,
+        cast((c % {GRID_WIDTH} + 1) * {width} div {GRID_WIDTH} as int) as x1,
+        cast((c div {GRID_WIDTH}) * {height} div {GRID_HEIGHT} as int) as y0,
+        cast((c div {GRID_WIDTH} + 1) * {height} div {GRID_HEIGHT} as int) as y1))"""
+    some = f"""array(struct(b.x0 as x, least({width}, greatest(b.x1, b.x0 + 1)) - b.x0 as w,
+        b.y0 as y, least({height}, greatest(b.y1, b.y0 + 1)) - b.y0 as h))"""
+    row_sum = f"aggregate(slice(light, r * {width} + s.x + 1, s.w), 0L, (t, v) -> t + v)"
+    mean = f"aggregate(sequence(s.y, s.y + s.h - 1), 0L, (total, r) -> total + {row_sum}) div (s.w * s.h)"
+    cell = f"transform({bounds}, b -> transform({some}, s -> {mean})[0])[0]"
+    cells = f"transform(sequence(0, {GRID_WIDTH * GRID_HEIGHT - 1}), c -> {cell})"
+    return f"transform(array({bright}), light -> {cells})[0]"
+
+
+def grid_bits(grid: str) -> str:
+    """SQL: bit k, for the k-th of the 8 x 8 left neighbours, is set where the cell to its right is brighter."""
+    step = f"cast(k + k div {GRID_WIDTH - 1} as int)"
+    bits = f"""aggregate(sequence(0, {(GRID_WIDTH - 1) * GRID_HEIGHT - 1}), 0L, (bits, k) ->
+        if(get(g, {step}) < get(g, {step} + 1), bits | shiftleft(1L, k), bits))"""
+    return f"transform(array({grid}), g -> {bits})[0]"
+
+
+def dhash_of_pixels(width: str, height: str, channels: str, pixels: str) -> str:
+    """SQL for the difference hash of an ARRAY<INT> raster; 0 for an empty one, null without pixels."""
+    return f"""case when {pixels} is null then null
+        when {width} <= 0 or {height} <= 0 or {channels} <= 0 or size({pixels}) = 0 then 0L
+        else {grid_bits(luma_grid(width, height, channels, pixels))} end"""
 
 
 # Executors need numpy and pandas only: the functions travel with the job.

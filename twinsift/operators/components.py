@@ -10,52 +10,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.skew import join_groups
-from twinsift.staging import stage
+from twinsift.skew import with_aggregates
+from twinsift.staging import stage_counted
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """``(node, component)`` for every node of an edge; the component is its smallest node."""
-    pairs = edges.select(
-        F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")
-    ).where("u > v").distinct()
-    pairs, before = _settle(pairs)
-    while True:
-        pairs, after = _settle(_small_star(_large_star(pairs, before[0]), before[0]))
-        if after == before:
-            break
-        before = after
-    leaves = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u > v")
+    pairs, n = stage_counted(pairs, "edges")
+    while not _all_stars(pairs):
+        pairs, n = stage_counted(_small_star(_large_star(pairs, n), n), "edges")
+    leaves = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _settle(pairs: DataFrame) -> tuple[DataFrame, tuple]:
-    """Stage the edges; also their number and a checksum, by which a stable set is recognised."""
-    pairs = stage(pairs, "edges")
-    row = pairs.agg(
-        F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("u", "v")).alias("x"),
-        F.sum(F.xxhash64("v", "u").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))).alias("s"),
-    ).first()
-    return pairs, (row.n, row.x, row.s)
+def _all_stars(pairs: DataFrame) -> bool:
+    """Whether every node is either a centre or tied to exactly one centre."""
+    ends = pairs.selectExpr("u as node", "v as centre").unionByName(pairs.selectExpr("v as node", "v as centre"))
+    mixed = ends.groupBy("node").agg(F.min("centre").alias("low"), F.max("centre").alias("high")).where("low <> high")
+    return mixed.agg(F.count("*").alias("n")).first().n == 0
 
 
 def _large_star(pairs: DataFrame, n: int) -> DataFrame:
     """Tie each node's larger neighbours to the smallest of the node and its neighbours."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = both.groupBy("u").agg(
-        F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("degree")
-    )
-    joined = join_groups(both, lowest, ["u"], "degree", 2 * n)
-    return joined.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    joined = with_aggregates(both, ["u"], {"low": F.min("v")}, 2 * n)
+    return joined.where("v > u").select(F.col("v").alias("u"), F.least("low", "u").alias("v"))
 
 
 def _small_star(pairs: DataFrame, n: int) -> DataFrame:
     """Tie each node and its smaller neighbours to the smallest of them."""
-    lowest = pairs.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree"))
-    joined = join_groups(pairs, lowest, ["u"], "degree", n)
-    own = joined.select("u", F.col("low").alias("v"))
-    others = joined.select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return own.unionByName(others).where("u > v").distinct()
+    joined = with_aggregates(pairs, ["u"], {"low": F.min("v")}, n)
+    own = F.struct(F.col("u"), F.col("low").alias("v"))
+    other = F.struct(F.col("v").alias("u"), F.col("low").alias("v"))
+    return joined.select(F.explode(F.array(own, other)).alias("e")).select("e.u", "e.v").where("u > v").distinct()

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.content import digest, files_identical, fingerprint
-from twinsift.operators.ordering import keeper_path
-from twinsift.skew import join_groups, number_rows
-from twinsift.staging import broadcast_rows, small_side, stage
+from twinsift.operators.ordering import keeper
+from twinsift.skew import join_groups, number_rows, with_aggregates
+from twinsift.staging import broadcast_rows, small_side, stage, stage_counted
 
 DIGEST_KEY = ["size", "fingerprint", "digest"]
 CONTENT_KEY = ["size", "fingerprint", "content"]
@@ -41,8 +41,7 @@ def size_buckets(files: DataFrame) -> DataFrame:
 
 def dup_size_candidates(files: DataFrame) -> DataFrame:
     """Files whose size occurs more than once, with the size of their bucket as ``n_files``."""
-    repeated = size_buckets(files).where("n_files > 1")
-    return join_groups(files, repeated, ["size"], "n_files", files.count())
+    return with_aggregates(files, ["size"], {}, files.count(), "n_files").where("n_files > 1")
 
 
 def fingerprint_table(
@@ -57,22 +56,18 @@ def fingerprint_table(
     return files.where(content.isNotNull()).select(*kept, *added)
 
 
-def groups_of(keyed: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
-    """Groups with more than one member: the keys, ``n_members``, ``group_id`` and ``more`` aggregates."""
-    return (
-        keyed.groupBy(*keys)
-        .agg(F.count("*").alias("n_members"), F.min("path").alias("group_id"), *more)
-        .where("n_members > 1")
-    )
-
-
 def exact_groups(files: DataFrame, verify: str = "sha256") -> DataFrame:
     """``(group_id, size, n_members, wasted_bytes)``, one row per set of identical files.
 
     One scan and one shuffle of narrow rows; copies of one file combine before the shuffle.
     """
     if verify == "sha256":
-        groups = groups_of(fingerprint_table(files), DIGEST_KEY)
+        groups = (
+            fingerprint_table(files)
+            .groupBy(*DIGEST_KEY)
+            .agg(F.count("*").alias("n_members"), F.min("path").alias("group_id"))
+            .where("n_members > 1")
+        )
     else:
         groups = (
             exact_members(files, verify)
@@ -97,23 +92,28 @@ def exact_members(
     """
     if verify not in ("sha256", "bytes"):
         raise ValueError(f"verify must be 'sha256' or 'bytes', not {verify!r}")
-    keyed = stage(fingerprint_table(files, verify == "sha256", make_fingerprint), "fingerprints")
-    total = keyed.count()
-    more = [keeper_path(keyed, strategy, mtime).alias("keeper")] if strategy else []
+    keyed, total = stage_counted(
+        fingerprint_table(files, verify == "sha256", make_fingerprint), "fingerprints"
+    )
+    facts = {"group_id": F.min("path")}
+    if strategy:
+        facts["keeper"] = keeper(keyed, strategy, mtime)
     if verify == "sha256":
-        groups = groups_of(keyed, DIGEST_KEY, *more)
-        return _members(keyed, groups, DIGEST_KEY, total)
-    return _verify_bytes(files, keyed, more, total, make_fingerprint)
+        return _grouped(keyed, DIGEST_KEY, facts, total)
+    return _verify_bytes(files, keyed, facts, total, make_fingerprint)
 
 
-def _members(keyed: DataFrame, groups: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
-    carried = [c for c in groups.columns if c not in keys]
+def _grouped(keyed: DataFrame, keys: Sequence[str], facts: dict[str, Column], total: int) -> DataFrame:
+    """Rows whose keys occur more than once, with the facts of their group."""
     own = [c for c in keyed.columns if c not in ("fingerprint", "digest", "content")]
-    return join_groups(keyed, groups, keys, "n_members", total).select("group_id", *[c for c in carried if c != "group_id"], *own)
+    attached = with_aggregates(keyed, keys, facts, total, "n_members").where("n_members > 1")
+    if "keeper" in facts:
+        attached = attached.withColumn("keeper", F.col("keeper.path"))
+    return attached.select("group_id", "n_members", *[c for c in facts if c != "group_id"], *own)
 
 
 def _verify_bytes(
-    files: DataFrame, keyed: DataFrame, more: list[Column], total: int, make_fingerprint
+    files: DataFrame, keyed: DataFrame, facts: dict[str, Column], total: int, make_fingerprint
 ) -> DataFrame:
     """Groups by content within each repeated (size, fingerprint).
 
@@ -122,44 +122,38 @@ def _verify_bytes(
     fingerprint collision (normally none) are regrouped by the content itself.
     """
     bucket = ["size", "fingerprint"]
-    buckets = stage(groups_of(keyed, bucket, *more), "buckets")
-    n_buckets = buckets.count()
+    repeated = keyed.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").select(*bucket)
+    repeated, n_repeated = stage_counted(repeated, "buckets")
     wide = files.where(F.col("content").isNotNull()).withColumn(
         "fingerprint", make_fingerprint(F.col("content"))
     )
-    if n_buckets <= broadcast_rows(files.sparkSession):
-        wide = wide.join(F.broadcast(buckets.select(bucket)), bucket, "left_semi")
-    variants = stage(
-        wide.select(CONTENT_KEY).distinct().groupBy(bucket).agg(F.count("*").alias("variants")),
-        "variants",
+    if n_repeated <= broadcast_rows(files.sparkSession):
+        candidates = wide.join(F.broadcast(repeated), bucket, "left_semi")
+    else:  # too many to send everywhere: unique contents are counted along
+        candidates = wide
+    mixed = (
+        candidates.select(*CONTENT_KEY).distinct()
+        .groupBy(*bucket).agg(F.count("*").alias("variants")).where("variants > 1").select(*bucket)
     )
-    mixed = variants.where("variants > 1")
-    n_mixed = mixed.count()
+    mixed, n_mixed = stage_counted(mixed, "collisions")
     if n_mixed == 0:
-        return _members(keyed, buckets, bucket, total)
-    one_content = buckets.join(small_side(mixed, n_mixed), bucket, "left_anti")
-    collided = wide.join(small_side(mixed, n_mixed), bucket, "left_semi")
-    regrouped = groups_of(collided, CONTENT_KEY, *more)
-    return _members(keyed, one_content, bucket, total).unionByName(
-        _members(collided, regrouped, CONTENT_KEY, total)
-    )
+        return _grouped(keyed, bucket, facts, total)
+    listed = small_side(mixed, n_mixed)
+    clean = _grouped(keyed.join(listed, bucket, "left_anti"), bucket, facts, total)
+    collided = _grouped(wide.join(listed, bucket, "left_semi"), CONTENT_KEY, facts, total)
+    return clean.unionByName(collided)
 
 
 def identical_to_first(files: DataFrame) -> DataFrame:
     """``(path, first_path, identical)``: each file against the first file of its size bucket."""
-    keyed = stage(fingerprint_table(files), "fingerprints")
-    first = F.min(F.struct("path", "digest"))
-    heads = (
-        keyed.groupBy("size")
-        .agg(F.count("*").alias("n_files"), first["path"].alias("first_path"), first["digest"].alias("first_digest"))
-        .where("n_files > 1")
-    )
-    pairs = join_groups(keyed, heads, ["size"], "n_files", keyed.count())
+    keyed, total = stage_counted(fingerprint_table(files), "fingerprints")
+    head = {"first": F.min(F.struct("path", "digest"))}
+    pairs = with_aggregates(keyed, ["size"], head, total, "n_files").where("n_files > 1")
     same = files_identical(
         F.col("path"), F.col("size"), F.col("digest"),
-        F.col("first_path"), F.col("size"), F.col("first_digest"),
+        F.col("first.path"), F.col("size"), F.col("first.digest"),
     )
-    return pairs.select("path", "first_path", same.alias("identical"))
+    return pairs.select("path", F.col("first.path").alias("first_path"), same.alias("identical"))
 
 
 def rank_members(members: DataFrame, total: int | None = None) -> DataFrame:
@@ -169,8 +163,7 @@ def rank_members(members: DataFrame, total: int | None = None) -> DataFrame:
     number of files will do); otherwise the members are staged and counted.
     """
     if total is None:
-        members = stage(members, "members")
-        total = members.count()
+        members, total = stage_counted(members, "members")
     return number_rows(members, ["group_id"], ["path"], "member_rank", total, "n_members")
 
 

@@ -15,12 +15,12 @@ from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.bits import hamming
 from twinsift.skew import HOT_SHARE
-from twinsift.staging import hot_pairs, small_side, stage
+from twinsift.staging import hot_pairs, small_side, stage, stage_counted
 
 BITS = 64
 BLOCK_TAG = 40  # a probe is (block number << BLOCK_TAG) | block value
@@ -89,34 +89,30 @@ def plan_blocks(n: int, threshold: int, regions: list[tuple[int, int]] | None =
     return best
 
 
-def spread_bits(value: Column) -> Column:
-    """The bits of a hash in an order that puts neighbouring image rows into different blocks.
+def spread_bits(value: str) -> str:
+    """SQL for the bits of a hash in an order that puts neighbouring image rows into different blocks.
 
     Flat image regions make whole runs of bits equal in many images; spread out, they no
     longer fill a block. Distances do not change under a reordering of bits.
     """
     # 25 and 64 have no common factor, so i -> 25 * i mod 64 reaches every place once.
-    out = F.lit(0).cast("bigint")
-    for i in range(BITS):
-        bit = F.shiftrightunsigned(value, i).bitwiseAND(F.lit(1).cast("bigint"))
-        out = out.bitwiseOR(F.shiftleft(bit, 25 * i % BITS))
-    return out
+    moved = [f"shiftleft(shiftrightunsigned({value}, {i}) & 1L, {25 * i % BITS})" for i in range(BITS)]
+    return " | ".join(moved)
 
 
-def _longs(values: list[int]) -> Column:
-    """A constant ARRAY<BIGINT>; passed as text, since thousands of literals are slow to build."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def _longs(values: list[int]) -> str:
+    """SQL for a constant ARRAY<BIGINT>; as text, since thousands of literals are slow to parse."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)"
 
 
 def _flips(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
 
 
-def _by_block(blocks: list[Block], value) -> list[int]:
-    table = [0] * (max(b.number for b in blocks) + 1)
-    for b in blocks:
-        table[b.number] = value(b)
-    return table
+def _table(blocks: list[Block], value) -> str:
+    """SQL for the array of a value per block, by block number."""
+    table = {b.number: value(b) for b in blocks}
+    return "array(" + ", ".join(f"{table.get(i, 0)}L" for i in range(max(table) + 1)) + ")"
 
 
 def _probes(rows: DataFrame, blocks: list[Block], side: str, out: str) -> DataFrame:
@@ -124,58 +120,49 @@ def _probes(rows: DataFrame, blocks: list[Block], side: str, out: str) -> DataFr
     offers = [
         (b.number << BLOCK_TAG) | flip for b in blocks for flip in _flips(b.width, getattr(b, side))
     ]
-    number = F.shiftright("_offer", BLOCK_TAG).cast("int")
-    value = _block_value(F.col("_bits"), number, blocks)
-    return rows.withColumn("_offer", F.explode(_longs(offers))).withColumn(
-        out, F.col("_offer").bitwiseXOR(value)
-    ).drop("_offer")
+    own = _block_value("_bits", f"shiftright(_offer, {BLOCK_TAG})", blocks)
+    offered = rows.selectExpr("*", f"explode({_longs(offers)}) as _offer")
+    return offered.selectExpr(*rows.columns, f"_offer ^ ({own}) as {out}")
 
 
-def _block_value(bits: Column, number: Column, blocks: list[Block]) -> Column:
-    shift = F.get(_longs(_by_block(blocks, lambda b: b.shift)), number).cast("int")
-    mask = F.get(_longs(_by_block(blocks, lambda b: (1 << b.width) - 1)), number)
-    return F.call_function("shiftrightunsigned", bits, shift).bitwiseAND(mask)
+def _block_value(bits: str, number: str, blocks: list[Block]) -> str:
+    shift, mask = _table(blocks, lambda b: b.shift), _table(blocks, lambda b: (1 << b.width) - 1)
+    number = f"cast({number} as int)"
+    return f"(shiftrightunsigned({bits}, cast(get({shift}, {number}) as int)) & get({mask}, {number}))"
 
 
-def _is_first_meeting(key: Column, a: Column, b: Column, blocks: list[Block]) -> Column:
-    """True for exactly one of the keys at which a pair meets.
+def _first_meetings(met: DataFrame, key: str, blocks: list[Block]) -> DataFrame:
+    """Keep a pair at exactly one of the keys at which it meets.
 
     That is the first block within its radius, at the value reached when the left side
     flips the lowest differing bits and leaves the rest to the right side.
     """
-    number = F.shiftright(key, BLOCK_TAG).cast("int")
-    differ = a.bitwiseXOR(b)
-    earlier = F.lit(True)
-    for block in blocks:
-        within = F.bit_count(_part(differ, block)) <= block.radius
-        earlier = earlier & ((number <= block.number) | ~within)
-    here = _block_value(differ, number, blocks)
-    mask = F.lit((1 << BLOCK_TAG) - 1).cast("bigint")
-    flipped = key.bitwiseAND(mask).bitwiseXOR(_block_value(a, number, blocks))
-    rest = here.bitwiseXOR(flipped)
-    left = F.get(_longs(_by_block(blocks, lambda x: x.left)), number)
-    lowest = rest.bitwiseAND(-rest)
-    return (
-        earlier
-        & (F.bit_count(flipped) == F.least(left, F.bit_count(here).cast("bigint")))
-        & (flipped.bitwiseAND(here) == flipped)
-        & ((rest == 0) | (flipped < lowest))
+    number = f"shiftright({key}, {BLOCK_TAG})"
+    earlier = [
+        f"({number} <= {b.number} or bit_count(shiftrightunsigned(_a ^ _b, {b.shift}) & {(1 << b.width) - 1}L) > {b.radius})"
+        for b in blocks
+    ]
+    left = f"get({_table(blocks, lambda b: b.left)}, cast({number} as int))"
+    parts = met.where(" and ".join(earlier)).selectExpr(
+        *met.columns,
+        f"{_block_value('_a ^ _b', number, blocks)} as _here",
+        f"({key} & {(1 << BLOCK_TAG) - 1}L) ^ {_block_value('_a', number, blocks)} as _flipped",
+        f"{left} as _left",
     )
-
-
-def _part(bits: Column, block: Block) -> Column:
-    mask = F.lit((1 << block.width) - 1).cast("bigint")
-    return F.shiftrightunsigned(bits, block.shift).bitwiseAND(mask)
+    return parts.where(
+        """bit_count(_flipped) = least(_left, bit_count(_here)) and (_flipped & _here) = _flipped
+        and (_here = _flipped or _flipped < ((_here ^ _flipped) & -(_here ^ _flipped)))"""
+    ).select(*met.columns)
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     """Pairs (a < b) that share the keys and are within the threshold."""
-    l = left.select(*keys, F.col("hash").alias("a"), F.col("_bits").alias("_a"), F.col("_class").alias("_ca"))
-    r = right.select(*keys, F.col("hash").alias("b"), F.col("_bits").alias("_b"), F.col("_class").alias("_cb"))
+    left = left.selectExpr(*keys, "hash as a", "_bits as _a", "_class as _ca")
+    right = right.selectExpr(*keys, "hash as b", "_bits as _b", "_class as _cb")
     # A sort-merge join: the optimizer does not see how far the probes multiply the rows.
-    met = l.hint("merge").join(r, keys)
-    apart = F.col("_ca").isNull() | F.col("_cb").isNull() | (F.col("_ca") != F.col("_cb"))
-    return met.where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold) & apart)
+    return left.hint("merge").join(right, keys).where(
+        f"a < b and bit_count(a ^ b) <= {threshold} and (_ca is null or _cb is null or _ca <> _cb)"
+    )
 
 
 def hamming_pairs(hashes: DataFrame, threshold: int, linked: bool = False) -> DataFrame:
@@ -188,27 +175,25 @@ def hamming_pairs(hashes: DataFrame, threshold: int, linked: bool = False) -> Da
     if threshold < 0:
         return hashes.select(F.col("hash").alias("a"), F.col("hash").alias("b")).where(F.lit(False))
     spark = hashes.sparkSession
-    hashes = stage(hashes.select("hash", spread_bits(F.col("hash")).alias("_bits")), "hashes")
-    n = hashes.count()
+    hashes, n = stage_counted(hashes.selectExpr("hash", f"{spread_bits('hash')} as _bits"), "hashes")
     threshold = min(threshold, BITS)
     blocks = plan_blocks(n, min(threshold, BITS - 1))
-    plain = hashes.withColumn("_class", F.lit(None).cast("bigint"))
+    plain = hashes.selectExpr("*", "cast(null as bigint) as _class")
     if threshold == BITS:  # every pair is near: tie all to the smallest
         if not linked:
             raise ValueError("a threshold of 64 or more pairs everything; ask for a smaller one")
         smallest = hashes.agg(F.min("hash").alias("a"))
         return hashes.join(F.broadcast(smallest), F.col("hash") > F.col("a")).select("a", F.col("hash").alias("b"))
     if n * n <= hot_pairs(spark):  # no bucket can be hot
-        return _first_meetings(_meet(*_sides(plain, blocks), ["_key"], threshold), blocks).select("a", "b")
+        return _first_meetings(_meet(*_sides(plain, blocks), ["_key"], threshold), "_key", blocks).select("a", "b")
 
-    hot = stage(_hot_keys(plain, blocks, hot_pairs(spark)), "hot-keys")
-    n_hot = hot.count()
+    hot, n_hot = stage_counted(_hot_keys(plain, blocks, hot_pairs(spark)), "hot-keys")
     if n_hot == 0:
-        return _first_meetings(_meet(*_sides(plain, blocks), ["_key"], threshold), blocks).select("a", "b")
+        return _first_meetings(_meet(*_sides(plain, blocks), ["_key"], threshold), "_key", blocks).select("a", "b")
     star, classed = None, plain
     if linked:
         centres = _centres(plain, blocks, n)
-        classed = stage(plain.withColumn("_class", _nearest(F.col("hash"), centres, threshold)), "classes")
+        classed = stage(hashes.selectExpr("*", f"{_nearest('hash', centres, threshold)} as _class"), "classes")
         star = classed.where("_class is not null and _class <> hash").select(
             F.least("hash", "_class").alias("a"), F.greatest("hash", "_class").alias("b")
         )
@@ -217,7 +202,7 @@ def hamming_pairs(hashes: DataFrame, threshold: int, linked: bool = False) -> Da
     cold = _meet(
         left.join(keys_only, "_key", "left_anti"), right.join(keys_only, "_key", "left_anti"), ["_key"], threshold
     )
-    pairs = _first_meetings(cold, blocks).select("a", "b")
+    pairs = _first_meetings(cold, "_key", blocks).select("a", "b")
     refined = _refined(
         left.join(keys_only, "_key"), right.join(keys_only, "_key"), blocks, hot, n_hot, threshold, linked
     )
@@ -229,10 +214,6 @@ def _sides(hashes: DataFrame, blocks: list[Block]) -> tuple[DataFrame, DataFrame
     return _probes(hashes, blocks, "left", "_key"), _probes(hashes, blocks, "right", "_key")
 
 
-def _first_meetings(met: DataFrame, blocks: list[Block]) -> DataFrame:
-    return met.where(_is_first_meeting(F.col("_key"), F.col("_a"), F.col("_b"), blocks))
-
-
 def _hot_keys(hashes: DataFrame, blocks: list[Block], limit: int) -> DataFrame:
     """Keys at which more than ``limit`` pairs would meet: ``(_key, pairs, size)``.
 
@@ -246,8 +227,8 @@ def _hot_keys(hashes: DataFrame, blocks: list[Block], limit: int) -> DataFrame:
         parts = []
         for b in blocks:
             mine = values.where(F.shiftright("_value", BLOCK_TAG) == b.number)
-            near = mine.withColumn("_flip", F.explode(_longs(_flips(b.width, getattr(b, side)))))
-            parts.append(near.select(F.col("_value").bitwiseXOR(F.col("_flip")).alias("_key"), "_n"))
+            near = mine.selectExpr("*", f"explode({_longs(_flips(b.width, getattr(b, side)))}) as _flip")
+            parts.append(near.selectExpr("_value ^ _flip as _key", "_n"))
         together = parts[0]
         for part in parts[1:]:
             together = together.unionByName(part)
@@ -279,10 +260,7 @@ def _refined(
             met = _across_classes(l, r, hot, n_hot, threshold)
         else:
             met = _meet(l, r, ["_key", "_finer"], threshold)
-        once = met.where(
-            _is_first_meeting(F.col("_key"), F.col("_a"), F.col("_b"), blocks)
-            & _is_first_meeting(F.col("_finer"), F.col("_a"), F.col("_b"), finer)
-        ).select("a", "b")
+        once = _first_meetings(_first_meetings(met, "_key", blocks), "_finer", finer).select("a", "b")
         out = once if out is None else out.unionByName(once)
     return out
 
@@ -310,25 +288,18 @@ def _centres(hashes: DataFrame, blocks: list[Block], n: int) -> list[int]:
     big = max(2, len(blocks) * n // HOT_SHARE)  # fewer than HOT_SHARE buckets are larger
     counts = valued.groupBy("_value").agg(
         F.count("*").alias("_n"),
-        *[F.sum(F.shiftrightunsigned("hash", i).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"_s{i}") for i in range(BITS)],
+        *[F.expr(f"sum(shiftrightunsigned(hash, {i}) & 1L) as _s{i}") for i in range(BITS)],
     ).where(F.col("_n") > big)
-    middle = F.lit(0).cast("bigint")
-    for i in range(BITS):
-        one = (1 << i) - (1 << BITS) if i == BITS - 1 else 1 << i
-        middle = middle.bitwiseOR(
-            F.when(F.col(f"_s{i}") * 2 > F.col("_n"), F.lit(one).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        )
-    middles = stage(counts.select("_value", middle.alias("_middle")), "middles")
+    middle = " | ".join(f"if(_s{i} * 2 > _n, shiftleft(1L, {i}), 0L)" for i in range(BITS))
+    middles = stage(counts.selectExpr("_value", f"{middle} as _middle"), "middles")
     nearest = F.min(F.struct(hamming(F.col("hash"), F.col("_middle")).alias("d"), F.col("hash")))["hash"]
     centres = valued.join(F.broadcast(middles), "_value").groupBy("_value").agg(nearest.alias("centre"))
     return sorted(row.centre for row in centres.select("centre").distinct().collect())
 
 
-def _nearest(value: Column, centres: list[int], threshold: int) -> Column:
-    """The nearest of the centres if it is within the threshold, else null."""
+def _nearest(value: str, centres: list[int], threshold: int) -> str:
+    """SQL for the nearest of the centres if it is within the threshold, else null."""
     if not centres:
-        return F.lit(None).cast("bigint")
-    best = F.array_min(
-        F.transform(_longs(centres), lambda c: F.struct(hamming(value, c).alias("d"), c.alias("c")))
-    )
-    return F.when(best["d"] <= threshold, best["c"])
+        return "cast(null as bigint)"
+    best = f"array_min(transform({_longs(centres)}, c -> struct(bit_count({value} ^ c) as d, c as c)))"
+    return f"get(transform(array({best}), m -> if(m.d <= {threshold}, m.c, null)), 0)"

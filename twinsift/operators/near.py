@@ -15,9 +15,9 @@ from twinsift.functions.images import dhash_of_pixels
 from twinsift.functions.paths import is_image_path
 from twinsift.operators.components import connected_components
 from twinsift.operators.hamming import hamming_pairs
-from twinsift.operators.ordering import keeper_path
-from twinsift.skew import join_groups
-from twinsift.staging import stage
+from twinsift.operators.ordering import keeper
+from twinsift.skew import join_groups, with_aggregates
+from twinsift.staging import hot_rows, stage, stage_counted
 
 #: Default distances of the library call and of the report.
 DEFAULT_THRESHOLD = 5
@@ -26,12 +26,9 @@ REPORT_THRESHOLD = 10
 
 def hash_rasters(rasters: DataFrame) -> DataFrame:
     """Adds ``dhash`` to rows with pixel arrays, keeping only image paths, and drops the pixels."""
-    hashed = dhash_of_pixels(F.col("width"), F.col("height"), F.col("channels"), F.col("pixels"))
-    return (
-        rasters.where(is_image_path(F.col("path")))
-        .withColumn("dhash", hashed)
-        .drop("width", "height", "channels", "pixels")
-    )
+    kept = [c for c in rasters.columns if c not in ("width", "height", "channels", "pixels")]
+    hashed = dhash_of_pixels("width", "height", "channels", "pixels")
+    return rasters.where(is_image_path(F.col("path"))).selectExpr(*kept, f"{hashed} as dhash")
 
 
 def skipped_images(images: DataFrame) -> DataFrame:
@@ -71,41 +68,31 @@ def near_members(
     Groups are transitive, so a member may lie further from the reference (the first member
     by path bytes) than the threshold.
     """
-    images = stage(images.where(F.col("dhash").isNotNull()), "images")
-    hashes = stage(distinct_hashes(images), "hashes")
+    images, total = stage_counted(images.where(F.col("dhash").isNotNull()), "images")
+    hashes, n_hashes = stage_counted(distinct_hashes(images), "hashes")
     edges = hamming_pairs(hashes.select(F.col("dhash").alias("hash")), threshold, linked=True)
     components = connected_components(edges).withColumnRenamed("node", "dhash")
-    labelled = stage(
-        hashes.join(components, "dhash", "left").withColumn(
-            "component", F.coalesce("component", "dhash")
-        ),
-        "labelled",
-    )
-    first = F.min(F.struct("first_path", "dhash"))
-    groups = (
-        labelled.groupBy("component")
-        .agg(
-            F.sum("n_images").alias("n_members"),
-            F.count("*").alias("n_hashes"),
-            first["first_path"].alias("group_id"),
-            first["dhash"].alias("ref_dhash"),
-        )
-        .where("n_members > 1")
+    labelled = hashes.join(components, "dhash", "left").withColumn(
+        "component", F.coalesce("component", "dhash")
     )
-    by_hash = join_groups(labelled, groups, ["component"], "n_hashes", hashes.count()).select(
-        "dhash", "n_images", "group_id", "n_members", "ref_dhash"
+    if n_hashes > hot_rows(images.sparkSession):
+        labelled = stage(labelled, "labelled")
+    facts = {"n_members": F.sum("n_images"), "first": F.min(F.struct("first_path", "dhash"))}
+    by_hash = with_aggregates(labelled, ["component"], facts, n_hashes).where("n_members > 1").select(
+        "dhash",
+        "n_images",
+        "n_members",
+        F.col("first.first_path").alias("group_id"),
+        F.col("first.dhash").alias("ref_dhash"),
     )
-    total = images.count()
-    members = join_groups(images, by_hash, ["dhash"], "n_images", total).drop("n_images")
-    columns = ["group_id", "n_members", "ref_dhash"]
-    if strategy:
+    members = join_groups(images, by_hash, ["dhash"], "n_images", total)
+    members = members.select("group_id", "n_members", "ref_dhash", *images.columns)
+    if strategy is None:
+        return members
+    if total > hot_rows(images.sparkSession):
         members = stage(members, "near-members")
-        keepers = members.groupBy("group_id").agg(
-            F.count("*").alias("_n"), keeper_path(members, strategy, mtime).alias("keeper")
-        )
-        members = join_groups(members, keepers, ["group_id"], "_n", total)
-        columns.append("keeper")
-    return members.select(*columns, *images.columns)
+    found = with_aggregates(members, ["group_id"], {"keeper": keeper(members, strategy, mtime)}, total)
+    return found.drop("_rows").withColumn("keeper", F.col("keeper.path"))
 
 
 def similarity_listing(members: DataFrame) -> DataFrame:

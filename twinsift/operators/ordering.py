@@ -11,8 +11,8 @@ from twinsift.functions.paths import component_key
 STRATEGIES = ["oldest", "newest", "alpha-first"]
 
 
-def keeper_path(df: DataFrame, strategy: str = "oldest", mtime: str = "mtime", path: str = "path") -> Column:
-    """Aggregate expression for the path of the member to keep.
+def keeper(df: DataFrame, strategy: str = "oldest", mtime: str = "mtime", path: str = "path") -> Column:
+    """Aggregate expression for the member to keep: a struct whose field ``path`` names it.
 
     ``oldest`` and ``newest`` go by time and break ties by path; ``alpha-first`` goes by
     path only. Paths compare component by component. A minimum over a struct combines
@@ -27,7 +27,7 @@ def keeper_path(df: DataFrame, strategy: str = "oldest", mtime: str = "mtime", p
         first = [_descending(df, mtime).alias("at"), *by_path]
     else:
         first = by_path
-    return F.min(F.struct(*first))["path"]
+    return F.min(F.struct(*first))
 
 
 def _descending(df: DataFrame, mtime: str) -> Column:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.operators.ordering import keeper_path
-from twinsift.skew import join_groups
-from twinsift.staging import stage
+from twinsift.operators.ordering import keeper
+from twinsift.skew import with_aggregates
+from twinsift.staging import stage_counted
 
 
 
@@ -19,11 +19,10 @@ def with_keeper(members: DataFrame, strategy: str = "oldest", mtime: str = "mtim
     """Members with their group's ``keeper`` path (found again only if they do not carry it)."""
     if "keeper" in members.columns:
         return members
-    members = stage(members, "members")
-    keepers = members.groupBy("group_id").agg(
-        F.count("*").alias("_n"), keeper_path(members, strategy, mtime).alias("keeper")
-    )
-    return join_groups(members, keepers, ["group_id"], "_n", members.count()).drop("_n")
+    members, total = stage_counted(members, "members")
+    facts = {"keeper": keeper(members, strategy, mtime)}
+    found = with_aggregates(members, ["group_id"], facts, total).drop("_rows")
+    return found.withColumn("keeper", F.col("keeper.path"))
 
 
 def plan_group_members(

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.staging import small_side, stage
+from twinsift.staging import small_side, stage_counted
 
 BATCH_COLUMNS = ["batch_id", "row_key"]
 
@@ -61,8 +61,8 @@ def apply_plan(
     if batch_id is None:
         batch_id, now = new_batch()
         ts = now if ts is None else ts
-    deletes = stage(plan.where("action = 'delete'").select("path").distinct(), "deletes")
-    listed = small_side(deletes, deletes.count())
+    deletes, n_deletes = stage_counted(plan.where("action = 'delete'").select("path").distinct(), "deletes")
+    listed = small_side(deletes, n_deletes)
     kept = corpus.join(listed, "path", "left_anti")
     removed = corpus.join(listed, "path", "left_semi")
     missing = deletes.join(corpus.select("path"), "path", "left_anti")
@@ -100,8 +100,8 @@ def undo_last(corpus: DataFrame, quarantine: DataFrame, manifest: DataFrame) ->
     entries = manifest.where(mine).select("batch_id", "row_key", F.col("path").alias("_path"))
     rows = quarantine.where(mine).join(entries, BATCH_COLUMNS)
     restored = rows.withColumn("path", F.col("_path")).select(*corpus.columns)
-    paths = stage(restored.select("path").distinct(), "restored")
-    untouched = corpus.join(small_side(paths, paths.count()), "path", "left_anti")
+    paths, n_paths = stage_counted(restored.select("path").distinct(), "restored")
+    untouched = corpus.join(small_side(paths, n_paths), "path", "left_anti")
     return Restored(
         untouched.unionByName(restored), quarantine.where(~mine), manifest.where(~mine), batch
     )

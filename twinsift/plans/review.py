@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from twinsift.operators.exact import rank_members
 from twinsift.skew import join_groups
-from twinsift.staging import stage
+from twinsift.staging import stage, stage_counted
 
 # Messages for answers that are not understood.
 BAD_FORMAT = "Invalid input format."
@@ -86,8 +86,7 @@ def apply_decisions(members: DataFrame, decisions: DataFrame) -> tuple[DataFrame
 
     Members are numbered only in groups where an answer names a number.
     """
-    members = stage(members, "members")
-    total = members.count()
+    members, total = stage_counted(members, "members")
     settled, invalid = judge_answers(members, decisions)
     settled = stage(settled.where("kind <> 'skip'"), "settled")
     named = settled.where("kind = 'keep'")

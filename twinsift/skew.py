@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsift.staging import hot_rows, shuffle_width, stage
@@ -41,6 +41,26 @@ def join_groups(
     return in_place.unionByName(shuffled)
 
 
+def with_aggregates(
+    rows: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], total: int, size: str = "_rows"
+) -> DataFrame:
+    """``rows`` with aggregates of their group attached, and the group's row count as ``size``.
+
+    If all rows together may sit in one task, a window does it with a single shuffle.
+    Otherwise groups are aggregated, with map-side combining, and joined back by
+    ``join_groups``.
+    """
+    keys = list(keys)
+    if total <= hot_rows(rows.sparkSession):
+        group = Window.partitionBy(*keys)
+        attached = {name: value.over(group) for name, value in aggregates.items()}
+        return rows.withColumns({**attached, size: F.count("*").over(group)})
+    named = [value.alias(name) for name, value in aggregates.items()]
+    groups = rows.groupBy(*keys).agg(*named, F.count("*").alias(size))
+    joined = join_groups(rows, groups, keys, size, total)
+    return joined.select(*rows.columns, *aggregates, size)
+
+
 def number_rows(
     rows: DataFrame,
     keys: Sequence[str],

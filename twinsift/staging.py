@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Default for ``spark.twinsift.hotRows``: groups up to this many rows may sit in one task.
@@ -74,6 +74,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Stage ``df`` and count its rows on the way."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return staged, seen.get["n"]
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables this session staged; returns how many. Call when results are written."""
     paths = _staged.pop(spark.conf.get("spark.app.id", "local"), [])
