@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinsift.functions.bits import hash_hex
 from twinsift.functions.content import content_size
-from twinsift.functions.images import GRID_WIDTH, dhash, luma_grid
+from twinsift.functions.images import GRID_WIDTH, dhash, dhash_of_pixels, luma_grid
 from twinsift.functions.paths import component_key, extension, is_image_path
 from twinsift.functions.text import format_bytes
 from twinsift.operators import exact, near
@@ -225,7 +225,8 @@ def dhash_rasters(spark, folder):
 
 @query
 def dhash_expression(spark, folder):
-    return images(spark, folder).select("img_id", hash_hex(F.col("dhash")).alias("dhash"))
+    hashed = F.expr(dhash_of_pixels("width", "height", "channels", "pixels"))
+    return rasters(spark, folder).select("img_id", hash_hex(hashed).alias("dhash"))
 
 
 @query

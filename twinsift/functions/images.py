@@ -25,39 +25,55 @@ def _bounds(extent: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return start, np.minimum(np.maximum(edges[1:], start + 1), extent)
 
 
-def _dhash(width: int, height: int, channels: int, data: np.ndarray, bgr: bool) -> int | None:
-    if width <= 0 or height <= 0 or channels <= 0 or data.size == 0:
-        return 0
-    needed = width * height * channels
-    if data.size < needed:
-        return None
-    pixels = data[:needed].reshape(height, width, channels)
-    first = pixels[:, :, 0].astype(np.int64)
+#: Pixels of equally sized images are hashed together up to this many bytes.
+STACK_BYTES = 1 << 22
+
+
+def _stack_hashes(stack: np.ndarray, bgr: bool) -> np.ndarray:
+    """Hashes of images of one shape: (images, height, width, channels) of bytes."""
+    n, height, width, channels = stack.shape
+    first = stack[..., 0].astype(np.int64)
+    red = green = blue = first
     if channels >= 3:
-        green = pixels[:, :, 1].astype(np.int64)
-        third = pixels[:, :, 2].astype(np.int64)
+        green, third = stack[..., 1].astype(np.int64), stack[..., 2].astype(np.int64)
         red, blue = (third, first) if bgr else (first, third)
-    else:
-        red = green = blue = first
     bright = (red * RED + green * GREEN + blue * BLUE) // SCALE
-    # Summed-area table: small images make cells overlap, so cells look their sums up.
-    area = np.zeros((height + 1, width + 1), dtype=np.int64)
-    area[1:, 1:] = bright.cumsum(0).cumsum(1)
+    # Summed-area tables: small images make cells overlap, so cells look their sums up.
+    area = np.zeros((n, height + 1, width + 1), dtype=np.int64)
+    area[:, 1:, 1:] = bright.cumsum(1).cumsum(2)
     x0, x1 = _bounds(width, GRID_WIDTH)
     y0, y1 = _bounds(height, GRID_HEIGHT)
-    total = area[np.ix_(y1, x1)] - area[np.ix_(y0, x1)] - area[np.ix_(y1, x0)] + area[np.ix_(y0, x0)]
-    grid = total // np.outer(y1 - y0, x1 - x0)
-    rises = (grid[:, :-1] < grid[:, 1:]).ravel()
-    return int(np.packbits(rises, bitorder="little").view("<i8")[0])
 
+    def corner(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return area[:, y[:, None], x[None, :]]
 
-def _hash_batches(batches, bgr: bool) -> Iterator[pd.Series]:
-    for width, height, channels, data in batches:
-        hashes = [
-            None if d is None else _dhash(int(w), int(h), int(c), _as_bytes(d), bgr)
-            for w, h, c, d in zip(width, height, channels, data)
-        ]
-        yield pd.Series(hashes, dtype="Int64")
+    total = corner(y1, x1) - corner(y0, x1) - corner(y1, x0) + corner(y0, x0)
+    grid = total // np.outer(y1 - y0, x1 - x0)
+    rises = (grid[:, :, :-1] < grid[:, :, 1:]).reshape(n, -1)
+    packed = np.packbits(rises, axis=1, bitorder="little")
+    return np.ascontiguousarray(packed).view("<i8")[:, 0]
+
+
+def _hash_images(width, height, channels, data, bgr: bool) -> list[int | None]:
+    hashes: list[int | None] = [None] * len(data)
+    shapes: dict[tuple[int, int, int], list[tuple[int, np.ndarray]]] = {}
+    for i, (w, h, c, pixels) in enumerate(zip(width, height, channels, data)):
+        if pixels is None:
+            continue
+        pixels = _as_bytes(pixels)
+        if w <= 0 or h <= 0 or c <= 0 or pixels.size == 0:
+            hashes[i] = 0
+        elif pixels.size >= w * h * c:
+            shapes.setdefault((int(h), int(w), int(c)), []).append((i, pixels))
+    for shape, images in shapes.items():
+        needed = shape[0] * shape[1] * shape[2]
+        step = max(1, STACK_BYTES // needed)
+        for start in range(0, len(images), step):
+            part = images[start : start + step]
+            stack = np.stack([pixels[:needed] for _, pixels in part]).reshape(-1, *shape)
+            for (i, _), value in zip(part, _stack_hashes(stack, bgr)):
+                hashes[i] = int(value)
+    return hashes
 
 
 def _as_bytes(data) -> np.ndarray:
@@ -66,6 +82,11 @@ def _as_bytes(data) -> np.ndarray:
     return np.asarray(data, dtype=np.uint8)
 
 
+def _hash_batches(batches, bgr: bool) -> Iterator[pd.Series]:
+    for width, height, channels, data in batches:
+        yield pd.Series(_hash_images(width, height, channels, data, bgr), dtype="Int64")
+
+
 @F.pandas_udf(LongType())
 def dhash(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Hash of (width, height, channels, interleaved RGB(A) or gray bytes); null data gives null."""

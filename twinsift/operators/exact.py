@@ -99,11 +99,11 @@ def exact_members(
     if strategy:
         facts["keeper"] = keeper(keyed, strategy, mtime)
     if verify == "sha256":
-        return _grouped(keyed, DIGEST_KEY, facts, total)
+        return group_rows(keyed, DIGEST_KEY, facts, total)
     return _verify_bytes(files, keyed, facts, total, make_fingerprint)
 
 
-def _grouped(keyed: DataFrame, keys: Sequence[str], facts: dict[str, Column], total: int) -> DataFrame:
+def group_rows(keyed: DataFrame, keys: Sequence[str], facts: dict[str, Column], total: int) -> DataFrame:
     """Rows whose keys occur more than once, with the facts of their group."""
     own = [c for c in keyed.columns if c not in ("fingerprint", "digest", "content")]
     attached = with_aggregates(keyed, keys, facts, total, "n_members").where("n_members > 1")
@@ -137,10 +137,10 @@ def _verify_bytes(
     )
     mixed, n_mixed = stage_counted(mixed, "collisions")
     if n_mixed == 0:
-        return _grouped(keyed, bucket, facts, total)
+        return group_rows(keyed, bucket, facts, total)
     listed = small_side(mixed, n_mixed)
-    clean = _grouped(keyed.join(listed, bucket, "left_anti"), bucket, facts, total)
-    collided = _grouped(wide.join(listed, bucket, "left_semi"), CONTENT_KEY, facts, total)
+    clean = group_rows(keyed.join(listed, bucket, "left_anti"), bucket, facts, total)
+    collided = group_rows(wide.join(listed, bucket, "left_semi"), CONTENT_KEY, facts, total)
     return clean.unionByName(collided)
 
 

@@ -165,17 +165,22 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], threshold: int) ->
     )
 
 
-def hamming_pairs(hashes: DataFrame, threshold: int, linked: bool = False) -> DataFrame:
-    """``(a, b)`` with a < b, once each: all pairs of the distinct BIGINT column ``hash`` within ``threshold``.
+def hamming_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
+    """``(a, b)`` with a < b, once each: all pairs of the distinct BIGINT column ``hash`` within ``threshold``."""
+    hashes, n = stage_counted(hashes.selectExpr("hash", f"{spread_bits('hash')} as _bits"), "hashes")
+    return pairs_of(hashes, n, threshold)
+
+
+def pairs_of(hashes: DataFrame, n: int, threshold: int, linked: bool = False) -> DataFrame:
+    """The same for a staged table of ``n`` rows ``(hash, _bits)``, the bits by ``spread_bits``.
 
     With ``linked`` only enough of the pairs to keep the same hashes connected: where a dense
     cluster makes a block value hot, its members are tied to one of them and the pairs among
     them are left out, so a cluster of k hashes costs about k pairs instead of k * k.
     """
     if threshold < 0:
-        return hashes.select(F.col("hash").alias("a"), F.col("hash").alias("b")).where(F.lit(False))
+        return hashes.selectExpr("hash as a", "hash as b").where("false")
     spark = hashes.sparkSession
-    hashes, n = stage_counted(hashes.selectExpr("hash", f"{spread_bits('hash')} as _bits"), "hashes")
     threshold = min(threshold, BITS)
     blocks = plan_blocks(n, min(threshold, BITS - 1))
     plain = hashes.selectExpr("*", "cast(null as bigint) as _class")
@@ -193,7 +198,11 @@ def hamming_pairs(hashes: DataFrame, threshold: int, linked: bool = False) -> Da
     star, classed = None, plain
     if linked:
         centres = _centres(plain, blocks, n)
-        classed = stage(hashes.selectExpr("*", f"{_nearest('hash', centres, threshold)} as _class"), "classes")
+        if centres:
+            centres = _by_reach(hashes, centres, threshold)
+            # The class of a hash is the centre of the largest ball it lies in.
+            first = f"get({_within('hash', centres, threshold)}, 0)"
+            classed = stage(hashes.selectExpr("*", f"{first} as _class"), "classes")
         star = classed.where("_class is not null and _class <> hash").select(
             F.least("hash", "_class").alias("a"), F.greatest("hash", "_class").alias("b")
         )
@@ -204,7 +213,8 @@ def hamming_pairs(hashes: DataFrame, threshold: int, linked: bool = False) -> Da
     )
     pairs = _first_meetings(cold, "_key", blocks).select("a", "b")
     refined = _refined(
-        left.join(keys_only, "_key"), right.join(keys_only, "_key"), blocks, hot, n_hot, threshold, linked
+        left.join(keys_only, "_key", "left_semi"), right.join(keys_only, "_key", "left_semi"),
+        blocks, hot, n_hot, threshold, linked,
     )
     pairs = pairs.unionByName(refined)
     return pairs if star is None else pairs.unionByName(star).distinct()
@@ -215,7 +225,7 @@ def _sides(hashes: DataFrame, blocks: list[Block]) -> tuple[DataFrame, DataFrame
 
 
 def _hot_keys(hashes: DataFrame, blocks: list[Block], limit: int) -> DataFrame:
-    """Keys at which more than ``limit`` pairs would meet: ``(_key, pairs, size)``.
+    """Keys at which more than ``limit`` pairs would meet, and how many rows do: ``(_key, _met)``.
 
     Counted from block values, of which there are far fewer than probes.
     """
@@ -236,7 +246,7 @@ def _hot_keys(hashes: DataFrame, blocks: list[Block], limit: int) -> DataFrame:
 
     met = reach("left", "_l").join(reach("right", "_r"), "_key")
     pairs = F.col("_l").cast("double") * F.col("_r")
-    return met.where(pairs > limit).select("_key")
+    return met.where(pairs > limit).selectExpr("_key", "_l + _r as _met")
 
 
 def _rest_of(block: Block) -> list[tuple[int, int]]:
@@ -250,14 +260,18 @@ def _refined(
 ) -> DataFrame:
     """Pairs that meet at hot keys, joined on the key and a block of the remaining bits."""
     number = F.shiftright("_key", BLOCK_TAG)
+    largest = hot.groupBy(number.alias("block")).agg(F.max("_met").alias("rows")).collect()  # a row per block
+    rows_in = {row.block: row.rows for row in largest}
     out = None
     for block in blocks:
+        if block.number not in rows_in:
+            continue
         # Pairs in one hot bucket are near in this block, so all t may lie in the others.
-        finer = plan_blocks(2**31, threshold, _rest_of(block))
+        finer = plan_blocks(rows_in[block.number], threshold, _rest_of(block))
         l = _probes(left.where(number == block.number), finer, "left", "_finer")
         r = _probes(right.where(number == block.number), finer, "right", "_finer")
         if linked:
-            met = _across_classes(l, r, hot, n_hot, threshold)
+            met = _across_classes(l, r, n_hot, threshold)
         else:
             met = _meet(l, r, ["_key", "_finer"], threshold)
         once = _first_meetings(_first_meetings(met, "_key", blocks), "_finer", finer).select("a", "b")
@@ -265,7 +279,7 @@ def _refined(
     return out
 
 
-def _across_classes(l: DataFrame, r: DataFrame, hot: DataFrame, n_hot: int, threshold: int) -> DataFrame:
+def _across_classes(l: DataFrame, r: DataFrame, n_hot: int, threshold: int) -> DataFrame:
     """Meetings at hot keys except those within the key's largest class, which are never enumerated."""
     classes = l.where("_class is not null").groupBy("_key", "_class").agg(F.count("*").alias("_n"))
     main = classes.groupBy("_key").agg(F.max_by("_class", "_n").alias("_main"))
@@ -297,9 +311,13 @@ def _centres(hashes: DataFrame, blocks: list[Block], n: int) -> list[int]:
     return sorted(row.centre for row in centres.select("centre").distinct().collect())
 
 
-def _nearest(value: str, centres: list[int], threshold: int) -> str:
-    """SQL for the nearest of the centres if it is within the threshold, else null."""
-    if not centres:
-        return "cast(null as bigint)"
-    best = f"array_min(transform({_longs(centres)}, c -> struct(bit_count({value} ^ c) as d, c as c)))"
-    return f"get(transform(array({best}), m -> if(m.d <= {threshold}, m.c, null)), 0)"
+def _by_reach(hashes: DataFrame, centres: list[int], threshold: int) -> list[int]:
+    """The centres, those with the most hashes within the threshold first."""
+    reached = hashes.selectExpr(f"explode({_within('hash', centres, threshold)}) as centre")
+    rows = reached.groupBy("centre").agg(F.count("*").alias("n")).collect()  # at most one per centre
+    return [row.centre for row in sorted(rows, key=lambda r: (-r.n, r.centre))]
+
+
+def _within(value: str, centres: list[int], threshold: int) -> str:
+    """SQL for the array of the centres within the threshold, in their order."""
+    return f"filter({_longs(centres)}, c -> bit_count({value} ^ c) <= {threshold})"

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.bits import hamming, similarity_percent
-from twinsift.functions.images import dhash_of_pixels
+from twinsift.functions.images import dhash
 from twinsift.functions.paths import is_image_path
 from twinsift.operators.components import connected_components
-from twinsift.operators.hamming import hamming_pairs
+from twinsift.operators.hamming import hamming_pairs, pairs_of, spread_bits
 from twinsift.operators.ordering import keeper
 from twinsift.skew import join_groups, with_aggregates
 from twinsift.staging import hot_rows, stage, stage_counted
@@ -27,8 +27,9 @@ REPORT_THRESHOLD = 10
 def hash_rasters(rasters: DataFrame) -> DataFrame:
     """Adds ``dhash`` to rows with pixel arrays, keeping only image paths, and drops the pixels."""
     kept = [c for c in rasters.columns if c not in ("width", "height", "channels", "pixels")]
-    hashed = dhash_of_pixels("width", "height", "channels", "pixels")
-    return rasters.where(is_image_path(F.col("path"))).selectExpr(*kept, f"{hashed} as dhash")
+    return rasters.where(is_image_path(F.col("path"))).select(
+        *kept, dhash("width", "height", "channels", "pixels").alias("dhash")
+    )
 
 
 def skipped_images(images: DataFrame) -> DataFrame:
@@ -68,9 +69,13 @@ def near_members(
     Groups are transitive, so a member may lie further from the reference (the first member
     by path bytes) than the threshold.
     """
-    images, total = stage_counted(images.where(F.col("dhash").isNotNull()), "images")
-    hashes, n_hashes = stage_counted(distinct_hashes(images), "hashes")
-    edges = hamming_pairs(hashes.select(F.col("dhash").alias("hash")), threshold, linked=True)
+    images, total = stage_counted(images, "images")
+    images = images.where(F.col("dhash").isNotNull())
+    hashes, n_hashes = stage_counted(
+        distinct_hashes(images).selectExpr("*", f"{spread_bits('dhash')} as _bits"), "hashes"
+    )
+    edges = pairs_of(hashes.selectExpr("dhash as hash", "_bits"), n_hashes, threshold, linked=True)
+    hashes = hashes.drop("_bits")
     components = connected_components(edges).withColumnRenamed("node", "dhash")
     labelled = hashes.join(components, "dhash", "left").withColumn(
         "component", F.coalesce("component", "dhash")
