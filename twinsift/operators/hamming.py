@@ -15,12 +15,12 @@ from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.functions.bits import hamming
 from twinsift.skew import HOT_SHARE
-from twinsift.staging import hot_pairs, small_side, stage, stage_counted
+from twinsift.staging import hot_pairs, shuffle_width, small_side, stage, stage_counted
 
 BITS = 64
 BLOCK_TAG = 40  # a probe is (block number << BLOCK_TAG) | block value
@@ -31,6 +31,11 @@ PROBE_COST = 20
 MAX_PROBES = 20_000
 
 
+#: Pairs one task of a join compares, and most tasks a join is given.
+PAIRS_PER_TASK = 1_000_000_000
+MAX_TASKS = 50_000
+
+
 @dataclass(frozen=True)
 class Block:
     number: int
@@ -51,6 +56,11 @@ def _ball(width: int, radius: int) -> int:
     return sum(comb(width, k) for k in range(radius + 1))
 
 
+def _expected_pairs(n: int, blocks: list[Block]) -> float:
+    """Pairs that meet if the hashes are spread evenly."""
+    return n * n * sum(_ball(b.width, b.radius) / 2**b.width for b in blocks)
+
+
 def _cut(regions: list[tuple[int, int]], m: int, threshold: int) -> list[Block]:
     """m blocks within the (shift, width) regions, as even as can be, with their radii."""
     blocks, spare = [], []
@@ -80,8 +90,7 @@ def plan_blocks(n: int, threshold: int, regions: list[tuple[int, int]] | None =
         right = sum(_ball(b.width, b.right) for b in blocks)
         if max(left, right) > MAX_PROBES:
             continue
-        pairs = n * n / 2 * min(1.0, sum(_ball(b.width, b.radius) / 2**b.width for b in blocks))
-        cost = PROBE_COST * n * (left + right) + pairs
+        cost = PROBE_COST * n * (left + right) + _expected_pairs(n, blocks)
         if best_cost is None or cost < best_cost:
             best, best_cost = blocks, cost
         if m > threshold:  # more blocks than this stay unused
@@ -131,38 +140,19 @@ def _block_value(bits: str, number: str, blocks: list[Block]) -> str:
     return f"(shiftrightunsigned({bits}, cast(get({shift}, {number}) as int)) & get({mask}, {number}))"
 
 
-def _first_meetings(met: DataFrame, key: str, blocks: list[Block]) -> DataFrame:
-    """Keep a pair at exactly one of the keys at which it meets.
-
-    That is the first block within its radius, at the value reached when the left side
-    flips the lowest differing bits and leaves the rest to the right side.
-    """
-    number = f"shiftright({key}, {BLOCK_TAG})"
-    earlier = [
-        f"({number} <= {b.number} or bit_count(shiftrightunsigned(_a ^ _b, {b.shift}) & {(1 << b.width) - 1}L) > {b.radius})"
-        for b in blocks
-    ]
-    left = f"get({_table(blocks, lambda b: b.left)}, cast({number} as int))"
-    parts = met.where(" and ".join(earlier)).selectExpr(
-        *met.columns,
-        f"{_block_value('_a ^ _b', number, blocks)} as _here",
-        f"({key} & {(1 << BLOCK_TAG) - 1}L) ^ {_block_value('_a', number, blocks)} as _flipped",
-        f"{left} as _left",
-    )
-    return parts.where(
-        """bit_count(_flipped) = least(_left, bit_count(_here)) and (_flipped & _here) = _flipped
-        and (_here = _flipped or _flipped < ((_here ^ _flipped) & -(_here ^ _flipped)))"""
-    ).select(*met.columns)
-
-
-def _meet(left: DataFrame, right: DataFrame, keys: list[str], threshold: int) -> DataFrame:
-    """Pairs (a < b) that share the keys and are within the threshold."""
-    left = left.selectExpr(*keys, "hash as a", "_bits as _a", "_class as _ca")
-    right = right.selectExpr(*keys, "hash as b", "_bits as _b", "_class as _cb")
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], threshold: int, tasks: int) -> DataFrame:
+    """Pairs (a < b) that share the keys and are within the threshold, once per key they share."""
+    left = left.selectExpr(*keys, "hash as a", "_class as _ca").repartition(tasks, *keys)
+    right = right.selectExpr(*keys, "hash as b", "_class as _cb").repartition(tasks, *keys)
     # A sort-merge join: the optimizer does not see how far the probes multiply the rows.
     return left.hint("merge").join(right, keys).where(
         f"a < b and bit_count(a ^ b) <= {threshold} and (_ca is null or _cb is null or _ca <> _cb)"
-    )
+    ).select("a", "b")
+
+
+def _tasks(spark: SparkSession, n: int, blocks: list[Block]) -> int:
+    """Tasks for a join, by the pairs it compares; the size of its rows says little about that."""
+    return max(shuffle_width(spark), min(MAX_TASKS, int(_expected_pairs(n, blocks) / PAIRS_PER_TASK)))
 
 
 def hamming_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
@@ -181,43 +171,39 @@ def pairs_of(hashes: DataFrame, n: int, threshold: int, linked: bool = False) ->
     if threshold < 0:
         return hashes.selectExpr("hash as a", "hash as b").where("false")
     spark = hashes.sparkSession
-    threshold = min(threshold, BITS)
-    blocks = plan_blocks(n, min(threshold, BITS - 1))
-    plain = hashes.selectExpr("*", "cast(null as bigint) as _class")
-    if threshold == BITS:  # every pair is near: tie all to the smallest
+    if threshold >= BITS:  # every pair is near: tie all to the smallest
         if not linked:
             raise ValueError("a threshold of 64 or more pairs everything; ask for a smaller one")
         smallest = hashes.agg(F.min("hash").alias("a"))
-        return hashes.join(F.broadcast(smallest), F.col("hash") > F.col("a")).select("a", F.col("hash").alias("b"))
-    if n * n <= hot_pairs(spark):  # no bucket can be hot
-        return _first_meetings(_meet(*_sides(plain, blocks), ["_key"], threshold), "_key", blocks).select("a", "b")
-
-    hot, n_hot = stage_counted(_hot_keys(plain, blocks, hot_pairs(spark)), "hot-keys")
+        return hashes.join(F.broadcast(smallest), F.col("hash") > F.col("a")).selectExpr("a", "hash as b")
+    blocks = plan_blocks(n, threshold)
+    tasks = _tasks(spark, n, blocks)
+    plain = hashes.selectExpr("*", "cast(null as bigint) as _class")
+    hot, n_hot = None, 0
+    if n * n > hot_pairs(spark):  # else no bucket can be hot
+        hot, n_hot = stage_counted(_hot_keys(plain, blocks, hot_pairs(spark)), "hot-keys")
     if n_hot == 0:
-        return _first_meetings(_meet(*_sides(plain, blocks), ["_key"], threshold), "_key", blocks).select("a", "b")
+        return _meet(*_sides(plain, blocks), ["_key"], threshold, tasks).distinct()
+
     star, classed = None, plain
-    if linked:
-        centres = _centres(plain, blocks, n)
-        if centres:
-            centres = _by_reach(hashes, centres, threshold)
-            # The class of a hash is the centre of the largest ball it lies in.
-            first = f"get({_within('hash', centres, threshold)}, 0)"
-            classed = stage(hashes.selectExpr("*", f"{first} as _class"), "classes")
-        star = classed.where("_class is not null and _class <> hash").select(
-            F.least("hash", "_class").alias("a"), F.greatest("hash", "_class").alias("b")
+    if linked and (centres := _centres(plain, blocks, n)):
+        # The class of a hash is the centre of the largest ball it lies in.
+        centres = _by_reach(hashes, centres, threshold)
+        classed = stage(
+            hashes.selectExpr("*", f"get({_within('hash', centres, threshold)}, 0) as _class"), "classes"
         )
+        star = classed.where("_class <> hash").selectExpr("least(hash, _class) as a", "greatest(hash, _class) as b")
     left, right = _sides(classed, blocks)
-    keys_only = small_side(hot.select("_key"), n_hot)
+    listed = small_side(hot.select("_key"), n_hot)
     cold = _meet(
-        left.join(keys_only, "_key", "left_anti"), right.join(keys_only, "_key", "left_anti"), ["_key"], threshold
+        left.join(listed, "_key", "left_anti"), right.join(listed, "_key", "left_anti"), ["_key"], threshold, tasks
     )
-    pairs = _first_meetings(cold, "_key", blocks).select("a", "b")
     refined = _refined(
-        left.join(keys_only, "_key", "left_semi"), right.join(keys_only, "_key", "left_semi"),
-        blocks, hot, n_hot, threshold, linked,
+        left.join(listed, "_key", "left_semi"), right.join(listed, "_key", "left_semi"),
+        blocks, hot, n_hot, threshold, linked, tasks,
     )
-    pairs = pairs.unionByName(refined)
-    return pairs if star is None else pairs.unionByName(star).distinct()
+    pairs = cold.unionByName(refined)
+    return (pairs if star is None else pairs.unionByName(star)).distinct()
 
 
 def _sides(hashes: DataFrame, blocks: list[Block]) -> tuple[DataFrame, DataFrame]:
@@ -256,7 +242,8 @@ def _rest_of(block: Block) -> list[tuple[int, int]]:
 
 
 def _refined(
-    left: DataFrame, right: DataFrame, blocks: list[Block], hot: DataFrame, n_hot: int, threshold: int, linked: bool
+    left: DataFrame, right: DataFrame, blocks: list[Block], hot: DataFrame, n_hot: int,
+    threshold: int, linked: bool, tasks: int,
 ) -> DataFrame:
     """Pairs that meet at hot keys, joined on the key and a block of the remaining bits."""
     number = F.shiftright("_key", BLOCK_TAG)
@@ -271,15 +258,14 @@ def _refined(
         l = _probes(left.where(number == block.number), finer, "left", "_finer")
         r = _probes(right.where(number == block.number), finer, "right", "_finer")
         if linked:
-            met = _across_classes(l, r, n_hot, threshold)
+            met = _across_classes(l, r, n_hot, threshold, tasks)
         else:
-            met = _meet(l, r, ["_key", "_finer"], threshold)
-        once = _first_meetings(_first_meetings(met, "_key", blocks), "_finer", finer).select("a", "b")
-        out = once if out is None else out.unionByName(once)
+            met = _meet(l, r, ["_key", "_finer"], threshold, tasks)
+        out = met if out is None else out.unionByName(met)
     return out
 
 
-def _across_classes(l: DataFrame, r: DataFrame, n_hot: int, threshold: int) -> DataFrame:
+def _across_classes(l: DataFrame, r: DataFrame, n_hot: int, threshold: int, tasks: int) -> DataFrame:
     """Meetings at hot keys except those within the key's largest class, which are never enumerated."""
     classes = l.where("_class is not null").groupBy("_key", "_class").agg(F.count("*").alias("_n"))
     main = classes.groupBy("_key").agg(F.max_by("_class", "_n").alias("_main"))
@@ -287,8 +273,8 @@ def _across_classes(l: DataFrame, r: DataFrame, n_hot: int, threshold: int) -> D
     l, r = l.join(main, "_key", "left"), r.join(main, "_key", "left")
     inside = F.coalesce(F.col("_class") == F.col("_main"), F.lit(False))
     keys = ["_key", "_finer"]
-    return _meet(l.where(~inside), r, keys, threshold).unionByName(
-        _meet(l.where(inside), r.where(~inside), keys, threshold)
+    return _meet(l.where(~inside), r, keys, threshold, tasks).unionByName(
+        _meet(l.where(inside), r.where(~inside), keys, threshold, tasks)
     )
 
 
