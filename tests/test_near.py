@@ -43,7 +43,7 @@ def mixed_hashes(seed, n=150):
     return values | {0, 2**64 - 1, 1 << 63, 1}
 
 
-@pytest.mark.parametrize("t", [0, 1, 3, 5, 10, 14, 20, 33])
+@pytest.mark.parametrize("t", [0, 3, 10, 20])
 def test_pairs_equal_brute_force(spark, t):
     values = mixed_hashes(t)
     got = [(r.a, r.b) for r in hm.hamming_pairs(hashes_df(spark, values), t).collect()]
@@ -63,7 +63,7 @@ def test_every_cut_covers_the_threshold(n, t):
         assert hm.plan_blocks(2**31, t, hm._rest_of(block))
 
 
-@pytest.mark.parametrize("blocks_for", [10**3, 10**6, 10**9])
+@pytest.mark.parametrize("blocks_for", [10**6, 10**9])
 def test_pairs_with_the_blocks_of_larger_tables(spark, monkeypatch, blocks_for):
     """The cuts chosen for large tables are exact too."""
     values = mixed_hashes(9, 60)
@@ -83,7 +83,7 @@ def dense_hashes():
     }
 
 
-@pytest.mark.parametrize("t", [5, 10])
+@pytest.mark.parametrize("t", [7])
 def test_hot_block_values_keep_all_pairs(spark, settings, t):
     values = dense_hashes()
     with settings(hotPairs=1500, broadcastRows=10_000):
@@ -130,7 +130,7 @@ def test_threshold_edges(spark):
 def test_components_equal_union_find(spark, settings, limit):
     rng = random.Random(11)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)]
-    edges += [(1000 + i, 1001 + i) for i in range(40)]  # a path
+    edges += [(1000 + i, 1001 + i) for i in range(20)]  # a path
     edges += [(5000, 5001 + i) for i in range(60)]  # a hub
     edges += [(-7, 3), (-7, -9)]
     edges = [(a, b) for a, b in edges if a != b]

@@ -139,48 +139,54 @@ def test_permanent_removal_leaves_no_batch(spark, tmp_path):
 # --- review ----------------------------------------------------------------------------
 
 
-def review_of(spark, *answers):
-    members = members_of(spark, [[("/g1", 5, 9), ("/g2", 5, 1), ("/g3", 5, 5)]])
-    members = cleanup.with_keeper(members, "oldest")
-    decisions = spark.createDataFrame(
-        [("/g1", a, i) for i, a in enumerate(answers)], "group_id string, action string, attempt int"
-    )
-    plan, invalid = review.apply_decisions(members, decisions)
-    return kept(plan), sorted(r.path for r in plan.collect() if r.action == "delete"), [r.reason for r in invalid.collect()]
+BAD = "Invalid input format."
+WRAPPED = "Invalid file index: 18446744073709551615"
+
+# answers in order, the member that is kept (1-based, 2 is the suggestion), the messages
+REVIEWS = [
+    (["a"], 2, []),
+    ([" a\t"], 2, []),
+    (["k3"], 3, []),
+    (["k1"], 1, []),
+    (["k 2"], 2, []),
+    (["k2x"], 2, []),
+    (["k+1"], 1, []),
+    (["k003"], 3, []),
+    (["k-18446744073709551615"], 1, []),
+    (["s"], None, []),
+    ([""], None, []),
+    (["x"], None, [BAD]),
+    (["k"], None, [BAD]),
+    (["kx"], None, [BAD]),
+    (["A"], None, [BAD]),
+    (["k99999999999999999999"], None, [BAD]),
+    (["k99"], None, ["Invalid file index: 99"]),
+    (["k007"], None, ["Invalid file index: 7"]),
+    (["k0"], None, ["Invalid file index: 0"]),
+    (["k-1"], None, [WRAPPED]),
+    (["junk", "", "k9", "k2", "k8", "a"], 2, ["Invalid file index: 9", BAD]),
+    ([], None, []),
+]
 
 
 @pytest.mark.parametrize("limit", [2, 1_000_000])
-@pytest.mark.parametrize(
-    "answer, keeper",
-    [("a", "/g2"), (" a\t", "/g2"), ("k3", "/g3"), ("k1", "/g1"), ("k 2", "/g2"), ("k2x", "/g2"), ("k+1", "/g1"),
-     ("k007", None), ("k-18446744073709551615", "/g1")],
-)
-def test_valid_answers(spark, settings, limit, answer, keeper):
-    if limit == 2 and answer not in ("a", "k3"):
-        pytest.skip("one of each kind is enough")
+def test_review_answers(spark, settings, limit):
+    groups = [[(f"/g{i:02d}/{n}", 5, at) for n, at in ((1, 9), (2, 1), (3, 5))] for i in range(len(REVIEWS))]
+    answers = [
+        (f"/g{i:02d}/1", text, attempt) for i, (texts, *_) in enumerate(REVIEWS) for attempt, text in enumerate(texts)
+    ]
+    answers.append(("/no/such/group", "a", 0))
     with settings(hotRows=limit):
-        keep, delete, reasons = review_of(spark, answer)
-    if keeper is None:
-        assert (keep, delete, reasons) == ([], [], ["Invalid file index: 7"])
-    else:
-        assert keep == [keeper] and sorted(keep + delete) == ["/g1", "/g2", "/g3"] and reasons == []
-
-
-@pytest.mark.parametrize(
-    "answer, reason",
-    [("s", None), ("", None), ("x", "Invalid input format."), ("k", "Invalid input format."), ("kx", "Invalid input format."),
-     ("k99", "Invalid file index: 99"), ("k0", "Invalid file index: 0"),
-     ("k-1", "Invalid file index: 18446744073709551615"), ("k99999999999999999999", "Invalid input format."),
-     ("A", "Invalid input format.")],
-)
-def test_answers_that_keep_nothing(spark, answer, reason):
-    assert review_of(spark, answer) == ([], [], [reason] if reason else [])
-
-
-def test_first_valid_answer_counts(spark):
-    keep, delete, reasons = review_of(spark, "junk", "", "k9", "k2", "k8", "a")
-    assert keep == ["/g2"] and len(delete) == 2
-    assert sorted(reasons) == ["Invalid file index: 9", "Invalid input format."]
+        members = cleanup.with_keeper(members_of(spark, groups), "oldest")
+        decisions = spark.createDataFrame(answers, "group_id string, action string, attempt int")
+        plan, invalid = review.apply_decisions(members, decisions)
+        plan, invalid = plan.collect(), invalid.collect()
+    for i, (texts, keep, reasons) in enumerate(REVIEWS):
+        group = f"/g{i:02d}/1"
+        got = {(r.path, r.action) for r in plan if r.group_id == group}
+        numbers = (1, 2, 3) if keep else ()
+        assert got == {(f"/g{i:02d}/{n}", "keep" if n == keep else "delete") for n in numbers}, texts
+        assert sorted(r.reason for r in invalid if r.group_id == group) == sorted(reasons), texts
 
 
 # --- scalars and reports ---------------------------------------------------------------
