@@ -72,12 +72,7 @@ def both_kinds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    members = exact_members_of(spark, folder, "oldest")
-    return members.groupBy("group_id").agg(
-        F.first("keeper").alias("keeper"),
-        F.max("size").alias("size"),
-        F.count("*").alias("n_members"),
-    ).withColumn("wasted_bytes", exact.wasted_bytes())
+    return exact.exact_groups(files(spark, folder), strategy="oldest")
 
 
 # --- inventory -------------------------------------------------------------------------
@@ -139,6 +134,19 @@ def exact_members(spark, folder):
     return members.select("group_id", "member_rank", "path", "size", "mtime")
 
 
+@query
+def group_keepers(spark, folder):
+    return exact.exact_groups(files(spark, folder), strategy="oldest", mtime="mtime_day").select("group_id", "keeper")
+
+
+@query
+def suggested_index(spark, folder):
+    """The place in its group of the member each review suggests to keep."""
+    members = exact_members_of(spark, folder, "newest", "mtime_day")
+    ranked = exact.rank_members(members, n_documents(spark, folder))
+    return ranked.where("path = keeper").select("group_id", "path", F.col("member_rank").alias("suggested"))
+
+
 @query
 def exact_sha256(spark, folder):
     return exact.exact_members(files(spark, folder), "sha256").select("group_id", "path")

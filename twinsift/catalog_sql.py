@@ -126,6 +126,8 @@ def oracle_sql() -> dict[str, str]:
         "format_bytes_of_files": files + f"select path, {SIZE_TEXT.format('size')} as size_text from files",
         "exact_groups": exact + "select group_id, size, n_members from groups",
         "exact_members": exact + "select group_id, member_rank, path, size, mtime from members",
+        "group_keepers": exact + "select group_id, path as keeper from members where by_oldest_day = 1",
+        "suggested_index": exact + "select group_id, path, member_rank as suggested from members where by_newest_day = 1",
         "exact_sha256": exact + "select group_id, path from members",
         "exact_bytes": exact + "select group_id, path from members",
         "exact_pages": """with copies as (select html, count(*) as n from pages group by html having count(*) > 1)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from twinsift.functions.content import digest, files_identical, fingerprint
 from twinsift.operators.ordering import keeper
-from twinsift.skew import join_groups, number_rows, with_aggregates
-from twinsift.staging import broadcast_rows, small_side, stage, stage_counted
+from twinsift.skew import number_rows, with_aggregates
+from twinsift.staging import broadcast_rows, hot_rows, small_side, stage_counted
 
 DIGEST_KEY = ["size", "fingerprint", "digest"]
 CONTENT_KEY = ["size", "fingerprint", "content"]
@@ -41,7 +41,7 @@ def size_buckets(files: DataFrame) -> DataFrame:
 
 def dup_size_candidates(files: DataFrame) -> DataFrame:
     """Files whose size occurs more than once, with the size of their bucket as ``n_files``."""
-    return with_aggregates(files, ["size"], {}, files.count(), "n_files").where("n_files > 1")
+    return with_aggregates(files, ["size"], {}, files.count(), "n_files", "n_files > 1")
 
 
 def fingerprint_table(
@@ -56,25 +56,25 @@ def fingerprint_table(
     return files.where(content.isNotNull()).select(*kept, *added)
 
 
-def exact_groups(files: DataFrame, verify: str = "sha256") -> DataFrame:
-    """``(group_id, size, n_members, wasted_bytes)``, one row per set of identical files.
+def exact_groups(
+    files: DataFrame, verify: str = "sha256", strategy: str | None = None, mtime: str = "mtime"
+) -> DataFrame:
+    """``(group_id, size, n_members, wasted_bytes[, keeper])``, one row per set of identical files.
 
     One scan and one shuffle of narrow rows; copies of one file combine before the shuffle.
     """
     if verify == "sha256":
-        groups = (
-            fingerprint_table(files)
-            .groupBy(*DIGEST_KEY)
-            .agg(F.count("*").alias("n_members"), F.min("path").alias("group_id"))
-            .where("n_members > 1")
-        )
+        keyed, keys = fingerprint_table(files), DIGEST_KEY
     else:
-        groups = (
-            exact_members(files, verify)
-            .groupBy("group_id")
-            .agg(F.max("size").alias("size"), F.count("*").alias("n_members"))
-        )
-    return groups.select("group_id", "size", "n_members", wasted_bytes().alias("wasted_bytes"))
+        keyed, keys = exact_members(files, verify), ["group_id", "size"]
+    facts = [F.count("*").alias("n_members"), F.min("path").alias("first_path")]
+    if strategy:
+        facts.append(keeper(keyed, strategy, mtime)["path"].alias("keeper"))
+    groups = keyed.groupBy(*keys).agg(*facts).where("n_members > 1")
+    return groups.select(
+        F.col("first_path").alias("group_id"), "size", "n_members", wasted_bytes().alias("wasted_bytes"),
+        *(["keeper"] if strategy else []),
+    )
 
 
 def exact_members(
@@ -106,7 +106,7 @@ def exact_members(
 def group_rows(keyed: DataFrame, keys: Sequence[str], facts: dict[str, Column], total: int) -> DataFrame:
     """Rows whose keys occur more than once, with the facts of their group."""
     own = [c for c in keyed.columns if c not in ("fingerprint", "digest", "content")]
-    attached = with_aggregates(keyed, keys, facts, total, "n_members").where("n_members > 1")
+    attached = with_aggregates(keyed, keys, facts, total, "n_members", "n_members > 1")
     if "keeper" in facts:
         attached = attached.withColumn("keeper", F.col("keeper.path"))
     return attached.select("group_id", "n_members", *[c for c in facts if c != "group_id"], *own)
@@ -148,7 +148,7 @@ def identical_to_first(files: DataFrame) -> DataFrame:
     """``(path, first_path, identical)``: each file against the first file of its size bucket."""
     keyed, total = stage_counted(fingerprint_table(files), "fingerprints")
     head = {"first": F.min(F.struct("path", "digest"))}
-    pairs = with_aggregates(keyed, ["size"], head, total, "n_files").where("n_files > 1")
+    pairs = with_aggregates(keyed, ["size"], head, total, "n_files", "n_files > 1")
     same = files_identical(
         F.col("path"), F.col("size"), F.col("digest"),
         F.col("first.path"), F.col("size"), F.col("first.digest"),
@@ -162,7 +162,7 @@ def rank_members(members: DataFrame, total: int | None = None) -> DataFrame:
     ``total`` is an upper bound on the number of members, if the caller knows one (the
     number of files will do); otherwise the members are staged and counted.
     """
-    if total is None:
+    if total is None or total > hot_rows(members.sparkSession):
         members, total = stage_counted(members, "members")
     return number_rows(members, ["group_id"], ["path"], "member_rank", total, "n_members")
 

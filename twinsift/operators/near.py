@@ -83,7 +83,8 @@ def near_members(
     if n_hashes > hot_rows(images.sparkSession):
         labelled = stage(labelled, "labelled")
     facts = {"n_members": F.sum("n_images"), "first": F.min(F.struct("first_path", "dhash"))}
-    by_hash = with_aggregates(labelled, ["component"], facts, n_hashes).where("n_members > 1").select(
+    grouped = with_aggregates(labelled, ["component"], facts, n_hashes, having="n_members > 1")
+    by_hash = grouped.select(
         "dhash",
         "n_images",
         "n_members",

@@ -42,11 +42,16 @@ def join_groups(
 
 
 def with_aggregates(
-    rows: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], total: int, size: str = "_rows"
+    rows: DataFrame,
+    keys: Sequence[str],
+    aggregates: dict[str, Column],
+    total: int,
+    size: str = "_rows",
+    having: str = "true",
 ) -> DataFrame:
     """``rows`` with aggregates of their group attached, and the group's row count as ``size``.
 
-    If all rows together may sit in one task, a window does it with a single shuffle.
+    Only groups that satisfy ``having``, an SQL condition on these, are kept. If all rows together may sit in one task, a window does it with a single shuffle.
     Otherwise groups are aggregated, with map-side combining, and joined back by
     ``join_groups``.
     """
@@ -54,9 +59,9 @@ def with_aggregates(
     if total <= hot_rows(rows.sparkSession):
         group = Window.partitionBy(*keys)
         attached = {name: value.over(group) for name, value in aggregates.items()}
-        return rows.withColumns({**attached, size: F.count("*").over(group)})
+        return rows.withColumns({**attached, size: F.count("*").over(group)}).where(having)
     named = [value.alias(name) for name, value in aggregates.items()]
-    groups = rows.groupBy(*keys).agg(*named, F.count("*").alias(size))
+    groups = rows.groupBy(*keys).agg(*named, F.count("*").alias(size)).where(having)
     joined = join_groups(rows, groups, keys, size, total)
     return joined.select(*rows.columns, *aggregates, size)
 

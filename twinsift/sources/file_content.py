@@ -114,7 +114,7 @@ def _confirmed(keyed: DataFrame, total: int) -> tuple[DataFrame, int]:
     """Rows with ``head``, a file of the same bytes: the first of the bucket or of what is left of it."""
     confirmed, rest, left = None, keyed, total
     while left:
-        headed = with_aggregates(rest, ["size", "fingerprint"], {"head": F.min("path")}, left, "_n").where("_n > 1")
+        headed = with_aggregates(rest, ["size", "fingerprint"], {"head": F.min("path")}, left, "_n", "_n > 1")
         pairs = _spread(headed.drop("_n"), left).withColumn("_head", F.col("head").cast("binary"))
         schema = StructType(pairs.schema.fields + [StructField("same", BooleanType())])
         compared = stage(pairs.mapInArrow(_compare_batches, schema).drop("_raw", "_head"), "compared")
