@@ -34,6 +34,8 @@ MAX_PROBES = 20_000
 #: Pairs one task of a join compares, and most tasks a join is given.
 PAIRS_PER_TASK = 1_000_000_000
 MAX_TASKS = 50_000
+#: A block value is hot only if this many times more pairs meet at it than on even data.
+SKEW_FACTOR = 8
 
 
 @dataclass(frozen=True)
@@ -181,7 +183,7 @@ def pairs_of(hashes: DataFrame, n: int, threshold: int, linked: bool = False) ->
     plain = hashes.selectExpr("*", "cast(null as bigint) as _class")
     hot, n_hot = None, 0
     if n * n > hot_pairs(spark):  # else no bucket can be hot
-        hot, n_hot = stage_counted(_hot_keys(plain, blocks, hot_pairs(spark)), "hot-keys")
+        hot, n_hot = stage_counted(_hot_keys(plain, n, blocks, hot_pairs(spark)), "hot-keys")
     if n_hot == 0:
         return _meet(*_sides(plain, blocks), ["_key"], threshold, tasks).distinct()
 
@@ -210,9 +212,10 @@ def _sides(hashes: DataFrame, blocks: list[Block]) -> tuple[DataFrame, DataFrame
     return _probes(hashes, blocks, "left", "_key"), _probes(hashes, blocks, "right", "_key")
 
 
-def _hot_keys(hashes: DataFrame, blocks: list[Block], limit: int) -> DataFrame:
-    """Keys at which more than ``limit`` pairs would meet, and how many rows do: ``(_key, _met)``.
+def _hot_keys(hashes: DataFrame, n: int, blocks: list[Block], limit: int) -> DataFrame:
+    """Keys at which too many pairs would meet, and how many rows do: ``(_key, _met)``.
 
+    Too many is more than ``limit`` and several times what evenly spread hashes would give.
     Counted from block values, of which there are far fewer than probes.
     """
     exact = [Block(b.number, b.shift, b.width, 0) for b in blocks]
@@ -231,8 +234,16 @@ def _hot_keys(hashes: DataFrame, blocks: list[Block], limit: int) -> DataFrame:
         return together.groupBy("_key").agg(F.sum("_n").alias(out))
 
     met = reach("left", "_l").join(reach("right", "_r"), "_key")
-    pairs = F.col("_l").cast("double") * F.col("_r")
-    return met.where(pairs > limit).selectExpr("_key", "_l + _r as _met")
+    bound = _table(blocks, lambda b: max(limit, int(SKEW_FACTOR * _even_meetings(n, b))))
+    return met.where(
+        f"cast(_l as double) * _r > get({bound}, cast(shiftright(_key, {BLOCK_TAG}) as int))"
+    ).selectExpr("_key", "_l + _r as _met")
+
+
+def _even_meetings(n: int, block: Block) -> float:
+    """Pairs that meet at one value of a block if the hashes are spread evenly."""
+    per_value = n / 2**block.width
+    return per_value * _ball(block.width, block.left) * per_value * _ball(block.width, block.right)
 
 
 def _rest_of(block: Block) -> list[tuple[int, int]]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 
 #: Default for ``spark.twinsift.hotPairs``: pairs one Hamming bucket may compare in one task.
-HOT_PAIRS = 2_000_000_000
+HOT_PAIRS = 50_000_000
 
 #: Default for ``spark.twinsift.broadcastRows``: key lists up to this length may be broadcast.
 BROADCAST_ROWS = 200_000
