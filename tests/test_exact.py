@@ -20,7 +20,7 @@ def test_buckets_of_matching_sizes(spark):
     sizes = [100, 100, 200, 300, 300, 300]
     files = spark.createDataFrame([(f"/f{i}", s) for i, s in enumerate(sizes)], "path string, size bigint")
     found = exact.dup_size_candidates(files).groupBy("size").count().collect()
-    assert {r.size_ if hasattr(r, "size_") else r["size"]: r["count"] for r in found} == {100: 2, 300: 3}
+    assert {r["size"]: r["count"] for r in found} == {100: 2, 300: 3}
 
 
 def test_min_size_is_inclusive(spark):
