@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import winnowing
+from twinsift.llm import quality, sharding, winnowing
 from twinsift.llm.common import table
 
 
@@ -15,8 +15,20 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight contiguous shards of near equal bytes."""
+    return sharding.sharded_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts of all documents and the verdict by limits of their language and source."""
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op4_byte_shards": op4_byte_shards,
+    "op5_adaptive_quality": op5_adaptive_quality,
 }
 
 
