@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import quality, sharding, winnowing
+from twinsift.llm import mixing, quality, sharding, winnowing
 from twinsift.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op3_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources to target weights takes of every document."""
+    return mixing.mixed_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight contiguous shards of near equal bytes."""
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
@@ -27,6 +32,7 @@ def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op3_golden_mix": op3_golden_mix,
     "op4_byte_shards": op4_byte_shards,
     "op5_adaptive_quality": op5_adaptive_quality,
 }
