@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import mixing, quality, sharding, winnowing
+from twinsift.llm import jaccard_join, mixing, quality, sharding, winnowing
 from twinsift.llm.common import table
 
 
@@ -30,11 +30,17 @@ def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents linked by near equal sets of three-word shingles."""
+    return jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op3_golden_mix": op3_golden_mix,
     "op4_byte_shards": op4_byte_shards,
     "op5_adaptive_quality": op5_adaptive_quality,
+    "op6_jaccard_groups": op6_jaccard_groups,
 }
 
 

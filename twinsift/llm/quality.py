@@ -109,10 +109,10 @@ def limits(measured: DataFrame, min_rows: int = 100, spread: float = 5.0) -> Dat
     fences = stage(fences, "quality-limits")
     own = fences.where("level = 2").select("lang", "source", "total", F.col("at").alias("own"))
     lang = fences.where("level = 1").select(F.col("lang").alias("l"), F.col("total").alias("in_lang"), F.col("at").alias("of_lang"))
-    every = fences.where("level = 0").select(F.lit(True).alias("one"), F.col("at").alias("of_all"))
+    every = fences.where("level = 0").select((F.col("total") >= 0).alias("one"), F.col("at").alias("of_all"))
     return (
         own.join(lang, F.col("lang").eqNullSafe(F.col("l")))
-        .withColumn("one", F.lit(True))
+        .withColumn("one", F.col("total") >= 0)
         .join(every, "one")
         .select("lang", "source", F.when(F.col("total") >= min_rows, F.col("own")).when(F.col("in_lang") >= min_rows, F.col("of_lang")).otherwise(F.col("of_all")).alias("at"))
     )
