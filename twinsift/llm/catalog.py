@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import jaccard_join, mixing, quality, sharding, winnowing
+from twinsift.llm import bpe, jaccard_join, mixing, quality, sharding, winnowing
 from twinsift.llm.common import table
 
 
@@ -35,12 +35,18 @@ def op6_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents, encoded and decoded by byte-level BPE."""
+    return bpe.token_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op3_golden_mix": op3_golden_mix,
     "op4_byte_shards": op4_byte_shards,
     "op5_adaptive_quality": op5_adaptive_quality,
     "op6_jaccard_groups": op6_jaccard_groups,
+    "op7_speculative_bpe": op7_speculative_bpe,
 }
 
 
