@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import bpe, html_extract, jaccard_join, mixing, quality, sharding, winnowing
+from twinsift.llm import bpe, html_extract, jaccard_join, mixing, quality, sharding, toxicity, winnowing
 from twinsift.llm.common import table
 
 
@@ -45,6 +45,11 @@ def op9_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.page_texts(table(spark, sf_dir, "pages"))
 
 
+def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by their maximum-scoring segments."""
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op3_golden_mix": op3_golden_mix,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_groups": op6_jaccard_groups,
     "op7_speculative_bpe": op7_speculative_bpe,
     "op9_host_suffixes": op9_host_suffixes,
+    "op10_toxic_segments": op10_toxic_segments,
 }
 
 
