@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import bpe, html_extract, jaccard_join, mixing, quality, sharding, toxicity, winnowing
+from twinsift.llm import bpe, html_extract, jaccard_join, mixing, pitman_yor, quality, sharding, toxicity, winnowing
 from twinsift.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a hierarchical Pitman-Yor model of word pairs."""
+    return pitman_yor.scored_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages, without what the pages of a host repeat."""
     return html_extract.page_texts(table(spark, sf_dir, "pages"))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_adaptive_quality": op5_adaptive_quality,
     "op6_jaccard_groups": op6_jaccard_groups,
     "op7_speculative_bpe": op7_speculative_bpe,
+    "op8_pitman_yor": op8_pitman_yor,
     "op9_host_suffixes": op9_host_suffixes,
     "op10_toxic_segments": op10_toxic_segments,
 }
