@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 #: Fixed value: how text is cut into words before merging, as byte-level BPE defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Words a task remembers, and the longest that it remembers.
-REMEMBERED, LONGEST = 400_000, 64
+#: Words a task remembers.
+REMEMBERED = 400_000
 
-#: Words of more tokens than this are merged with a heap.
-SHORT = 48
+#: Words of more bytes than this are merged with a heap.
+SHORT = 200
+
+#: Words that are looked up and gathered at once.
+CHUNK = 300_000
 
 
 def default_path() -> str:
@@ -84,13 +87,14 @@ class Vocabulary:
         self.pair_keys, self.pair_ids = (a << 32 | b)[order], ab[order]
         whole = np.zeros(self.size, bool)
         whole[[i for i in self.ids.values()]] = True
+        self.byte_ids = np.array([self.ids[bytes([i])] for i in range(256)], np.int64)
         sound = self.compatible(a, b, ab)
         for x, y, z, ok in zip(a.tolist(), b.tolist(), ab.tolist(), sound.tolist()):
             whole[z] = ok and whole[x] and whole[y]
         self.proposed = {t: i for t, i in self.ids.items() if whole[i]}
         self.longest: dict[bytes, int] = {}
         for t in self.proposed:
-            self.longest[t[:2]] = max(self.longest.get(t[:2], 1), len(t))
+            self.longest[t[:3]] = max(self.longest.get(t[:3], 1), len(t))
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that two tokens merge to, else -1."""
@@ -127,7 +131,7 @@ class Vocabulary:
         """Greedy cut into the longest tokens."""
         out, i, n, get = [], 0, len(word), self.proposed.get
         while i < n:
-            for end in range(min(n, i + self.longest.get(word[i : i + 2], 1)), i, -1):
+            for end in range(min(n, i + self.longest.get(word[i : i + 3], 2)), i, -1):
                 token = get(word[i:end])
                 if token is not None:
                     break
@@ -136,26 +140,65 @@ class Vocabulary:
         return out
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging."""
-        ids = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        if len(ids) > SHORT:
-            return self._merge_long(ids)
-        get, never = self.ranks.get, self.size
-        while len(ids) > 1:
-            ranks = [get(x << 32 | y, never) for x, y in zip(ids, ids[1:])]
-            best = min(ranks)
-            if best == never:
-                break
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and ranks[i] == best:
-                    out.append(best)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        """Exact merging of one word."""
+        return self.merge_all([word])[0].tolist()
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words at once: flat ids, and tokens per word.
+
+        Each round merges, in every word, the pair of its lowest rank wherever it stands (a merge
+        makes no pair of lower rank). Words that are done leave; very long ones use a heap.
+        """
+        out: dict[int, np.ndarray] = {}
+        for i, w in enumerate(words):
+            if len(w) > SHORT:
+                out[i] = np.array(self._merge_long([self.ids[w[j : j + 1]] for j in range(len(w))]), np.int64)
+        short = [i for i in range(len(words)) if i not in out]
+        never = self.size
+        ids = self.byte_ids[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
+        word = np.repeat(np.arange(len(short)), [len(words[i]) for i in short])
+        done_ids, done_word = [], []
+        rank = self._ranks(ids, word, np.arange(len(ids)))
+        while len(ids):
+            start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            best = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.r_[start, len(ids)]))
+            ended = best == never
+            if ended.any():
+                done_ids.append(ids[ended])
+                done_word.append(word[ended])
+                ids, word, rank, best = ids[~ended], word[~ended], rank[~ended], best[~ended]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == best)
+            # In a row of equal neighbours, as in "aaa", every second pair is merged.
+            run = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+            offset = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+            at = at[offset % 2 == 0]
+            ids[at] = rank[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            new = np.cumsum(keep)[at] - 1
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            changed = np.unique(np.r_[new, np.maximum(new - 1, 0)])
+            rank[changed] = self._ranks(ids, word, changed)
+        flat = np.concatenate(done_ids) if done_ids else np.array([], np.int64)
+        of = np.concatenate(done_word) if done_word else np.array([], np.int64)
+        order = np.argsort(of, kind="stable")
+        count = np.zeros(len(words), np.int64)
+        count[short] = np.bincount(of, minlength=len(short)) if len(short) else 0
+        for i, found in out.items():
+            count[i] = len(found)
+        if not out:
+            return flat[order], count
+        pieces = np.split(flat[order], np.cumsum(count[short])[:-1]) if short else []
+        every = out | dict(zip(short, pieces))
+        return np.concatenate([every[i] for i in range(len(words))]), count
+
+    def _ranks(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What the tokens at these places merge to with the next one of their word, else a value beyond all."""
+        after = np.minimum(at + 1, len(ids) - 1)
+        over = self.merged(ids[at], ids[after])
+        return np.where((over >= 0) & (word[at] == word[after]) & (after > at), over, self.size)
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         after = [*range(1, len(ids)), -1]
@@ -186,12 +229,17 @@ class Vocabulary:
         pairs, back = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
         fits = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
         failed = np.unique(of[inner[~fits[back]]])
-        for i in failed.tolist():
-            cut[i] = self.merge(words[i])
-        if len(failed):
-            count = np.array([len(c) for c in cut], np.int64)
-            flat = np.array([t for c in cut for t in c], np.int64)
-        return flat, count, len(failed)
+        if not len(failed):
+            return flat, count, 0
+        merged, n = self.merge_all([words[i] for i in failed.tolist()])
+        total = count.copy()
+        total[failed] = n
+        out = np.empty(total.sum(), np.int64)
+        start, good = np.cumsum(total) - total, np.ones(len(words), bool)
+        good[failed] = False
+        out[spread(start[good], total[good])] = flat[good[of]]
+        out[spread(start[failed], n)] = merged
+        return out, total, len(failed)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.joined[spread(self.starts[ids], self.lengths[ids])].tobytes()
@@ -258,18 +306,31 @@ def encoder(spark: SparkSession, path: str | None = None):
         vocab = vocabulary(shared.value)
         cut, memory = regex.compile(PATTERN), _Memory(vocab)
         for batch in batches:
-            found = []
+            counts, parts, found, held = [], [], [], 0
+
+            def gather() -> None:
+                memory.learn()
+                index = np.concatenate(found)
+                ends = np.cumsum([len(f) for f in found])
+                n = np.r_[0, np.cumsum(memory.count[index])]
+                counts.append(np.diff(n[np.r_[0, ends]]))
+                parts.append(memory.flat[spread(memory.start[index], memory.count[index])].astype(np.int32))
+                found.clear()
+                if memory.n > REMEMBERED:
+                    memory.reset()
+
             for text in batch:
                 words = _words(vocab, cut, (text.as_py() or b"").decode("utf-8", "replace"))
                 found.append(np.fromiter(map(memory.__getitem__, words), np.int64, len(words)))
-            memory.learn()
-            index = np.concatenate(found) if found else np.array([], np.int64)
-            ids = memory.flat[spread(memory.start[index], memory.count[index])]
-            upto = np.r_[0, np.cumsum(memory.count[index])]
-            offsets = upto[np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int64)]
+                held += len(words)
+                if held > CHUNK:
+                    gather()
+                    held = 0
+            if found:
+                gather()
+            offsets = np.r_[0, np.cumsum(np.concatenate(counts))] if counts else np.zeros(1, np.int64)
+            ids = np.concatenate(parts) if parts else np.array([], np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            if memory.n > REMEMBERED:
-                memory.reset()
 
     return lambda text: encode(text.cast("binary"))
 
@@ -282,7 +343,7 @@ def decoder(spark: SparkSession, path: str | None = None):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(shared.value)
         for batch in batches:
-            flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.flatten().to_numpy(zero_copy_only=False)
             counts = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(counts)
             texts = [vocab.decode(flat[e - n : e]).decode("utf-8", "replace") for e, n in zip(ends, counts)]
