@@ -1,22 +1,57 @@
-"""The corpus pipeline: STAGES over the documents table, each written and read again."""
+"""The corpus pipeline: stages over the documents table, each written and read again by the next."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from twinsift.llm import bpe, jaccard_join, mixing, quality, secrets
 from twinsift.llm.common import table
 from twinsift.staging import stage
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: rejected documents go."""
+    return quality.keep_good(docs)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near duplicates (five-word shingles, 0.8): one document of each group stays."""
+    return jaccard_join.keep_one(docs, 5, 80)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scan: secrets give way to a mark; no document goes."""
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: documents are repeated or left out."""
+    return mixing.repeat_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, in place of its text."""
+    return bpe.with_tokens(docs).select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good),
+    ("near_duplicates", distinct),
+    ("secrets", without_secrets),
+    ("mix", mixed),
+    ("encode", encoded),
+]
+
+#: The stages are not expressible in SQL; tests hold each against brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, each written as Parquet and read again as the documents of the next."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
-
-
-ORACLE_SQL = None

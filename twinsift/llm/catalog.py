@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import bpe, html_extract, jaccard_join, mixing, pitman_yor, quality, sharding, toxicity, winnowing
+from twinsift.llm import bpe, html_extract, jaccard_join, mixing, pitman_yor, quality, secrets, sharding, toxicity, winnowing
 from twinsift.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret candidates of all documents, rated by a random forest."""
+    return secrets.findings(table(spark, sf_dir, "documents"))
+
+
 def op3_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all sources to target weights takes of every document."""
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
@@ -57,6 +62,7 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op2_secret_forest": op2_secret_forest,
     "op3_golden_mix": op3_golden_mix,
     "op4_byte_shards": op4_byte_shards,
     "op5_adaptive_quality": op5_adaptive_quality,
