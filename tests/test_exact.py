@@ -4,7 +4,7 @@ import pytest
 from tests.helpers import grouped, inventory
 from pyspark.sql import functions as F
 
-from twinsift.functions.content import files_identical, fingerprint_seed0
+from twinsift.functions.content import files_identical
 from twinsift.operators import exact
 
 VERIFY = ["sha256", "bytes"]
@@ -128,13 +128,3 @@ def test_identical_to_first_of_its_size(spark):
     files = inventory(spark, {"/a": b"one", "/b": b"two", "/c": b"one", "/d": b"alone"})
     found = {r.path: (r.first_path, r.identical) for r in exact.identical_to_first(files).collect()}
     assert found == {"/a": ("/a", True), "/b": ("/a", False), "/c": ("/a", True)}
-
-
-def test_fingerprint_with_seed_zero(spark):
-    import xxhash
-
-    values = [b"", b"a", b"Hello", b"hello", b"A" * 150_000, None]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, c binary")
-    got = {r.i: r.h & (2**64 - 1) for r in df.select("i", fingerprint_seed0("c").alias("h")).collect()}
-    assert got == {i: 0 if v is None else xxhash.xxh64_intdigest(v) for i, v in enumerate(values)}
-    assert got[0] != 0 and got[2] != got[3]

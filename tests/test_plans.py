@@ -53,6 +53,16 @@ def test_newest_with_every_time_type(spark, kind):
     assert kept(cleanup.make_plan(members, strategy="newest")) == ["/b"]
 
 
+def test_a_strategy_that_is_asked_for_overrides_a_keeper(spark):
+    files = inventory(spark, {"/a": b"x", "/b": b"x"}, {"/a": 1, "/b": 2})
+    members = exact.exact_members(files, strategy="oldest")
+
+    def kept(**asked):
+        return [r.path for r in cleanup.make_plan(members, **asked).where("action = 'keep'").collect()]
+
+    assert kept() == ["/a"] == kept(strategy="oldest") and kept(strategy="newest") == ["/b"]
+
+
 def test_single_member_is_kept(spark):
     assert actions(cleanup.make_plan(members_of(spark, [[("/only", 5, 0)]]))) == {("/only", "keep")}
     assert cleanup.make_plan(members_of(spark, [[("/only", 5, 0)]]).where("false")).count() == 0
@@ -248,4 +258,4 @@ def test_report_lists_every_member_in_bounded_parts(spark):
     rows = {(r.group_id, r.part): r for r in report.exact_report(members, part=10).collect()}
     assert [len(rows["/m00", part].files) for part in range(3)] == [10, 10, 5]
     assert [p for part in range(3) for p in rows["/m00", part].files] == [f"/m{i:02d}" for i in range(25)]
-    assert rows["/m00", 1].wasted_bytes == 96 and rows["/x", 0].size_bytes == 1
+    assert [rows["/m00", p].wasted_bytes for p in range(3)] == [96, 0, 0] and rows["/x", 0].size_bytes == 1

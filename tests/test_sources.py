@@ -8,7 +8,7 @@ from twinsift.operators.exact import exact_members
 from twinsift.operators.near import near_members, similarity_listing, skipped_images
 from twinsift.plans import scan as jobs
 from twinsift.sources import file_content, synthetic
-from twinsift.sources.images import hash_listed, hash_tree
+from twinsift.sources.images import hash_listed
 from twinsift.sources.listing import list_tree
 
 
@@ -118,9 +118,10 @@ def pictures(tmp_path):
 
 
 def test_image_source(spark, pictures):
+    images = hash_listed(list_tree(spark, str(pictures)).files)
     hashes = {
         os.path.basename(r.path): None if r.h is None else r.h.lower().rjust(16, "0")
-        for r in hash_tree(spark, str(pictures)).select("path", F.hex("dhash").alias("h")).collect()
+        for r in images.select("path", F.hex("dhash").alias("h")).collect()
     }
     assert hashes == {
         "ramp +1%.png": "f" * 16, "ramp2.JPG": "f" * 16, "inverted.png": "0" * 16, "check.bmp": "a54a4aa54aa5a54a",
@@ -128,8 +129,45 @@ def test_image_source(spark, pictures):
     }
 
 
+@pytest.mark.parametrize("spelling", ["{}", "{}/", "{}/../x [1]", "//{}", "./x [1]"])
+def test_no_image_is_lost(spark, tmp_path, monkeypatch, spelling):
+    """Hidden names and folders, and any spelling of a root that looks like a pattern."""
+    root = tmp_path / "x [1]"
+    (root / "_sub").mkdir(parents=True)
+    for name in ("a.png", "_b.png", ".c.png", "_sub/d.png"):
+        write_png(root / name, 30, 30, gradient(30))
+    monkeypatch.chdir(tmp_path)
+    scan = jobs.scan_tree(spark, spelling.format(root), near=True)
+    assert grouped(scan.near) == grouped(scan.exact) and [len(g) for g in grouped(scan.near).values()] == [4]
+    assert scan.skipped_images.count() == 0
+
+
+def test_no_images_at_all(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"x")
+    assert hash_listed(list_tree(spark, str(tmp_path)).files).collect() == []
+
+
+def test_times_below_a_microsecond_decide(spark, tmp_path):
+    for name, ns in (("a", 1_700_000_000_000_000_900), ("b", 1_700_000_000_000_000_100)):
+        (tmp_path / name).write_bytes(b"same")
+        os.utime(tmp_path / name, ns=(ns, ns))
+    scan = jobs.scan_tree(spark, str(tmp_path))
+    assert {os.path.basename(r.keeper) for r in scan.exact.collect()} == {"b"}
+
+
+def test_files_that_vanish_take_one_round(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"f{i}").write_bytes(b"same bytes")
+    files = list_tree(spark, str(tmp_path)).files
+    rows = files.withColumn("fingerprint", F.lit(1).cast("bigint"))
+    for i in (0, 3):
+        (tmp_path / f"f{i}").unlink()
+    confirmed, _ = file_content._confirmed(rows, 6)
+    assert sorted(os.path.basename(r.path) for r in confirmed.collect()) == ["f1", "f2", "f4", "f5"]
+
+
 def test_near_groups_of_files(spark, pictures):
-    images = hash_listed(list_tree(spark, str(pictures)).files, str(pictures))
+    images = hash_listed(list_tree(spark, str(pictures)).files)
     assert sorted(os.path.basename(r.path) for r in skipped_images(images).collect()) == ["bad.jpeg", "cut.png"]
     members = near_members(images, 5)
     listing = {os.path.basename(r.path): (r.is_reference, r.distance) for r in similarity_listing(members).collect()}

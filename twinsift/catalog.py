@@ -49,7 +49,7 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_images(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents that have a raster as images: exact and near groups share these files."""
+    """The documents with image names and their hashes, null without a raster: exact and near groups share these files."""
     pictured = document_images(
         read_table(spark, folder, "documents"), read_table(spark, folder, "embeddings")
     )
@@ -251,6 +251,11 @@ def near_groups(spark, folder):
     return members.groupBy("group_id").agg(F.count("*").alias("n_members"))
 
 
+@query
+def skipped_images(spark, folder):
+    return near.skipped_images(file_images(spark, folder))
+
+
 @query
 def near_distances(spark, folder):
     return near.similarity_listing(near.near_members(images(spark, folder), NEAR_THRESHOLD))

@@ -153,6 +153,8 @@ def oracle_sql() -> dict[str, str]:
                    cast(100 - ({DISTANCE.format('a', 'b')} * 100) // 64 as integer) as similarity
             from d a join d b on (a.hi < b.hi or (a.hi = b.hi and a.lo < b.lo)) and {DISTANCE.format('a', 'b')} <= 14""",
         "near_groups": near + "select group_id, count(*) as n_members from near group by group_id",
+        "skipped_images": _with(FILES, RASTERS) + """select f.path from files f
+            where regexp_matches(lower(f.path), '[^/][.](jpg|jpeg|png|bmp)$') and f.doc_id not in (select img_id from rasters)""",
         "near_distances": near + """select group_id, path, path = group_id as is_reference,
             cast(100 - (distance * 100) // 64 as integer) as similarity, distance from near_far""",
         "plan_oldest": _plan_sql("by_oldest_day"),

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 
 def content_size(content: Column) -> Column:
@@ -22,20 +20,6 @@ def digest(content: Column) -> Column:
     return F.unhex(F.sha2(content, 256))
 
 
-@F.pandas_udf(LongType())
-def fingerprint_seed0(content: pd.Series) -> pd.Series:
-    """64-bit xxHash with seed 0, the bits as BIGINT; 0 for no content."""
-    import xxhash
-
-    def bits(value):
-        if value is None:
-            return 0
-        unsigned = xxhash.xxh64_intdigest(value, seed=0)
-        return unsigned - (1 << 64) if unsigned >> 63 else unsigned
-
-    return content.map(bits).astype("int64")
-
-
 def files_identical(
     path_a: Column, size_a: Column, content_a: Column,
     path_b: Column, size_b: Column, content_b: Column,

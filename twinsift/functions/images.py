@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -61,6 +59,8 @@ def _hash_images(width, height, channels, data, bgr: bool) -> list[int | None]:
         if pixels is None:
             continue
         pixels = _as_bytes(pixels)
+        if pixels is None:
+            continue
         if w <= 0 or h <= 0 or c <= 0 or pixels.size == 0:
             hashes[i] = 0
         elif pixels.size >= w * h * c:
@@ -76,10 +76,14 @@ def _hash_images(width, height, channels, data, bgr: bool) -> list[int | None]:
     return hashes
 
 
-def _as_bytes(data) -> np.ndarray:
+def _as_bytes(data) -> np.ndarray | None:
+    """The values of a raster; None if one of them is no byte."""
     if isinstance(data, (bytes, bytearray, memoryview)):
         return np.frombuffer(data, dtype=np.uint8)
-    return np.asarray(data, dtype=np.uint8)
+    values = np.asarray(data)
+    if values.dtype.kind not in "iub" or values.size and not (0 <= values.min() and values.max() <= 255):
+        return None
+    return values.astype(np.uint8)
 
 
 def _hash_batches(batches, bgr: bool) -> Iterator[pd.Series]:
@@ -142,6 +146,3 @@ def dhash_of_pixels(width: str, height: str, channels: str, pixels: str) -> str:
         when {width} <= 0 or {height} <= 0 or {channels} <= 0 or size({pixels}) = 0 then 0L
         else {grid_bits(luma_grid(width, height, channels, pixels))} end"""
 
-
-# Executors need numpy and pandas only: the functions travel with the job.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

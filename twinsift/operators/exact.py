@@ -146,7 +146,9 @@ def _verify_bytes(
 
 def identical_to_first(files: DataFrame) -> DataFrame:
     """``(path, first_path, identical)``: each file against the first file of its size bucket."""
-    keyed, total = stage_counted(fingerprint_table(files), "fingerprints")
+    # Unreadable files stay: they are identical to no other.
+    listed = files.select(*(c for c in files.columns if c != "content"), digest(F.col("content")).alias("digest"))
+    keyed, total = stage_counted(listed, "fingerprints")
     head = {"first": F.min(F.struct("path", "digest"))}
     pairs = with_aggregates(keyed, ["size"], head, total, "n_files", "n_files > 1")
     same = files_identical(

@@ -14,19 +14,23 @@ from twinsift.skew import with_aggregates
 from twinsift.staging import stage_counted
 
 
+def with_keeper(members: DataFrame, strategy: str | None = None, mtime: str = "mtime") -> DataFrame:
+    """Members with their group's ``keeper`` path.
 
-def with_keeper(members: DataFrame, strategy: str = "oldest", mtime: str = "mtime") -> DataFrame:
-    """Members with their group's ``keeper`` path (found again only if they do not carry it)."""
-    if "keeper" in members.columns:
+    Without a ``strategy`` members that carry a keeper retain it, and others get the oldest. A
+    strategy that is asked for decides anew, whatever the members carry.
+    """
+    if "keeper" in members.columns and strategy is None:
         return members
-    members, total = stage_counted(members, "members")
+    strategy = strategy or "oldest"
+    members, total = stage_counted(members.drop("keeper"), "members")
     facts = {"keeper": keeper(members, strategy, mtime)}
     found = with_aggregates(members, ["group_id"], facts, total).drop("_rows")
     return found.withColumn("keeper", F.col("keeper.path"))
 
 
 def plan_group_members(
-    members: DataFrame, source: str, strategy: str = "oldest", mtime: str = "mtime"
+    members: DataFrame, source: str, strategy: str | None = None, mtime: str = "mtime"
 ) -> DataFrame:
     """Plan for one kind of group: the keeper is kept, the rest deleted."""
     action = F.when(F.col("path") == F.col("keeper"), "keep").otherwise("delete")
@@ -38,7 +42,7 @@ def plan_group_members(
 def make_plan(
     exact: DataFrame,
     near: DataFrame | None = None,
-    strategy: str = "oldest",
+    strategy: str | None = None,
     mtime: str = "mtime",
     resolve: bool = False,
 ) -> DataFrame:
@@ -71,7 +75,7 @@ def plan_totals(plan: DataFrame) -> DataFrame:
 
 
 def dry_run(
-    exact: DataFrame, near: DataFrame | None = None, strategy: str = "oldest", mtime: str = "mtime"
+    exact: DataFrame, near: DataFrame | None = None, strategy: str | None = None, mtime: str = "mtime"
 ) -> DataFrame:
     """The totals of the plan; changes nothing."""
     return plan_totals(make_plan(exact, near, strategy, mtime))

@@ -51,9 +51,12 @@ def _in_parts(members: DataFrame, *entry: Column, total: int | None, part: int)
 
 
 def exact_report(members: DataFrame, total: int | None = None, part: int = PART) -> DataFrame:
-    """``(group_id, part, size_bytes, wasted_bytes, files)``; ``files`` are paths."""
+    """``(group_id, part, size_bytes, wasted_bytes, files)``; ``files`` are paths.
+
+    The group's wasted bytes stand on part 0 and are 0 on others, so they can be summed.
+    """
     return _in_parts(members, F.col("path"), total=total, part=part).select(
-        "group_id", "part", F.col("size").alias("size_bytes"), wasted_bytes().alias("wasted_bytes"), "files"
+        "group_id", "part", F.col("size").alias("size_bytes"), F.when(F.col("part") == 0, wasted_bytes()).otherwise(F.lit(0)).alias("wasted_bytes"), "files"
     )
 
 

@@ -38,14 +38,14 @@ def scan_tree(
     if not os.path.isdir(root):
         raise ValueError(f"Provided path is not a valid directory: {root}")
     listing = list_tree(spark, root, min_size)
-    exact = stage(exact_file_members(listing.files, verify, strategy), "exact-members")
+    exact = stage(exact_file_members(listing.files, verify, strategy, "mtime_ns"), "exact-members")
     if not near:
         return Scan(listing, exact)
-    images = stage(hash_listed(listing.files, root), "image-hashes")
+    images = stage(hash_listed(listing.files), "image-hashes")
     return Scan(
         listing,
         exact,
-        stage(near_members(images, threshold, strategy), "near-members"),
+        stage(near_members(images, threshold, strategy, "mtime_ns"), "near-members"),
         skipped_images(images),
     )
 

@@ -7,11 +7,9 @@ digest, or compares two files and emits whether they are equal.
 from __future__ import annotations
 
 import hashlib
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
@@ -19,7 +17,7 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, St
 from twinsift.operators.exact import DIGEST_KEY, dup_size_candidates, group_rows
 from twinsift.operators.ordering import keeper
 from twinsift.skew import with_aggregates
-from twinsift.staging import shuffle_width, stage, stage_counted
+from twinsift.staging import ship_package, shuffle_width, stage, stage_counted
 
 CHUNK = 64 * 1024
 #: Files that one task reads.
@@ -51,26 +49,39 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _equal_files(a: bytes, b: bytes) -> bool:
-    """Byte-by-byte equality that stops at the first chunk that differs; unreadable is unequal."""
-    if a == b:
+def _readable(path: bytes) -> bool:
+    try:
+        with open(path, "rb") as file:
+            file.read(1)
         return True
+    except OSError:
+        return False
+
+
+def _equal_files(a: bytes, b: bytes) -> tuple[bool, bool]:
+    """Byte-by-byte equality that stops at the first chunk that differs, and whether ``a`` can be read.
+
+    A file that cannot be read equals none; that its head can't be read says nothing about ``a``.
+    """
+    if a == b:
+        return (True, True) if _readable(a) else (False, False)
     try:
         with open(a, "rb") as first, open(b, "rb") as second:
             while True:
                 x, y = first.read(CHUNK), second.read(CHUNK)
                 if x != y:
-                    return False
+                    return False, True
                 if not x:
-                    return True
+                    return True, True
     except OSError:
-        return False
+        return False, _readable(a)
 
 
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = zip(batch.column("_raw").to_pylist(), batch.column("_head").to_pylist())
-        yield batch.append_column("same", pa.array([_equal_files(a, b) for a, b in pairs], pa.bool_()))
+        same, readable = zip(*(_equal_files(a, b) for a, b in pairs)) if batch.num_rows else ((), ())
+        yield batch.append_column("same", pa.array(same, pa.bool_())).append_column("readable", pa.array(readable, pa.bool_()))
 
 
 def _spread(files: DataFrame, rows: int) -> DataFrame:
@@ -81,6 +92,7 @@ def _spread(files: DataFrame, rows: int) -> DataFrame:
 
 def hash_files(files: DataFrame, rows: int) -> DataFrame:
     """Adds ``fingerprint`` and ``digest`` of each file; files that cannot be read are left out."""
+    ship_package(files.sparkSession)
     raw = _spread(files, rows)
     added = [StructField("fingerprint", LongType()), StructField("digest", BinaryType())]
     hashed = raw.mapInArrow(_hash_batches, StructType(raw.schema.fields + added))
@@ -111,17 +123,18 @@ def exact_file_members(
 
 
 def _confirmed(keyed: DataFrame, total: int) -> tuple[DataFrame, int]:
-    """Rows with ``head``, a file of the same bytes: the first of the bucket or of what is left of it."""
+    """Rows with ``head``, a file of the same bytes: the first of the bucket or of what is left of it.
+
+    Files that have become unreadable go at once, so rounds count the contents of a bucket only.
+    """
     confirmed, rest, left = None, keyed, total
     while left:
         headed = with_aggregates(rest, ["size", "fingerprint"], {"head": F.min("path")}, left, "_n", "_n > 1")
         pairs = _spread(headed.drop("_n"), left).withColumn("_head", F.col("head").cast("binary"))
-        schema = StructType(pairs.schema.fields + [StructField("same", BooleanType())])
+        schema = StructType(pairs.schema.fields + [StructField(c, BooleanType()) for c in ("same", "readable")])
         compared = stage(pairs.mapInArrow(_compare_batches, schema).drop("_raw", "_head"), "compared")
-        same = compared.where("same").drop("same")
+        same = compared.where("same").drop("same", "readable")
         confirmed = same if confirmed is None else confirmed.unionByName(same)
-        rest, left = stage_counted(compared.where("not same").drop("same", "head"), "unequal")
+        rest, left = stage_counted(compared.where("not same and readable").drop("same", "readable", "head"), "unequal")
     return (keyed.withColumn("head", F.col("path")), 0) if confirmed is None else (confirmed, total)
 
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,45 +1,72 @@
-"""Images on a file system, decoded by Spark's image source and hashed in the same task."""
+"""Images on a file system that all executors mount, decoded by Spark's image source.
+
+The image source lists folders by itself: it passes over names that begin with ``.`` or ``_``,
+and reads ``[1]`` in a path as a pattern. So it is given links instead. Every image of a listing
+gets one below the shared folder, named by the SHA-256 of its path, in one of 256 folders; what
+was decoded is joined back by that name. Only the hash leaves a task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import os
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.functions.images import dhash_bgr
 from twinsift.functions.paths import is_image_path
+from twinsift.staging import scratch_dir, ship_package, stage
+
+
+def _link_images(folder: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for raw, name in zip(batch["raw"], batch["name"]):
+                place = os.path.join(folder, name[:2])
+                os.makedirs(place, exist_ok=True)
+                try:
+                    os.symlink(bytes(raw), os.fsencode(os.path.join(place, name + ".png")))
+                except FileExistsError:  # a task that ran again
+                    pass
+            yield batch[["name"]]
+
+    return run
 
-#: The image extensions in any case.
-GLOB = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG],[bB][mM][pP]}"
 
+def _mounted(folder: str) -> str:
+    """A folder of the mounted file system by its plain path."""
+    if folder.startswith("file:"):
+        folder = "/" + folder.removeprefix("file:").lstrip("/")
+    if "://" in folder:
+        raise RuntimeError("images are linked below spark.checkpoint.dir, which must be a mounted folder")
+    return os.path.abspath(folder)
 
-def hash_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, dhash)`` of the image files below ``root``; null where an image cannot be decoded.
 
-    Images are decoded by content, whatever their extension says. Only the hash leaves the
-    task. Like all of Spark's file sources this one passes over names that begin with ``.``
-    or ``_``.
+def decode_linked(spark: SparkSession, folder: str) -> DataFrame:
+    """``(name, dhash)`` of the links below ``folder``; null where an image cannot be decoded.
+
+    Images are decoded by content, whatever their extension says.
     """
-    image = (
-        spark.read.format("image")
-        .option("dropInvalid", False)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", GLOB)
-        .load(root)
-        .select("image.*")
-    )
+    image = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder).select("image.*")
     data = F.when(F.col("height") > 0, F.col("data"))
     return image.select(
-        _local_path(F.col("origin")).alias("path"),
+        F.regexp_extract("origin", r"([0-9a-f]{64})\.png$", 1).alias("name"),
         dhash_bgr("width", "height", "nChannels", data).alias("dhash"),
     )
 
 
-def _local_path(origin: Column) -> Column:
-    """The path in a ``file:`` URI. A plus is not escaped there, but would be read as a space."""
-    return F.url_decode(F.replace(F.regexp_replace(origin, "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
-
-
-def hash_listed(files: DataFrame, root: str) -> DataFrame:
-    """The image files of a listing of ``root`` with their ``dhash``."""
-    listed = files.where(is_image_path(F.col("path")))
-    return listed.join(hash_tree(files.sparkSession, root), "path", "left")
+def hash_listed(files: DataFrame) -> DataFrame:
+    """The image files of a listing ``files(path, ...)`` with their ``dhash``."""
+    spark = files.sparkSession
+    ship_package(spark)
+    listed = files.where(is_image_path(F.col("path"))).withColumn("_name", F.sha2(F.col("path").cast("binary"), 256))
+    folder = f"{_mounted(scratch_dir(spark))}/image-links-{uuid.uuid4().hex}"
+    links = listed.select(F.col("path").cast("binary").alias("raw"), F.col("_name").alias("name"))
+    linked = stage(links.mapInPandas(_link_images(folder), "name string"), "image-links")
+    if linked.isEmpty():
+        return listed.drop("_name").withColumn("dhash", F.lit(None).cast("bigint"))
+    decoded = stage(decode_linked(spark, f"file://{folder}"), "image-hashes")
+    return listed.join(decoded, F.col("_name") == F.col("name"), "left").drop("_name", "name")

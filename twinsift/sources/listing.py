@@ -11,17 +11,15 @@ from __future__ import annotations
 
 import os
 import stat as modes
-import sys
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.staging import shuffle_width, stage
+from twinsift.staging import ship_package, shuffle_width, stage
 
 # Why an item was skipped.
 BAD_ROOT = "Root is not a valid directory"
@@ -32,7 +30,7 @@ NOT_REGULAR = "Skipped non-regular file"
 UNREADABLE_SIZE = "Skipped unreadable size"
 
 ENTRY_SCHEMA = "path binary, kind string"
-STAT_SCHEMA = "path binary, size bigint, mtime_us bigint, reason string"
+STAT_SCHEMA = "path binary, size bigint, mtime_ns bigint, reason string"
 BATCH = 4096
 #: Files whose size and time one task reads.
 FILES_PER_TASK = 20_000
@@ -40,7 +38,7 @@ FILES_PER_TASK = 20_000
 
 @dataclass(frozen=True)
 class Listing:
-    """``files(path, size, mtime)``, ``skipped(path, reason)`` and one row of ``stats``."""
+    """``files(path, size, mtime, mtime_ns)``, ``skipped(path, reason)`` and one row of ``stats``."""
 
     files: DataFrame
     skipped: DataFrame
@@ -90,21 +88,22 @@ def _stat(path: bytes) -> tuple[int | None, int | None, str | None]:
         return None, None, UNREADABLE_SIZE
     if not modes.S_ISREG(found.st_mode):
         return None, None, NOT_REGULAR
-    return found.st_size, found.st_mtime_ns // 1000, None
+    return found.st_size, found.st_mtime_ns, None
 
 
 def _stat_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         facts = pd.DataFrame(
-            [_stat(bytes(path)) for path in batch["path"]], columns=["size", "mtime_us", "reason"]
-        ).astype({"size": "Int64", "mtime_us": "Int64"})
-        yield facts.assign(path=batch["path"].values)[["path", "size", "mtime_us", "reason"]]
+            [_stat(bytes(path)) for path in batch["path"]], columns=["size", "mtime_ns", "reason"]
+        ).astype({"size": "Int64", "mtime_ns": "Int64"})
+        yield facts.assign(path=batch["path"].values)[["path", "size", "mtime_ns", "reason"]]
 
 
 def list_tree(spark: SparkSession, root: str, min_size: int = 0) -> Listing:
-    """List ``root``; files smaller than ``min_size`` are left out of files, bytes and skipped alike."""
+    """List ``root``, whose spelling is made plain; files smaller than ``min_size`` are left out of files, bytes and skipped alike."""
     started = time.monotonic()
-    root = root if os.path.isabs(root) else os.path.join(os.getcwd(), root)
+    root = os.path.abspath(root)
+    ship_package(spark)
     if not os.path.isdir(root):
         return _no_tree(spark, root)
     width = shuffle_width(spark)
@@ -127,7 +126,7 @@ def list_tree(spark: SparkSession, root: str, min_size: int = 0) -> Listing:
 
     kept = facts.where(F.col("reason").isNull() & (F.col("size") >= min_size))
     files = kept.select(
-        F.col("path").cast("string").alias("path"), "size", F.timestamp_micros("mtime_us").alias("mtime")
+        F.col("path").cast("string").alias("path"), "size", F.timestamp_micros(F.floor(F.col("mtime_ns") / 1000)).alias("mtime"), "mtime_ns"
     )
     not_listed = entries.where("kind not in ('enter', 'dir', 'file')").select("path", F.col("kind").alias("reason"))
     skipped = not_listed.unionByName(facts.where("reason is not null").select("path", "reason")).select(
@@ -153,7 +152,7 @@ def _sum(name: str):
 
 
 def _no_tree(spark: SparkSession, root: str) -> Listing:
-    files = spark.createDataFrame([], "path string, size bigint, mtime timestamp")
+    files = spark.createDataFrame([], "path string, size bigint, mtime timestamp, mtime_ns bigint")
     skipped = spark.createDataFrame([(root, BAD_ROOT)], "path string, reason string")
     stats = spark.createDataFrame(
         [(0, 0, 0, 1, 0)],
@@ -161,5 +160,3 @@ def _no_tree(spark: SparkSession, root: str) -> Listing:
     )
     return Listing(files, skipped, stats)
 
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

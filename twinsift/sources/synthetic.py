@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsift.staging import ship_package
+
 FOLDERS = 100
 
 
@@ -66,8 +66,6 @@ def write_tree(files: DataFrame, folder: str) -> int:
     rows = files.select(
         F.concat(F.lit(folder), "path").alias("target"), "size", F.col("content").cast("binary").alias("content")
     )
+    ship_package(files.sparkSession)
     written = rows.mapInArrow(_write_batches, "size bigint")
     return written.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

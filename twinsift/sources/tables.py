@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsift.staging import ship_package
+
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -48,7 +51,7 @@ def embedding_rasters(embeddings: DataFrame) -> DataFrame:
 
 
 def document_images(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """``(path, size, mtime, mtime_day, width, height, channels, pixels)``: the files that have a raster."""
+    """``(path, size, mtime, mtime_day, width, height, channels, pixels)``: the files, with a raster if they have one."""
     rasters = embedding_rasters(embeddings).drop("path")
     files = documents.selectExpr(
         "doc_id as img_id",
@@ -57,4 +60,4 @@ def document_images(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
         f"timestampadd(SECOND, cast((doc_id * 7919) % 86400 as int), {EPOCH}) as mtime",
         f"timestampadd(DAY, cast(doc_id % 3 as int), {EPOCH}) as mtime_day",
     )
-    return files.join(rasters, "img_id")
+    return files.join(rasters, "img_id", "left")

@@ -8,8 +8,10 @@ folder that ``spark.checkpoint.dir`` names, so they survive the loss of executor
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ BROADCAST_ROWS = 200_000
 
 _local_dirs: dict[str, str] = {}
 _staged: dict[str, list[str]] = {}
+_shipped: set[str] = set()
 
 
 def setting(spark: SparkSession, name: str, default: int) -> int:
@@ -48,6 +51,23 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of the session, once: Python functions of queries need it there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    own = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="twinsift-package-"), "twinsift.zip")
+    with zipfile.ZipFile(target, "w") as packed:
+        for folder, _, names in os.walk(own):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(own)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for staged tables: the session's ``spark.checkpoint.dir``.
 
@@ -57,7 +77,8 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/") + "/twinsift"
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.conf.get("spark.app.id", "local")
     if app not in _local_dirs:
