@@ -4,9 +4,9 @@ Every word, and its first letters (a stem may take many endings), has a log-odds
 against other documents under a Dirichlet prior. Significant ones are weights; any other word
 weighs a little less than nothing. In a text, all maximal segments of the weights are found in
 one linear scan (Ruzzo and Tompa, 1999). By extreme-value theory the best segment of ``n``
-random words exceeds ``s`` with a chance of about ``n * exp(-rate * s)``, where ``rate``
-follows from the weights' distribution in clean text; what each segment has beyond that is
-summed, and a logistic curve turns the sum into a probability. Weights and curve are fitted
+random words exceeds ``s`` with a chance of about ``often * n * exp(-rate * s)``, where ``rate``
+follows from the weights' distribution in clean text and ``often`` from its segments; what
+each segment has beyond that is summed, and a logistic curve turns it into a probability. Weights and curve are fitted
 on different rows, so a word that was rare by chance does not pass for a strong one.
 
 The fit uses a bounded sample of labelled rows (``max_rows``); the weights that it may return
@@ -44,6 +44,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 class Model:
     weights: dict[str, float]
     rate: float
+    often: float
     slope: float
     offset: float
 
@@ -98,12 +99,10 @@ def segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, after - before) for a, b, before, after in found]
 
 
-def strength(parts: list[tuple[int, int, float]], n: int, rate: float) -> float:
-    """What the segments of ``n`` words have beyond chance, summed; negative if none has."""
-    chance = math.log(n + 1)
-    over = [rate * s - chance for _, _, s in parts]
-    strong = [x for x in over if x > 0]
-    return sum(strong) if strong else max(over, default=-chance)
+def strength(parts: list[tuple[int, int, float]], n: int, rate: float, often: float) -> float:
+    """What the segments of ``n`` words have beyond chance: log(1 + 1 / expected number) of each,
+    summed; the logarithm of 1 more, so that one odd row can't bend the curve."""
+    return math.log1p(np.logaddexp(0.0, [rate * s - math.log(often * n + 1e-9) for _, _, s in parts]).sum())
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -162,6 +161,19 @@ def background_rate(n_words: int, ups: np.ndarray) -> float:
     return max(low, 0.05)
 
 
+def background_tail(n_words: int, scores: np.ndarray, rate: float) -> tuple[float, float]:
+    """Rate and frequency of the segments of clean text, by quartiles, which mislabelled rows hardly move.
+
+    ``rate`` is what theory says; it stays where the segments are too few or too equal.
+    """
+    if len(scores) < 20:
+        return rate, 1.0
+    middle, high = np.quantile(scores, [0.5, 0.75])
+    if high - middle > 1e-3:
+        rate = min(math.log(2) / (high - middle), 2 * rate)
+    return rate, min(1.0, (scores >= high).sum() / n_words * math.exp(rate * high))
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a curve for labels ``y``, with the targets of Platt (1999)."""
     pos, neg = int(y.sum()), int(len(y) - y.sum())
@@ -197,18 +209,25 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_f
     known = stage(known, "labelled")
     weighing = known.where("draw % 3 < 2").select("text", "toxic")
     n_toxic = weighing.agg(F.coalesce(F.sum("toxic"), F.lit(0))).first()[0]
-    counts = weighing.mapInArrow(_count, "feature string, clean bigint, toxic bigint")
-    chosen = {r.feature: r.weight for r in log_odds(counts, n_toxic, max_features).collect() if r.weight > 0}
+    chosen = _weights(weighing, n_toxic, max_features)
     shared = spark.sparkContext.broadcast(chosen)
     rest = known.where("draw % 3 = 2").select("doc_id", "text", F.col("toxic").alias("label"))
     rows = rest.mapInArrow(_measure(shared), _MEASURED).collect()  # a third of the sample
     if not rows:
-        return Model(chosen, 1.0, 0.0, -30.0)
+        return Model(chosen, 1.0, 1.0, 0.0, -30.0)
     clean = [r for r in rows if not r.label]
     rate = background_rate(sum(r.n for r in clean), np.array([u for r in clean for u in r.ups]))
-    x = np.array([strength([tuple(p) for p in r.passages], r.n, rate) for r in rows])
+    rate, often = background_tail(sum(r.n for r in clean), np.array([p.score for r in clean for p in r.passages]), rate)
+    x = np.array([strength([tuple(p) for p in r.passages], r.n, rate, often) for r in rows])
     slope, offset = logistic(x, np.array([r.label for r in rows]))
-    return Model(chosen, rate, slope, offset)
+    # The curve stands; the weights may use all rows now.
+    every = known.select("text", "toxic")
+    return Model(_weights(every, every.agg(F.sum("toxic")).first()[0], max_features), rate, often, slope, offset)
+
+
+def _weights(rows: DataFrame, n_toxic: int, max_features: int) -> dict[str, float]:
+    counts = rows.mapInArrow(_count, "feature string, clean bigint, toxic bigint")
+    return {r.feature: r.weight for r in log_odds(counts, n_toxic, max_features).collect() if r.weight > 0}
 
 
 def passages(documents: DataFrame, model: Model) -> DataFrame:
@@ -220,12 +239,12 @@ def passages(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model.weights)
     read = documents.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(None).cast("int").alias("label"))
     found = read.mapInArrow(_measure(shared), _MEASURED)
-    chance = F.log(F.col("n") + 1)
+    chance = F.log(F.lit(model.often) * F.col("n") + 1e-9)
     over = lambda p: F.lit(model.rate) * p["score"] - chance
     strong = found.withColumn("strong", F.filter("passages", lambda p: over(p) > 0))
-    total = F.aggregate("strong", F.lit(0.0), lambda s, p: s + over(p))
-    best = F.coalesce(F.array_max(F.transform("passages", over)), -chance)
-    rated = strong.withColumn("strength", F.when(F.size("strong") > 0, total).otherwise(best))
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda s, x: s + beyond(over(x)))
+    beyond = lambda x: F.when(x > 30, x).otherwise(F.log1p(F.exp(x)))
+    rated = strong.withColumn("strength", F.log1p(total("passages")))
     score = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("strength") + model.offset)))
     return rated.select("doc_id", "n", F.col("strong").alias("passages"), "strength", score.alias("score"))
 
