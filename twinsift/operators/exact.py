@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from twinsift.functions.content import digest, files_identical, fingerprint
 from twinsift.operators.ordering import keeper
 from twinsift.skew import number_rows, with_aggregates
-from twinsift.staging import broadcast_rows, hot_rows, small_side, stage_counted
+from twinsift.staging import hot_rows, small_side, stage_counted
 
 DIGEST_KEY = ["size", "fingerprint", "digest"]
 CONTENT_KEY = ["size", "fingerprint", "content"]
@@ -127,10 +127,9 @@ def _verify_bytes(
     wide = files.where(F.col("content").isNotNull()).withColumn(
         "fingerprint", make_fingerprint(F.col("content"))
     )
-    if n_repeated <= broadcast_rows(files.sparkSession):
-        candidates = wide.join(F.broadcast(repeated), bucket, "left_semi")
-    else:  # too many to send everywhere: unique contents are counted along
-        candidates = wide
+    # Beyond a broadcast this is a shuffle join, for which Spark filters the contents first by a
+    # Bloom filter of the buckets where it pays.
+    candidates = wide.join(small_side(repeated, n_repeated), bucket, "left_semi")
     mixed = (
         candidates.select(*CONTENT_KEY).distinct()
         .groupBy(*bucket).agg(F.count("*").alias("variants")).where("variants > 1").select(*bucket)

@@ -19,18 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.functions.bits import hamming
-from twinsift.skew import HOT_SHARE
 from twinsift.staging import hot_pairs, shuffle_width, small_side, stage, stage_counted
 
 BITS = 64
 BLOCK_TAG = 40  # a probe is (block number << BLOCK_TAG) | block value
 MAX_BLOCK = 32
+
+#: Buckets that hold more than this part of all rows are fewer than that.
+HOT_SHARE = 1000
+
 #: Cost of one shuffled probe row, in compared pairs.
 PROBE_COST = 20
 #: Most probes one hash may send per side; rules out blocks so wide that their balls explode.
 MAX_PROBES = 20_000
 
-
 #: Pairs one task of a join compares, and most tasks a join is given.
 PAIRS_PER_TASK = 1_000_000_000
 MAX_TASKS = 50_000

@@ -7,16 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsift.staging import hot_rows, shuffle_width, stage
-
-#: A key is hot when it owns more than 1/HOT_SHARE of the rows: fewer than HOT_SHARE keys can.
-HOT_SHARE = 1000
-
-
-def hot_limit(rows: DataFrame, total: int) -> int:
-    """Rows a single key may hold before it is treated as hot."""
-    return max(hot_rows(rows.sparkSession), total // HOT_SHARE)
-
+from twinsift.staging import broadcast_rows, hot_rows, shuffle_width, small_side, stage
 
 def join_groups(
     rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, total: int
@@ -25,15 +16,18 @@ def join_groups(
 
     ``size`` is the column of ``groups`` with the number of rows of that key and ``total``
     the number of rows. When no key can be hot this is a plain join. Otherwise rows of hot
-    keys are matched where they lie: the hot part of ``groups`` is broadcast (fewer than
-    HOT_SHARE rows, as the sizes add up to at most ``total``), and only the rows of the
-    other keys are shuffled.
+    keys are matched where they lie: the hot part of ``groups`` has at most total / hotRows
+    rows, as the sizes add up to ``total``, and is broadcast if these are few; only the rows of
+    the other keys are shuffled. More hot keys than may be broadcast are joined by shuffle,
+    where Spark splits partitions that are too large.
     """
     keys = list(keys)
     if total <= hot_rows(rows.sparkSession):
         return rows.join(groups, keys)
-    limit = hot_limit(rows, total)
+    limit = hot_rows(rows.sparkSession)
     groups = stage(groups, "groups")
+    if total // limit > broadcast_rows(rows.sparkSession):
+        return rows.join(groups, keys)
     hot = groups.where(F.col(size) > limit)
     cold = groups.where(F.col(size) <= limit)
     in_place = rows.join(F.broadcast(hot), keys)
@@ -87,7 +81,7 @@ def number_rows(
         return rows.withColumn(out, windowed)
     if not keys or size is None:
         return _number_by_range(rows, keys, order, out, total)
-    limit = hot_limit(rows, total)
+    limit = hot_rows(rows.sparkSession)
     cold = rows.where(F.col(size) <= limit).withColumn(out, windowed)
     hot = _number_by_range(rows.where(F.col(size) > limit), keys, order, out, total)
     return cold.unionByName(hot)
@@ -119,7 +113,7 @@ def _number_by_range(
     local = Window.partitionBy("_slice", *keys).orderBy(*order)
     return (
         placed.withColumn("_local", F.row_number().over(local))
-        .join(F.broadcast(shifts), ["_slice", *keys], "left")
+        .join(small_side(shifts, slices), ["_slice", *keys], "left")
         .withColumn(out, (F.col("_local") + F.coalesce("_shift", F.lit(0))).cast("bigint"))
         .select(*rows.columns, out)
     )
