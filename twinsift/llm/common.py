@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.staging import ship_package
+from twinsift.staging import ship_package, stage
 
 #: What stands between words: the ASCII white space of the contracts.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -18,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(documents: DataFrame, label: str) -> DataFrame:
+    """``documents`` with ``_row``, which tells all rows apart: the place in its file, so that nothing
+    is copied; for tables that are not read from Parquet files a number in a staged copy."""
+    try:
+        return documents.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return stage(documents.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters that are not ASCII white space; none for a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinsift.llm.common import words
+from twinsift.llm.common import numbered, words
 from twinsift.staging import small_side, stage, stage_counted
 
 #: The golden ratio's fraction in units of 10**-19: exact arithmetic at any slot number.
@@ -48,11 +48,10 @@ def source_targets(sizes: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
     return levels.withColumn("target", F.least(full.cast("double"), F.max("level").over(every) * F.col("weight"))).drop("level")
 
 
-def _streams(sized: DataFrame, n: int, seed: int) -> DataFrame:
+def _streams(sized: DataFrame, n: int, seed: int, order: list[str]) -> DataFrame:
     """Rows with ``start``, the words of their source that come before them in its shuffled order."""
     bits = max(1, math.ceil(math.log2(max(n, 2)) / 2))
-    order = F.xxhash64(*(F.col(c) for c in sized.columns), F.lit(seed))
-    dealt = sized.withColumn("_order", order).withColumn("_slice", F.shiftrightunsigned("_order", 64 - bits))
+    dealt = sized.withColumn("_order", F.xxhash64(*order, F.lit(seed))).withColumn("_slice", F.shiftrightunsigned("_order", 64 - bits))
     earlier = Window.partitionBy("source_no").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = dealt.groupBy("source_no", "_slice").agg(F.sum("size").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     within = Window.partitionBy("source_no", "_slice").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,13 +90,14 @@ def schedule(spark: SparkSession, targets: DataFrame, n_sources: int, total: int
     return ranked.unionByName(tail.select(at.cast("bigint").alias("slot"), "source_no", "block_no"))
 
 
-def mix(sized: DataFrame, block: int = 1024, seed: int = 42, most: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, block: int = 1024, seed: int = 42, most: int = MOST_REPEATS, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix of ``sized(source, size, ...)``: its pieces and what it takes of each row.
 
     The first DataFrame has one row per slot and part of a row in its block: ``slot``,
     ``source_no``, ``start`` (names the row within its source), ``begin`` and ``length`` in
     words of the row. The second has the rows of ``sized`` with ``source_size``, ``target`` and
     ``taken``. Rows of size 0 are never taken; null is a source; equal rows are separate rows.
+    ``order`` names the columns whose hash shuffles a source, all of them by default.
     """
     spark = sized.sparkSession
     sized, n = stage_counted(sized, "mix-sizes")
@@ -106,8 +106,8 @@ def mix(sized: DataFrame, block: int = 1024, seed: int = 42, most: int = MOST_RE
     targets, n_sources = stage_counted(targets.withColumn("words", words_asked), "mix-targets")
     total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     facts = targets.select(F.col("source").alias("_source"), "source_no", "source_size", "target", "words")
-    numbered = sized.join(small_side(facts, n_sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = stage(_streams(numbered, n, seed), "mix-streams")
+    known = sized.join(small_side(facts, n_sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    placed = stage(_streams(known, n, seed, order or sized.columns), "mix-streams")
     rounds = F.explode(F.sequence(F.lit(0), F.floor((F.col("words") - F.col("start") - 1) / F.col("source_size"))))
     taken = placed.where("size > 0 and start < words").select("source_no", "start", "size", "words", "source_size", rounds.alias("round"))
     taken = taken.withColumn("at", F.col("start") + F.col("round") * F.col("source_size")).withColumn("end", F.least(F.col("at") + F.col("size"), F.col("words")))
@@ -137,11 +137,12 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
 def repeat_documents(documents: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, rounded to whole documents.
 
-    Documents get a number in a staged copy, so null and repeated ids do no harm; documents
-    without words are not in a mix.
+    Rows are told apart by their place, so null and repeated ids do no harm; documents without
+    words are not in a mix.
     """
-    staged = stage(documents.withColumns({"_row": F.monotonically_increasing_id(), "_size": word_count(F.col("text"))}), "mix-documents")
-    _, rows = mix(staged.select("_row", "source", F.col("_size").alias("size")))
+    rows_of = numbered(documents, "mix-documents")
+    sized = rows_of.select("_row", "doc_id", "source", word_count(F.col("text")).alias("size"))
+    _, rows = mix(sized, order=["doc_id", "source", "size"])
     times = F.round(F.col("taken") / F.col("size")).cast("int")
     copies = rows.where("taken > 0").select("_row", times.alias("_times")).where("_times > 0")
-    return staged.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*documents.columns)
+    return rows_of.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*documents.columns)

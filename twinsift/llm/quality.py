@@ -129,20 +129,19 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
 def decide(measured: DataFrame, min_rows: int = 100, spread: float = 5.0) -> DataFrame:
     """Rows of ``measure`` with ``_kept``.
 
-    They are staged, so texts are measured once; drop columns that are not needed before.
-    Documents that fail the base rules neither stay nor shape limits. The limits, one row per
+    The rates are staged for the limits; ``measured`` itself is read again for the verdicts, so
+    stage it before if that costs less than measuring twice. Documents that fail the base rules neither stay nor shape limits. The limits, one row per
     group, are broadcast if counted to be few and joined by shuffle otherwise.
     """
     names = list(SLACK)
-    staged = stage(measured, "quality")
-    passed = staged.where("not _base_failed").select("lang", "source", F.col("_rates").alias("rates"))
+    passed = stage(measured.where("not _base_failed").select("lang", "source", F.col("_rates").alias("rates")), "quality-rates")
     fences, n = stage_counted(limits(passed, min_rows, spread).toDF("_lang", "_source", "_at"), "quality-fences")
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     usual = [F.col("_rates")[r].between(F.col("_at")[r]["low"], F.col("_at")[r]["high"]) for r in names]
     fine = usual[0]
     for more in usual[1:]:
         fine = fine & more
-    joined = staged.join(small_side(fences, n), same, "left")
+    joined = measured.join(small_side(fences, n), same, "left")
     return joined.withColumn("_kept", ~F.col("_base_failed") & F.coalesce(fine, F.lit(False))).drop("_lang", "_source", "_at")
 
 
@@ -157,7 +156,7 @@ def keep_good(documents: DataFrame, min_rows: int = 100, spread: float = 5.0) ->
 
 def verdicts(documents: DataFrame, min_rows: int = 100, spread: float = 5.0) -> DataFrame:
     """One row per document: the base counts, whether they fail the base rules, and the verdict."""
-    measured = measure(documents.select("doc_id", "text", "lang", "source")).drop("text")
+    measured = stage(measure(documents.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = decide(measured, min_rows, spread)
     return judged.select("doc_id", *(F.col("_m")[c].alias(c) for c in counts), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))

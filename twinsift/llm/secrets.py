@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm.common import words
+from twinsift.llm.common import numbered, words
 from twinsift.staging import scratch_dir, small_side, stage, stage_counted
 
 #: Form of a candidate.
@@ -150,9 +150,9 @@ def findings(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame) -> DataFrame:
     """The documents with every secret replaced by ``<secret>``, and ``n_chars``, if there, renewed.
 
-    Documents are numbered in a staged copy, so null and repeated ids do no harm.
+    Rows are told apart by their place, so null and repeated ids do no harm.
     """
-    staged = stage(documents.withColumn("_row", F.monotonically_increasing_id()), "secret-documents")
+    staged = numbered(documents, "secret-documents")
     # One row for each document with secrets; equal values are replaced together, longer ones first.
     values = find(staged, "_row").where("is_secret = 1").select(F.col("key").alias("_row"), "value").distinct()
     lists = values.groupBy("_row").agg(F.array_sort(F.collect_list("value"), lambda a, b: F.length(b) - F.length(a)).alias("_secrets"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.staging import small_side, stage, stage_counted
+from twinsift.staging import ship_package, small_side, stage, stage_counted
 
 #: Labelled rows that a fit uses at most (about), and weights that it may have.
 MAX_ROWS, MAX_FEATURES = 30_000, 50_000
@@ -200,6 +200,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_f
     of toxic rows.
     """
     spark = documents.sparkSession
+    ship_package(spark)
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     one, n = stage_counted(one, "labels")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
@@ -236,6 +237,7 @@ def passages(documents: DataFrame, model: Model) -> DataFrame:
     ``passages`` are the maximal segments that are beyond chance, by word numbers; ``score`` is
     between 0 and 1. Null, empty and blank texts have none and a low score. Equal rows stay.
     """
+    ship_package(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model.weights)
     read = documents.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(None).cast("int").alias("label"))
     found = read.mapInArrow(_measure(shared), _MEASURED)
