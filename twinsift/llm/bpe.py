@@ -24,17 +24,19 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsift.staging import ship_package
+
 #: Fixed value: how text is cut into words before merging, as byte-level BPE defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Words a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 #: Words of more bytes than this are merged with a heap.
 SHORT = 200
 
 #: Words that are looked up and gathered at once.
-CHUNK = 300_000
+CHUNK = 150_000
 
 
 def default_path() -> str:
@@ -299,6 +301,7 @@ def _words(vocab: Vocabulary, cut: regex.Pattern, text: str) -> list[str]:
 
 def encoder(spark: SparkSession, path: str | None = None):
     """A function of a text column: its token ids. Null and empty texts have none."""
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(open(path or default_path(), "rb").read())
 
     @F.arrow_udf("array<int>")
@@ -337,6 +340,7 @@ def encoder(spark: SparkSession, path: str | None = None):
 
 def decoder(spark: SparkSession, path: str | None = None):
     """A function of a column of ids: the text. Bytes that are no UTF-8 become U+FFFD; null stays."""
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(open(path or default_path(), "rb").read())
 
     @F.arrow_udf("string")
