@@ -16,8 +16,8 @@ of fixed size over all documents; it decides the order only, so collisions cost
 
 Documents with equal sets are one node. In a bucket of many similar sets not all pairs are
 verified, as only groups are asked for: a search that removes whom it has reached emits a
-spanning forest. What verification refuses may have hidden another link, so a second round
-emits every passing pair between different groups, until each is verified or within a group.
+spanning forest. What verification refuses may have hidden another link, so for the buckets
+where it did, a second round emits every passing pair between different groups.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsift.operators.components import connected_components
-from twinsift.staging import small_side, stage, stage_counted
+from twinsift.staging import ship_package, small_side, stage, stage_counted
 
 #: Counters of the word sketch, and how many of them travel in one row.
 SKETCH, CHUNK = 1 << 22, 1 << 16
@@ -83,7 +83,8 @@ def bitmap(members: np.ndarray, bits: int = BITMAP) -> bytes:
 
 
 def signature(members: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(members.tobytes())
+    """80 bits that name a set: enough for 10**11 different ones, and less to shuffle than 128."""
+    return xxhash.xxh3_128_digest(members.tobytes())[:10]
 
 
 def _profile(k: int, width: int):
@@ -208,7 +209,7 @@ class Bucket:
 def _meet(percent: int, between_groups: bool, width: int, few_rows: int):
     """Candidate pairs of the buckets, which come whole and in order of gram and block."""
 
-    def candidates(t: pa.Table) -> tuple[list[bytes], list[bytes]]:
+    def candidates(t: pa.Table) -> tuple[list[int], list[bytes], list[bytes]]:
         cols = {c: t.column(c).to_numpy() for c in ("gram", "low", "high", "n", "pos")}
         bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, width // 64)
         sig = np.array(t.column("sig").to_pylist(), object)
@@ -233,15 +234,15 @@ def _meet(percent: int, between_groups: bool, width: int, few_rows: int):
                 left.append(at + i)
                 right.append(at + j)
         i, j = np.concatenate(left).astype(int), np.concatenate(right).astype(int)
-        pairs = {(min(a, b), max(a, b)) for a, b in zip(sig[i], sig[j]) if a != b}
-        return [a for a, _ in pairs], [b for _, b in pairs]
+        pairs = {(g, min(a, b), max(a, b)) for g, a, b in zip(cols["gram"][i].tolist(), sig[i], sig[j]) if a != b}
+        return [g for g, _, _ in pairs], [a for _, a, _ in pairs], [b for _, _, b in pairs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(t: pa.Table) -> pa.RecordBatch:
-            a, b = candidates(t)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            gram, a, b = candidates(t)
+            return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["gram", "a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -284,7 +285,7 @@ def _bucketed(postings: DataFrame, bucket: int) -> DataFrame:
 def _candidates(postings: DataFrame, percent: int, between_groups: bool, width: int, few: int, bucket: int) -> DataFrame:
     keys = ["gram", "low", "high"]
     met = _bucketed(postings, bucket).repartition("gram", "low", "high").sortWithinPartitions(*keys)
-    return met.mapInArrow(_meet(percent, between_groups, width, few), "a binary, b binary").distinct()
+    return met.mapInArrow(_meet(percent, between_groups, width, few), "gram bigint, a binary, b binary")
 
 
 def classes(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", width: int = BITMAP, few: int = FEW, bucket: int = BUCKET) -> DataFrame:
@@ -296,6 +297,7 @@ def classes(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc
     name a component that has another. Equal rows stay; an empty table gives no rows.
     """
     spark = documents.sparkSession
+    ship_package(spark)
     read = documents.select(F.col(key).cast("bigint").alias("key"), F.col("text").cast("binary").alias("text"))
     profile = stage(read.mapInArrow(_profile(k, width), "key bigint, n int, sig binary, bits binary, chunk int, counts binary"), "profiles")
     each = profile.where("sig is not null").select("key", "n", "sig", "bits")
@@ -308,17 +310,25 @@ def classes(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc
     shared = spark.sparkContext.broadcast(sketch)
 
     prefixes = read.select("text").mapInArrow(_prefixes(k, percent, shared), "gram bigint, sig binary, n int, pos int")
-    of = Window.partitionBy("gram")
-    met = prefixes.withColumns({"_l": F.min("sig").over(of), "_h": F.max("sig").over(of)}).where("_l < _h").drop("_l", "_h")
-    postings = stage(met.dropDuplicates(["gram", "sig"]).join(nodes.select("sig", "bits"), "sig"), "postings")
+    # Copies that came from several tasks go; so does who has no partner of a fitting size.
+    apart = prefixes.repartition("gram").dropDuplicates(["gram", "sig"])
+    by_size = Window.partitionBy("gram").orderBy("n", "sig")
+    near = [other.isNotNull() & (100 * F.least("n", other) >= percent * F.greatest("n", other)) for other in (F.lag("n").over(by_size), F.lead("n").over(by_size))]
+    met = apart.withColumn("_near", near[0] | near[1]).where("_near").drop("_near")
+    postings = stage(met.join(nodes.select("sig", "bits"), "sig"), "postings")
     shared.unpersist()
 
-    links, refused = _verified(read, nodes, _candidates(postings, percent, False, width, few, bucket), k, percent)
+    found = stage(_candidates(postings, percent, False, width, few, bucket), "candidates")
+    links, refused = _verified(read, nodes, found.select("a", "b").distinct(), k, percent)
     if refused:
+        # Where all that was emitted is true, all that passes is within one group.
+        wrong = found.join(links, ["a", "b"], "left_anti").select("gram").distinct()
+        again = postings.join(wrong, "gram", "left_semi")
         groups = connected_components(links).toDF("sig", "linked")
-        regrouped = postings.join(groups, "sig", "left").withColumn("grp", F.coalesce("linked", "sig")).drop("linked")
+        regrouped = again.join(groups, "sig", "left").withColumn("grp", F.coalesce("linked", "sig")).drop("linked")
+        of = Window.partitionBy("gram")
         mixed = regrouped.withColumns({"_l": F.min("grp").over(of), "_h": F.max("grp").over(of)}).where("_l < _h").drop("_l", "_h")
-        more, _ = _verified(read, nodes, _candidates(mixed, percent, True, width, few, bucket), k, percent)
+        more, _ = _verified(read, nodes, _candidates(mixed, percent, True, width, few, bucket).select("a", "b").distinct(), k, percent)
         links = links.unionByName(more)
     groups = stage(connected_components(links).toDF("sig", "linked"), "groups")
     members = nodes.join(groups, "sig", "left").withColumn("linked", F.coalesce("linked", "sig"))
@@ -329,7 +339,7 @@ def classes(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc
 
 def _verified(read: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> tuple[DataFrame, int]:
     """The true links among candidate pairs, and how many candidates are none."""
-    pairs, n = stage_counted(pairs, "candidates")
+    pairs, n = stage_counted(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted, n_wanted = stage_counted(ends.join(nodes, "sig").select("sig", "first_key"), "wanted")
     keyed = read.join(small_side(wanted.select(F.col("first_key").alias("key")), n_wanted), "key", "left_semi")
