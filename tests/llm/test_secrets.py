@@ -54,3 +54,17 @@ def test_without_candidates(spark):
     assert findings(spark.createDataFrame([], SCHEMA)).collect() == []
     df = spark.createDataFrame([(None, None, None, None, None), (1, "a b c", "s", 1, "x")], SCHEMA)
     assert findings(df).collect() == [] and redact(df).count() == 2
+
+
+def test_candidates_by_context(spark):
+    text = 'say password = "hunter2! x" or pwd=a.b#c; and\n"api_key": "é@1", then postgres://bob:s3c@ret@db.host/x end http://plain.host/a:b'
+    df = spark.createDataFrame([(1, text, "p", 1, "x")], SCHEMA)
+    rows = {(r.word_no, r.value) for r in candidates(df).collect()}
+    assert rows == {(3, "hunter2! x"), (6, "a.b#c"), (9, "é@1"), (11, "s3c@ret")}
+
+
+def test_short_secrets_are_redacted(spark):
+    docs, _ = corpus()
+    short = [(2000 + i, f"plain words password = \"hunter{i}!\" and hunter more", "s1", 1, "x") for i in range(30)]
+    got = {r.doc_id: r.text for r in redact(spark.createDataFrame(docs + short, SCHEMA)).collect()}
+    assert all(got[2000 + i] == "plain words password = \"<secret>\" and hunter more" for i in range(30))

@@ -1,6 +1,8 @@
-"""Secrets in texts: candidates by form, and a random forest that removes false positives.
+"""Secrets in texts: candidates by form and by context, and a random forest that removes false positives.
 
-A candidate is a run of 16 or more characters as keys are made of, standing alone. The forest
+A candidate by form is a run of 16 or more characters as keys are made of, standing alone. One by
+context is the whole value, of any length and characters, after a secret's name and = or :, or the
+password of user:password@host. The forest
 judges it by its length, by how often it passes between letters and digits or between cases, by
 how much of it the dictionary covers (letter triples that many documents use), by its path (the
 document's source: its name, and how often its candidates are labelled) and by its neighbouring
@@ -25,6 +27,17 @@ from twinsift.staging import scratch_dir, small_side, stage, stage_counted
 #: Form of a candidate.
 FORM = r"(?<![\p{L}\p{N}])[A-Za-z0-9_+/=\-]{16,}(?![\p{L}\p{N}])"
 
+#: Candidates by context: what leads to a value, and the value, to its quote or the end of its word.
+LEAD = (
+    r"""(?i:token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|client.?key)[\w\-]{0,40}["'`\]]?\s{0,20}(?:=>|:=|==|[=:](?!//))\s{0,20}["'`]?+"""
+    r"""|://[^\s:/@]{0,200}:|(?<![\w.%+\-:/])[\w.%+\-]{1,200}:(?=[^\s/:@]{1,200}@[\w.\-]+[:/.])"""
+)
+VALUE = (
+    r"""(?<=://[^\s:/@]{0,200}:)[^\s/]+(?=@[\w\[])|(?<=")(?:(?!(?<!\\)")[^\n])++(?=")|(?<=')(?:(?!(?<!\\)')[^\n])++(?=')|(?<=`)(?:(?!(?<!\\)`)[^\n])++(?=`)"""
+    r"""|(?<!//[^\s:/@]{0,200}:)(?<=:)[^\s/:]+(?=@[\w.\-]+[:/.])|(?<!//[^\s:/@]{0,200}:)(?![/"'`])(?:(?![;&,][\w.\-]{1,40}=)(?![,;"'`]*(?:\s|$))\S)++"""
+)
+CONTEXT = f"({LEAD})({VALUE})"
+
 # Words around secrets, around other long strings, and in paths of samples.
 NAMES = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|client.?key)"
 OTHERS = r"(?i)(sha\d*|md5|hash|digest|checksum|commit|uuid|guid|http|www|example|sample|dummy|xxxx)"
@@ -41,8 +54,12 @@ FEATURES = ["log_length", "letter_digit", "case_turns", "digits", "coverage", "i
 
 
 def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """``(key, word_no, part, value, before, after, path)`` for every candidate of every document."""
-    read = documents.select(F.col(key).alias("key"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("text")).where(F.col("text").rlike(FORM))
+    """``(key, word_no, part, value, before, after, path, lead)`` for every candidate of every document.
+
+    Candidates by context have a ``lead``, the text that leads to the value, and parts below 0.
+    """
+    every = documents.select(F.col(key).alias("key"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("text"))
+    read = every.where(F.col("text").rlike(FORM))
     cut = read.select("key", "path", words(F.col("text")).alias("w"))
     at = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("word_no"), x.alias("word"))), lambda s: s["word"].rlike(FORM))
     one = cut.select("key", "path", "w", F.inline(at))
@@ -52,7 +69,28 @@ def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text", pa
         F.coalesce(F.get("w", F.col("word_no") + 1), F.lit("")).alias("after"),
     )
     parts = around.select("key", "path", "word_no", "word", "left", "after", F.posexplode(F.regexp_extract_all("word", F.lit(FORM), F.lit(0))).alias("part", "value"))
-    return parts.select("key", "word_no", "part", "value", F.concat_ws(" ", "left", F.expr("substring_index(word, value, 1)")).alias("before"), "after", "path")
+    by_form = parts.select("key", "word_no", "part", "value", F.concat_ws(" ", "left", F.expr("substring_index(word, value, 1)")).alias("before"), "after", "path", F.lit("").alias("lead"))
+    return by_form.unionByName(_by_context(every.where(F.col("text").rlike(CONTEXT))))
+
+
+def _by_context(read: DataFrame) -> DataFrame:
+    # The text is cut into pieces that each end with a value, so that words can be counted up to it.
+    every = lambda group: F.regexp_extract_all("text", F.lit(f"\\G(?s:.*?){CONTEXT}"), F.lit(group))
+    starts = lambda t: F.size(F.split(t, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")) - 1
+    cut = read.select("key", "path", "text", every(0).alias("piece"), every(1).alias("leads"), every(2).alias("values"))
+    rest = F.expr("substring(text, 1 + int(aggregate(piece, 0L, (n, x) -> n + length(x))))")
+    cut = cut.select("key", "path", "leads", "values", "piece", rest.alias("rest"), F.transform("piece", starts).alias("starts"), F.col("text").rlike(r"^[^\x20\x09-\x0D]").cast("int").alias("first"))
+
+    def one(value: Column, i: Column) -> Column:
+        piece, lead = F.get("piece", i), F.get("leads", i)
+        head = piece.substr(F.lit(1), F.length(piece) - F.length(value) + 1)
+        earlier = F.aggregate(F.slice("starts", F.lit(1), i), F.lit(0), lambda n, x: n + x)
+        after = F.coalesce(F.get(words(F.coalesce(F.get("piece", i + 1), F.col("rest"))), F.lit(0)), F.lit(""))
+        return F.struct((earlier + starts(head) + F.col("first") - 1).alias("word_no"), (-1 - i).alias("part"), value.alias("value"), lead.alias("before"), after.alias("after"), lead.alias("lead"))
+
+    found = cut.select("key", "path", F.inline(F.transform("values", one)))
+    # Those that have the form of keys throughout are candidates by form already.
+    return found.where(~F.col("value").rlike(r"^[A-Za-z0-9_+/=\-]{16,}$")).select("key", "word_no", "part", "value", "before", "after", "path", "lead")
 
 
 def dictionary(documents: DataFrame, text: str = "text") -> list[bool]:
@@ -85,7 +123,7 @@ def described(found: DataFrame, known: list[bool]) -> DataFrame:
         ((F.size(F.split(value, "[0-9]")) - 1) / F.length(value)).alias("digits"),
         (covered / F.greatest(F.length(value) - 2, F.lit(1))).alias("coverage"),
         flag(F.col("path").rlike(SAMPLES)).alias("in_sample_path"),
-        flag(before.rlike(NAMES)).alias("named"),
+        flag(before.rlike(NAMES) | F.col("lead").rlike("^://")).alias("named"),
         flag(before.rlike(OTHERS) | F.col("after").rlike(OTHERS)).alias("other"),
         flag(before.rlike(r"[:=]\s*[\"'`]*\s*$")).alias("assigned"),
         flag(before.rlike(r"[\"'`]\s*$")).alias("quoted"),
@@ -153,11 +191,12 @@ def redact(documents: DataFrame) -> DataFrame:
     Rows are told apart by their place, so null and repeated ids do no harm.
     """
     staged = numbered(documents, "secret-documents")
-    # One row for each document with secrets; equal values are replaced together, longer ones first.
-    values = find(staged, "_row").where("is_secret = 1").select(F.col("key").alias("_row"), "value").distinct()
-    lists = values.groupBy("_row").agg(F.array_sort(F.collect_list("value"), lambda a, b: F.length(b) - F.length(a)).alias("_secrets"))
+    # One row for each document with secrets; equal values are replaced together, longer ones first,
+    # and those found by context only after their lead, as they may be short.
+    values = find(staged, "_row").where("is_secret = 1").select(F.col("key").alias("_row"), F.concat("lead", "value").alias("whole"), "lead").distinct()
+    lists = values.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("whole", "lead")), lambda a, b: F.length(b["whole"]) - F.length(a["whole"])).alias("_secrets"))
     lists, n = stage_counted(lists, "secret-lists")
-    clean = F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit("<secret>")))
+    clean = F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s["whole"], F.concat(s["lead"], F.lit("<secret>"))))
     joined = staged.join(small_side(lists, n), "_row", "left").withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
