@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import bpe, html_extract, jaccard_join, mixing, pitman_yor, quality, secrets, sharding, toxicity, winnowing
+from twinsift.llm import bpe, html_extract, jaccard_join, mixing, periodic_runs, pitman_yor, quality, secrets, sharding, toxicity, winnowing
 from twinsift.llm.common import table
 
 
@@ -60,6 +60,11 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_synchronised_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of all documents, some with a periodic end put in."""
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_secret_forest": op2_secret_forest,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_host_suffixes": op9_host_suffixes,
     "op10_toxic_segments": op10_toxic_segments,
+    "op13_synchronised_runs": op13_synchronised_runs,
 }
 
 
