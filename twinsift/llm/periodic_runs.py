@@ -198,6 +198,17 @@ def planted(words: list[bytes], key: int | None) -> list[bytes]:
     return words[:a] + (block * -(-(n - a) // p))[: n - a]
 
 
+class Numbers(dict):
+    """Word numbers, the same for equal words."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 def _each(batches: Iterator[pa.RecordBatch], plant: bool):
     """Per batch of rows, in chunks of bounded words: row numbers, words and runs of their texts."""
     for batch in batches:
@@ -210,9 +221,8 @@ def _each(batches: Iterator[pa.RecordBatch], plant: bool):
             texts.append(words)
             held += len(words)
             if held >= CHUNK or row == len(keys) - 1:
-                number: dict[bytes, int] = {}
-                coded = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in texts]
-                yield batch, rows, texts, find_runs(coded)
+                numbers = Numbers()
+                yield batch, rows, texts, find_runs([numbers.of(words) for words in texts])
                 rows, texts, held = [], [], 0
 
 
