@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import bpe, html_extract, jaccard_join, mixing, periodic_runs, pitman_yor, quality, ranked_search, secrets, sharding, toxicity, winnowing
+from twinsift.llm import bpe, catalog_sql, html_extract, jaccard_join, mixing, periodic_runs, pitman_yor, quality, ranked_search, secrets, sharding, super_minhash, toxicity, winnowing
 from twinsift.llm.common import table
 
 
@@ -60,6 +60,11 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near equal documents (four words, 0.8) and the one of each that stays."""
+    return super_minhash.kept_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_geometric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item, by exact block bounds."""
     return ranked_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -81,32 +86,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_host_suffixes": op9_host_suffixes,
     "op10_toxic_segments": op10_toxic_segments,
+    "op11_super_minhash": op11_super_minhash,
     "op12_geometric_search": op12_geometric_search,
     "op13_synchronised_runs": op13_synchronised_runs,
 }
 
 
-#: Scores of all documents that hold a term of an item, in DuckDB's SQL.
-RANKED_SQL = r"""
-WITH words AS (
-  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
-asked AS (
-  SELECT item_id, term, count(*) AS times FROM (
-    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
-lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
-totals AS (SELECT count(*) AS nd, sum(n)::BIGINT AS nw FROM lengths),
-m AS (SELECT doc_id, 25 + (75 * n * nd) // nw AS m FROM lengths, totals),
-w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, totals GROUP BY term, nd),
-scores AS (
-  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
-  FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
-SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op12_geometric_search": RANKED_SQL}
+    return catalog_sql.oracle_sql()
