@@ -55,12 +55,19 @@ def test_pairs_equal_brute_force(spark, t):
 @pytest.mark.parametrize("t", [0, 2, 5, 10, 14, 25, 63])
 def test_every_cut_covers_the_threshold(n, t):
     blocks = hm.plan_blocks(n, t)
+    if blocks is None:  # tiles, which compare all pairs
+        assert n <= 1000 or t > 14
+        return
+    assert hm._expected_pairs(n, blocks) <= n * n
     assert sum(b.radius + 1 for b in blocks) >= t + 1 or all(b.radius == b.width for b in blocks)
     assert len({b.number for b in blocks}) == len(blocks)
     bits = [i for b in blocks for i in range(b.shift, b.shift + b.width)]
     assert len(bits) == len(set(bits)) and max(bits) < 64
     for block in blocks:
-        assert hm.plan_blocks(2**31, t, hm._rest_of(block))
+        rest = hm._rest_of(block)
+        assert sum(width for _, width in rest) == 64 - block.width
+        finer = hm.plan_blocks(2**31, t, rest)
+        assert finer is None or all(b.shift + b.width <= block.shift or b.shift >= block.shift + block.width for b in finer)
 
 
 @pytest.mark.parametrize("blocks_for", [10**6, 10**9])
@@ -83,10 +90,12 @@ def dense_hashes():
     }
 
 
-@pytest.mark.parametrize("t", [7])
-def test_hot_block_values_keep_all_pairs(spark, settings, t):
+@pytest.mark.parametrize("t, limit, tile", [(7, 1500, 8192), (7, 20, 16), (2, 3, 8192)])
+def test_hot_block_values_keep_all_pairs(spark, settings, monkeypatch, t, limit, tile):
+    """Also with so low a limit that values are cut several times, and with small tiles at the end."""
+    monkeypatch.setattr(hm, "TILE", tile)
     values = dense_hashes()
-    with settings(hotPairs=1500, broadcastRows=10_000):
+    with settings(hotPairs=limit, broadcastRows=10_000):
         got = [(r.a, r.b) for r in hm.hamming_pairs(hashes_df(spark, values), t).collect()]
     assert len(got) == len(set(got))
     assert set(got) == pairs_within(values, t)
@@ -118,6 +127,19 @@ def test_linked_pairs_keep_components_with_fewer_pairs(spark, settings, t, broad
     assert len(linked) < len(everything) / 2
 
 
+@pytest.mark.parametrize("t", [5, 16, 30])
+def test_blocks_and_tiles_agree(spark, monkeypatch, t):
+    values = mixed_hashes(t, 40)
+    monkeypatch.setattr(hm, "TILE", 30)
+    found = {}
+    for kind, cost in (("tiles", 0.0), ("blocks", float("inf"))):
+        monkeypatch.setattr(hm, "_tiled_cost", lambda n, cost=cost: cost)
+        assert (hm.plan_blocks(len(values), t) is None) == (kind == "tiles")
+        found[kind] = [(r.a, r.b) for r in hm.hamming_pairs(hashes_df(spark, values), t).collect()]
+        assert len(found[kind]) == len(set(found[kind]))
+    assert set(found["tiles"]) == set(found["blocks"]) == pairs_within(values, t)
+
+
 def test_threshold_edges(spark):
     df = hashes_df(spark, [0, 2**64 - 1, 5])
     assert hm.hamming_pairs(df, -1).count() == 0

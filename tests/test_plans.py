@@ -1,7 +1,9 @@
 import pytest
-from tests.helpers import inventory
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from tests.helpers import inventory
+
 from twinsift.functions.paths import component_key, extension, has_preview, is_image_path
 from twinsift.functions.text import format_bytes
 from twinsift.operators import exact
@@ -146,6 +148,100 @@ def test_permanent_removal_leaves_no_batch(spark, tmp_path):
     assert first.startswith("batch_") and first != second
 
 
+def wide_table(spark, folder, n=9000):
+    """A table of files, whose rows lie in several files of several thousand."""
+    made = spark.range(n).selectExpr("concat('/f/', lpad(id, 6, '0')) as path", "encode(id, 'utf-8') as content", "id as size")
+    made.repartitionByRange(3, "path").write.parquet(str(folder))
+    return spark.read.parquet(str(folder)).selectExpr("path", "size * 2 as size", "content")
+
+
+def deletes_of(spark, paths):
+    return spark.createDataFrame([(p, "delete") for p in paths], "path string, action string")
+
+
+@pytest.mark.parametrize("limit", [0, 4, 200_000])
+def test_places_name_the_rows_to_go(spark, settings, tmp_path, limit):
+    table = wide_table(spark, tmp_path / "t")
+    gone = [f"/f/{i:06d}" for i in range(9000) if i % 7 == 0 or 4000 <= i < 4200] + ["/f/none"]
+    with settings(broadcastRows=limit):
+        done = curate.apply_plan(table, deletes_of(spark, gone), batch_id="b1", ts=1)
+        kept, removed = ({r.path for r in df.collect()} for df in (done.kept, done.removed))
+        assert removed == set(gone) - {"/f/none"} and len(kept) == 9000 - len(removed) and not kept & removed
+        assert [r.path for r in done.missing.collect()] == ["/f/none"]
+        assert {r.path for r in done.manifest.collect()} == removed
+        written = curate.write_batch(done, str(tmp_path / "trash"))
+        assert written.success and written.n_rows == len(removed) and written.failed is None
+        back = curate.undo_last(done.kept, *curate.read_batches(spark, str(tmp_path / "trash"), table.schema))
+        assert sorted(map(tuple, back.corpus.collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_content_is_not_shuffled(spark, settings, tmp_path):
+    table = wide_table(spark, tmp_path / "t")
+    deletes = deletes_of(spark, [f"/f/{i:06d}" for i in range(0, 9000, 3)])
+    with settings(broadcastRows=8):
+        done = curate.apply_plan(table, deletes, batch_id="b1", ts=1)
+        for df in (done.kept, done.quarantined):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan.replace("BroadcastExchange", "") and "BroadcastHashJoin" in plan
+            assert df.count() in (3000, 6000)
+        curate.write_batch(done, str(tmp_path / "trash"))
+        quarantine, manifest = curate.read_batches(spark, str(tmp_path / "trash"), table.schema)
+        restored = curate.undo_last(table, quarantine, manifest).corpus
+        plan = restored._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.replace("BroadcastExchange", "") and plan.count("BroadcastHashJoin") == 2
+        assert restored.count() == 9000
+
+
+def test_a_changed_name_in_the_manifest_is_used(spark, settings, tmp_path):
+    table = wide_table(spark, tmp_path / "t", 100)
+    done = curate.apply_plan(table, deletes_of(spark, ["/f/000001", "/f/000002"]), batch_id="b1", ts=1)
+    manifest = done.manifest.selectExpr("batch_id", "ts", "row_key", "concat('/moved', path) as path")
+    done.quarantined.write.parquet(str(tmp_path / "q"))
+    with settings(broadcastRows=0):
+        back = curate.undo_last(done.kept, spark.read.parquet(str(tmp_path / "q")), manifest)
+        names = {r.path for r in back.corpus.collect()}
+    assert len(names) == 100 and {"/moved/f/000001", "/moved/f/000002"} < names
+
+
+@pytest.mark.parametrize("broken", ["quarantine", "manifest", "committed"])
+def test_a_batch_is_written_whole_or_not_at_all(spark, tmp_path, broken):
+    corpus, plan = corpus_and_plan(spark)
+    folder = tmp_path / "trash"
+    first = curate.apply_plan(corpus, plan, batch_id="batch_1", ts=1)
+    second = curate.apply_plan(corpus, plan, batch_id="batch_2", ts=2)
+    assert curate.write_batch(first, str(folder)).success
+    writer = type(corpus.write)
+    real = writer.parquet
+
+    def refuse(self, path, *args, **options):
+        if path == f"{folder}/{broken}/batch_id=batch_2":
+            raise AnalysisException(errorClass="PATH_ALREADY_EXISTS", messageParameters={"outputPath": path})
+        return real(self, path, *args, **options)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(writer, "parquet", refuse)
+        result = curate.write_batch(second, str(folder))
+    assert not result.success and result.n_rows == 0 and "batch_2" in result.reason
+    assert sorted(r.path for r in result.failed.collect()) == ["/b", "/d"]
+    quarantine, manifest = curate.read_batches(spark, str(folder), corpus.schema)
+    assert {r.batch_id for r in quarantine.collect()} == {r.batch_id for r in manifest.collect()} == {"batch_1"}
+    assert curate.write_batch(second, str(folder)).success  # what the first try left is replaced
+    quarantine, manifest = curate.read_batches(spark, str(folder), corpus.schema)
+    assert quarantine.count() == manifest.count() == 4
+    assert curate.last_batch(manifest) == "batch_2"
+
+
+def test_nothing_to_move_leaves_no_batch(spark, tmp_path):
+    corpus, plan = corpus_and_plan(spark)
+    done = curate.apply_plan(corpus, plan.where("false"), batch_id="b", ts=1)
+    assert curate.write_batch(done, str(tmp_path)) == curate.Written(True)
+    quarantine, manifest = curate.read_batches(spark, str(tmp_path), corpus.schema)
+    assert quarantine.columns == ["batch_id", "row_key", *corpus.columns]
+    assert quarantine.count() == manifest.count() == 0 and curate.undo_last(corpus, quarantine, manifest) is None
+    with pytest.raises(ValueError):
+        curate.write_batch(curate.apply_plan(corpus, plan, batch_id="a/b", ts=1), str(tmp_path))
+
+
 # --- review ----------------------------------------------------------------------------
 
 

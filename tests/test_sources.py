@@ -1,5 +1,6 @@
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from twinsift.operators.near import near_members, similarity_listing, skipped_im
 from twinsift.plans import scan as jobs
 from twinsift.sources import file_content, synthetic
 from twinsift.sources.images import hash_listed
-from twinsift.sources.listing import list_tree
+from twinsift.sources.listing import _stat_files, list_tree
 
 
 @pytest.fixture
@@ -51,6 +52,29 @@ def test_listing_rules(spark, tree):
     assert when["a.txt"] == (tree / "a.txt").stat().st_mtime_ns // 1000
 
 
+def test_times_are_exact_to_the_nanosecond(spark, tmp_path):
+    at = 1_796_171_612_518_170_840
+    times = {"a": at, "b": at + 100, "c": -1_500, "d": 999}
+    for name, ns in times.items():
+        (tmp_path / name).write_bytes(b"x")
+        os.utime(tmp_path / name, ns=(ns, ns))
+    times = {name: os.lstat(tmp_path / name).st_mtime_ns for name in times}  # as the file system keeps them
+    raw = [os.fsencode(tmp_path / name) for name in (*times, "gone")]  # one that can't be read must not touch the others
+    batch = pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["path"])
+    (read,) = _stat_files(iter([batch]))
+    assert read.column("mtime_ns").to_pylist() == [*times.values(), None]
+    files = list_tree(spark, str(tmp_path)).files
+    found = {os.path.basename(r.path): (r.mtime_ns, r.us) for r in files.select("path", "mtime_ns", F.unix_micros("mtime").alias("us")).collect()}
+    assert found == {name: (ns, ns // 1000) for name, ns in times.items()}
+    oldest = exact_file_members_of(files)
+    assert os.path.basename(oldest) == "c"
+
+
+def exact_file_members_of(files):
+    (keeper,) = {r.keeper for r in file_content.exact_file_members(files, strategy="oldest", mtime="mtime_ns").collect()}
+    return keeper
+
+
 def test_min_size_drops_silently(spark, tree):
     found = list_tree(spark, str(tree), min_size=6)
     assert sorted(os.path.basename(r.path) for r in found.files.collect()) == ["b.txt", "näme with späces.txt"]

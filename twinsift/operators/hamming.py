@@ -6,7 +6,13 @@ in at least t + 1 bits), so an equi-join on block values finds every pair: one s
 to ceil(r_i / 2) bits of its block value, the other up to floor(r_i / 2). The number of
 blocks follows from the number of hashes.
 
-Block values that very many hashes share are cut once more, by blocks of the remaining bits.
+Each pair is found once: it belongs to the first block in which its two hashes are near enough,
+and there to the one block value that lies a fixed way from the one to the other. Both follow
+from the two hashes, so no list of pairs has to be made distinct.
+
+Block values at which too many pairs would meet are cut again by blocks of the remaining bits,
+and so on while bits remain; what is left then, and thresholds for which blocks cost more than
+comparing all pairs, is compared in square tiles. So never more than all pairs are compared.
 """
 
 from __future__ import annotations
@@ -28,13 +34,17 @@ MAX_BLOCK = 32
 #: Buckets that hold more than this part of all rows are fewer than that.
 HOT_SHARE = 1000
 
-#: Cost of one shuffled probe row, in compared pairs.
-PROBE_COST = 20
+#: Bytes of a shuffled probe row, and the bytes that are shuffled in the time one pair is compared.
+PROBE_BYTES, PAIR_BYTES = 40, 0.4
 #: Most probes one hash may send per side; rules out blocks so wide that their balls explode.
 MAX_PROBES = 20_000
 
-#: Pairs one task of a join compares, and most tasks a join is given.
+#: Hashes on each side of a tile, in which all pairs are compared.
+TILE = 8192
+
+#: Pairs one task of a join compares, bytes that it reads, and most tasks a join is given.
 PAIRS_PER_TASK = 1_000_000_000
+TASK_BYTES = 256 << 20
 MAX_TASKS = 50_000
 #: A block value is hot only if this many times more pairs meet at it than on even data.
 SKEW_FACTOR = 8
@@ -81,8 +91,18 @@ def _cut(regions: list[tuple[int, int]], m: int, threshold: int) -> list[Block]:
     return blocks
 
 
-def plan_blocks(n: int, threshold: int, regions: list[tuple[int, int]] | None = None) -> list[Block]:
-    """The cheapest cut for ``n`` hashes: shuffled probes against pairs that must be compared."""
+def _cost(n: int, blocks: list[Block]) -> float:
+    """Bytes shuffled, and compared pairs as bytes."""
+    probes = sum(_ball(b.width, b.left) + _ball(b.width, b.right) for b in blocks)
+    return PROBE_BYTES * n * probes + PAIR_BYTES * _expected_pairs(n, blocks)
+
+
+def _tiled_cost(n: int) -> float:
+    return PROBE_BYTES * n * (-(-n // TILE) + 1) + PAIR_BYTES * n * n / 2
+
+
+def plan_blocks(n: int, threshold: int, regions: list[tuple[int, int]] | None = None) -> list[Block] | None:
+    """The cheapest cut for ``n`` hashes; None if comparing all pairs in tiles costs less."""
     regions = regions or [(0, BITS)]
     bits = sum(width for _, width in regions)
     best, best_cost = None, None
@@ -94,12 +114,12 @@ def plan_blocks(n: int, threshold: int, regions: list[tuple[int, int]] | None =
         right = sum(_ball(b.width, b.right) for b in blocks)
         if max(left, right) > MAX_PROBES:
             continue
-        cost = PROBE_COST * n * (left + right) + _expected_pairs(n, blocks)
+        cost = _cost(n, blocks)
         if best_cost is None or cost < best_cost:
             best, best_cost = blocks, cost
         if m > threshold:  # more blocks than this stay unused
             break
-    return best
+    return best if best is not None and best_cost < _tiled_cost(n) else None
 
 
 def spread_bits(value: str) -> str:
@@ -144,19 +164,60 @@ def _block_value(bits: str, number: str, blocks: list[Block]) -> str:
     return f"(shiftrightunsigned({bits}, cast(get({shift}, {number}) as int)) & get({mask}, {number}))"
 
 
-def _meet(left: DataFrame, right: DataFrame, keys: list[str], threshold: int, tasks: int) -> DataFrame:
-    """Pairs (a < b) that share the keys and are within the threshold, once per key they share."""
-    left = left.selectExpr(*keys, "hash as a", "_class as _ca").repartition(tasks, *keys)
-    right = right.selectExpr(*keys, "hash as b", "_class as _cb").repartition(tasks, *keys)
+def _owned(key: str, blocks: list[Block]) -> str:
+    """SQL: whether the pair of bits ``_la`` and ``_lb`` that meets at ``key`` belongs there.
+
+    No earlier block may have the pair, and of the values between the two block values it is the
+    one that takes the lowest differing bits from the right, as many as the left side may flip.
+    """
+    number = f"shiftright({key}, {BLOCK_TAG})"
+    parts = [
+        f"({number} <= {b.number} or bit_count((_la ^ _lb) & {_signed(((1 << b.width) - 1) << b.shift)}) > {b.radius})" for b in blocks[:-1]
+    ]
+    differ = f"(({_block_value('_la', number, blocks)}) ^ ({_block_value('_lb', number, blocks)}))"
+    flips = f"get({_table(blocks, lambda b: b.left)}, cast({number} as int))"
+    rest = cleared = differ
+    for step in range(1, max(b.left for b in blocks) + 1):  # one lowest bit less for each that the left side may flip
+        cleared = f"({cleared} & ({cleared} - 1L))"
+        rest = f"if({flips} < {step}, {rest}, {cleared})"
+    # What is left to the right side lies above; the key is the right value without it.
+    parts.append(f"({key} & {(1 << BLOCK_TAG) - 1}L) = ({_block_value('_lb', number, blocks)} ^ {rest})")
+    return " and ".join(parts)
+
+
+def _signed(value: int) -> str:
+    value -= (value >> 63) << 64
+    return f"({value}L)" if value > -(2**63) else "shiftleft(1L, 63)"
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], threshold: int, owned: str, tasks: int) -> DataFrame:
+    """Pairs (a < b) that share the keys, are within the threshold, and are at home there."""
+    left = left.selectExpr(*keys, "hash as _ha", "_bits as _la", "_class as _ca")
+    right = right.selectExpr(*keys, "hash as _hb", "_bits as _lb", "_class as _cb")
+    if tasks > shuffle_width(left.sparkSession):  # the work is in the pairs, which sizes of rows don't tell
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     # A sort-merge join: the optimizer does not see how far the probes multiply the rows.
     return left.hint("merge").join(right, keys).where(
-        f"a < b and bit_count(a ^ b) <= {threshold} and (_ca is null or _cb is null or _ca <> _cb)"
-    ).select("a", "b")
+        f"_ha < _hb and bit_count(_ha ^ _hb) <= {threshold} and (_ca is null or _cb is null or _ca <> _cb) and {owned}"
+    ).selectExpr("_ha as a", "_hb as b")
+
 
+def _tasks(n: int, blocks: list[Block]) -> int:
+    """Tasks for a join, by the pairs that it compares and the rows that it reads."""
+    probes = n * sum(_ball(b.width, b.left) + _ball(b.width, b.right) for b in blocks)
+    return min(MAX_TASKS, int(max(_expected_pairs(n, blocks) / PAIRS_PER_TASK, probes * PROBE_BYTES / TASK_BYTES)))
 
-def _tasks(spark: SparkSession, n: int, blocks: list[Block]) -> int:
-    """Tasks for a join, by the pairs it compares; the size of its rows says little about that."""
-    return max(shuffle_width(spark), min(MAX_TASKS, int(_expected_pairs(n, blocks) / PAIRS_PER_TASK)))
+
+def _tiled(left: DataFrame, right: DataFrame, keys: list[str], sizes: str, threshold: int, owned: str) -> DataFrame:
+    """Pairs that share the keys, all of a left tile with all of a right tile in one task.
+
+    ``sizes`` are SQL expressions for the rows of a key on either side.
+    """
+    n_left, n_right = (f"cast(ceil({size} / {TILE}) as int)" for size in sizes.split(";"))
+    place = "cast(pmod(xxhash64(hash), {}) as int)"
+    l = left.selectExpr("*", f"{place.format(n_left)} as _i", f"explode(sequence(0, {n_right} - 1)) as _j")
+    r = right.selectExpr("*", f"explode(sequence(0, {n_left} - 1)) as _i", f"{place.format(n_right)} as _j")
+    return _meet(l, r, [*keys, "_i", "_j"], threshold, owned, 0)
 
 
 def hamming_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
@@ -181,33 +242,36 @@ def pairs_of(hashes: DataFrame, n: int, threshold: int, linked: bool = False) ->
         smallest = hashes.agg(F.min("hash").alias("a"))
         return hashes.join(F.broadcast(smallest), F.col("hash") > F.col("a")).selectExpr("a", "hash as b")
     blocks = plan_blocks(n, threshold)
-    tasks = _tasks(spark, n, blocks)
     plain = hashes.selectExpr("*", "cast(null as bigint) as _class")
+    many = n * n > hot_pairs(spark)  # else no bucket can be hot
     hot, n_hot = None, 0
-    if n * n > hot_pairs(spark):  # else no bucket can be hot
+    if many and blocks is not None:
         hot, n_hot = stage_counted(_hot_keys(plain, n, blocks, hot_pairs(spark)), "hot-keys")
-    if n_hot == 0:
-        return _meet(*_sides(plain, blocks), ["_key"], threshold, tasks).distinct()
-
     star, classed = None, plain
-    if linked and (centres := _centres(plain, blocks, n)):
+    if linked and (n_hot or many and blocks is None):
         # The class of a hash is the centre of the largest ball it lies in.
-        centres = _by_reach(hashes, centres, threshold)
-        classed = stage(
-            hashes.selectExpr("*", f"get({_within('hash', centres, threshold)}, 0) as _class"), "classes"
-        )
-        star = classed.where("_class <> hash").selectExpr("least(hash, _class) as a", "greatest(hash, _class) as b")
+        if centres := _centres(plain, blocks or _cut([(0, BITS)], 8, 7), n):
+            centres = _by_reach(hashes, centres, threshold)
+            classed = stage(
+                hashes.selectExpr("*", f"get({_within('hash', centres, threshold)}, 0) as _class"), "classes"
+            )
+            star = classed.where("_class <> hash").selectExpr("least(hash, _class) as a", "greatest(hash, _class) as b")
+    if blocks is None:
+        pairs = _tiled(classed, classed, [], f"{n};{n}", threshold, "true")
+        return pairs if star is None else pairs.unionByName(star)
+    if n_hot == 0:
+        return _meet(*_sides(plain, blocks), ["_key"], threshold, _owned("_key", blocks), _tasks(n, blocks))
     left, right = _sides(classed, blocks)
     listed = small_side(hot.select("_key"), n_hot)
+    owned = _owned("_key", blocks)
     cold = _meet(
-        left.join(listed, "_key", "left_anti"), right.join(listed, "_key", "left_anti"), ["_key"], threshold, tasks
-    )
-    refined = _refined(
-        left.join(listed, "_key", "left_semi"), right.join(listed, "_key", "left_semi"),
-        blocks, hot, n_hot, threshold, linked, tasks,
+        left.join(listed, "_key", "left_anti"), right.join(listed, "_key", "left_anti"), ["_key"], threshold, owned, _tasks(n, blocks)
     )
-    pairs = cold.unionByName(refined)
-    return (pairs if star is None else pairs.unionByName(star)).distinct()
+    hot_left, hot_right = left.join(listed, "_key", "left_semi"), right.join(listed, "_key", "left_semi")
+    pairs = cold
+    for l, r in _across_classes(hot_left, hot_right, n_hot) if linked else [(hot_left, hot_right)]:
+        pairs = pairs.unionByName(_cut_again(l, r, blocks, hot, ["_key"], [(0, BITS)], threshold, owned))
+    return pairs if star is None else pairs.unionByName(star)
 
 
 def _sides(hashes: DataFrame, blocks: list[Block]) -> tuple[DataFrame, DataFrame]:
@@ -248,47 +312,70 @@ def _even_meetings(n: int, block: Block) -> float:
     return per_value * _ball(block.width, block.left) * per_value * _ball(block.width, block.right)
 
 
-def _rest_of(block: Block) -> list[tuple[int, int]]:
-    """The bits outside a block, as (shift, width) regions."""
-    regions = [(0, block.shift), (block.shift + block.width, BITS - block.shift - block.width)]
-    return [(shift, width) for shift, width in regions if width > 0]
+def _rest_of(block: Block, regions: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """The regions without the bits of a block, as (shift, width)."""
+    out = []
+    for shift, width in regions or [(0, BITS)]:
+        ends = sorted({shift, shift + width, *(x for x in (block.shift, block.shift + block.width) if shift < x < shift + width)})
+        out += [(a, b - a) for a, b in zip(ends, ends[1:]) if not block.shift <= a < block.shift + block.width]
+    return out
 
 
-def _refined(
-    left: DataFrame, right: DataFrame, blocks: list[Block], hot: DataFrame, n_hot: int,
-    threshold: int, linked: bool, tasks: int,
+def _cut_again(
+    left: DataFrame, right: DataFrame, blocks: list[Block], hot: DataFrame, keys: list[str],
+    regions: list[tuple[int, int]], threshold: int, owned: str,
 ) -> DataFrame:
-    """Pairs that meet at hot keys, joined on the key and a block of the remaining bits."""
-    number = F.shiftright("_key", BLOCK_TAG)
+    """Pairs that meet at hot keys, cut by the remaining bits until no key is hot or no bits remain.
+
+    ``hot`` has the hot keys and how many rows meet there as ``_met``. Pairs at a hot key are
+    near in its block, so the whole threshold may lie in the bits that remain.
+    """
+    number = F.shiftright(keys[-1], BLOCK_TAG)
     largest = hot.groupBy(number.alias("block")).agg(F.max("_met").alias("rows")).collect()  # a row per block
     rows_in = {row.block: row.rows for row in largest}
-    out = None
-    for block in blocks:
-        if block.number not in rows_in:
-            continue
-        # Pairs in one hot bucket are near in this block, so all t may lie in the others.
-        finer = plan_blocks(rows_in[block.number], threshold, _rest_of(block))
-        l = _probes(left.where(number == block.number), finer, "left", "_finer")
-        r = _probes(right.where(number == block.number), finer, "right", "_finer")
-        if linked:
-            met = _across_classes(l, r, n_hot, threshold, tasks)
+    limit, out = hot_pairs(left.sparkSession), None
+    for block in (b for b in blocks if b.number in rows_in):
+        l, r = (side.where(number == block.number) for side in (left, right))
+        rest = _rest_of(block, regions)
+        finer = plan_blocks(rows_in[block.number], threshold, rest) if rest else None
+        if finer is None:
+            sizes = hot.select(*keys, "_met")
+            met = _tiled(l.join(sizes, keys), r.join(sizes, keys), keys, "_met;_met", threshold, owned)
         else:
-            met = _meet(l, r, ["_key", "_finer"], threshold, tasks)
+            name = f"_key{len(keys)}"
+            l, r = _probes(l, finer, "left", name), _probes(r, finer, "right", name)
+            met = _deeper(l, r, finer, [*keys, name], rest, threshold, f"{owned} and {_owned(name, finer)}", limit)
         out = met if out is None else out.unionByName(met)
     return out
 
 
-def _across_classes(l: DataFrame, r: DataFrame, n_hot: int, threshold: int, tasks: int) -> DataFrame:
-    """Meetings at hot keys except those within the key's largest class, which are never enumerated."""
+def _deeper(
+    left: DataFrame, right: DataFrame, blocks: list[Block], keys: list[str],
+    regions: list[tuple[int, int]], threshold: int, owned: str, limit: int,
+) -> DataFrame:
+    """Pairs of probes that share all keys; the keys that are still hot are cut once more."""
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_l")).join(right.groupBy(*keys).agg(F.count("*").alias("_r")), keys)
+    met = counts.agg(F.sum(F.expr("cast(_l as double) * _r")).alias("pairs"), F.sum(F.expr("_l + _r")).alias("rows")).first()
+    if met.pairs is None:
+        return left.selectExpr("hash as a", "hash as b").where("false")
+    tasks = min(MAX_TASKS, int(max(met.pairs / PAIRS_PER_TASK, met.rows * PROBE_BYTES / TASK_BYTES)))
+    hot, n_hot = stage_counted(counts.where(f"cast(_l as double) * _r > {limit}").selectExpr(*keys, "_l + _r as _met"), "hot-keys")
+    if n_hot == 0:
+        return _meet(left, right, keys, threshold, owned, tasks)
+    listed = small_side(hot.select(*keys), n_hot)
+    cold = _meet(left.join(listed, keys, "left_anti"), right.join(listed, keys, "left_anti"), keys, threshold, owned, tasks)
+    l, r = left.join(listed, keys, "left_semi"), right.join(listed, keys, "left_semi")
+    return cold.unionByName(_cut_again(l, r, blocks, hot, keys, regions, threshold, owned))
+
+
+def _across_classes(l: DataFrame, r: DataFrame, n_hot: int) -> list[tuple[DataFrame, DataFrame]]:
+    """The two sides of the meetings at hot keys, but those within a key's largest class."""
     classes = l.where("_class is not null").groupBy("_key", "_class").agg(F.count("*").alias("_n"))
     main = classes.groupBy("_key").agg(F.max_by("_class", "_n").alias("_main"))
     main = small_side(stage(main, "main-classes"), n_hot)
     l, r = l.join(main, "_key", "left"), r.join(main, "_key", "left")
     inside = F.coalesce(F.col("_class") == F.col("_main"), F.lit(False))
-    keys = ["_key", "_finer"]
-    return _meet(l.where(~inside), r, keys, threshold, tasks).unionByName(
-        _meet(l.where(inside), r.where(~inside), keys, threshold, tasks)
-    )
+    return [(l.where(~inside).drop("_main"), r.drop("_main")), (l.where(inside).drop("_main"), r.where(~inside).drop("_main"))]
 
 
 def _centres(hashes: DataFrame, blocks: list[Block], n: int) -> list[int]:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,12 +92,12 @@ def _stat(path: bytes) -> tuple[int | None, int | None, str | None]:
     return found.st_size, found.st_mtime_ns, None
 
 
-def _stat_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _stat_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        facts = pd.DataFrame(
-            [_stat(bytes(path)) for path in batch["path"]], columns=["size", "mtime_ns", "reason"]
-        ).astype({"size": "Int64", "mtime_ns": "Int64"})
-        yield facts.assign(path=batch["path"].values)[["path", "size", "mtime_ns", "reason"]]
+        facts = [_stat(path) for path in batch.column("path").to_pylist()]
+        # Integers all the way: times in nanoseconds do not fit in a double.
+        columns = [pa.array([fact[i] for fact in facts], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), *columns], ["path", "size", "mtime_ns", "reason"])
 
 
 def list_tree(spark: SparkSession, root: str, min_size: int = 0) -> Listing:
@@ -121,12 +122,12 @@ def list_tree(spark: SparkSession, root: str, min_size: int = 0) -> Listing:
 
     names = entries.where("kind = 'file'").select("path")
     tasks = max(width, names.count() // FILES_PER_TASK + 1)
-    facts = stage(names.repartition(tasks, "path").mapInPandas(_stat_files, STAT_SCHEMA), "stat")
+    facts = stage(names.repartition(tasks, "path").mapInArrow(_stat_files, STAT_SCHEMA), "stat")
     elapsed = int((time.monotonic() - started) * 1000)
 
     kept = facts.where(F.col("reason").isNull() & (F.col("size") >= min_size))
     files = kept.select(
-        F.col("path").cast("string").alias("path"), "size", F.timestamp_micros(F.floor(F.col("mtime_ns") / 1000)).alias("mtime"), "mtime_ns"
+        F.col("path").cast("string").alias("path"), "size", F.expr("timestamp_micros((mtime_ns - pmod(mtime_ns, 1000)) div 1000)").alias("mtime"), "mtime_ns"
     )
     not_listed = entries.where("kind not in ('enter', 'dir', 'file')").select("path", F.col("kind").alias("reason"))
     skipped = not_listed.unionByName(facts.where("reason is not null").select("path", "reason")).select(

@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ BROADCAST_ROWS = 200_000
 
 _local_dirs: dict[str, str] = {}
 _staged: dict[str, list[str]] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _shipped: set[str] = set()
 
 
@@ -92,7 +94,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.setdefault(spark.conf.get("spark.app.id", "local"), []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    _paths[staged] = path
+    return staged
 
 
 def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
@@ -102,15 +106,34 @@ def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return staged, seen.get["n"]
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables this session staged; returns how many. Call when results are written."""
-    paths = _staged.pop(spark.conf.get("spark.app.id", "local"), [])
+def release(spark: SparkSession, keep: str | None = None) -> int:
+    """Delete the tables this session staged, but those whose label begins with ``keep``; returns how many.
+
+    Call when results are written.
+    """
+    app = spark.conf.get("spark.app.id", "local")
+    paths = _staged.pop(app, [])
+    if keep is not None:
+        _staged[app] = [p for p in paths if p.rsplit("/", 1)[1].startswith(keep)]
+        paths = [p for p in paths if p not in _staged[app]]
+    _delete(spark, paths)
+    return len(paths)
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a table that ``stage`` returned, once nothing reads it any more."""
+    spark = staged.sparkSession
+    path = _paths.pop(staged)
+    _staged[spark.conf.get("spark.app.id", "local")].remove(path)
+    _delete(spark, [path])
+
+
+def _delete(spark: SparkSession, names: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in paths:
+    for name in names:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return len(paths)
 
 
 def small_side(side: DataFrame, rows: int) -> DataFrame:
