@@ -11,9 +11,9 @@ Documents with equal sets are one node. Nodes meet where all places of a band ag
 value the members are tied to one of them, a pivot that most bands of a group share, and each
 pair is verified once on the whole sets. Where a member is refused by its pivot it may still be
 linked to another one, so those band values are searched: members outside of the largest
-component so far meet all members of other components whose signatures agree well enough. A first
-search verifies the best partner of each, which joins most components, a second one whatever is
-left. Sets at the limit miss each other in all bands, or fall below the agreement asked for,
+component so far meet all members of other components whose signatures agree well enough and
+whose parity bitmaps differ in no more bits than the sets may differ in elements. A first search
+verifies the best partner of each, which joins most components, a second one whatever is left. Sets at the limit miss each other in all bands, or fall below the agreement asked for,
 with a probability below 10**-6.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm.jaccard_join import WordHashes, grams, signature
+from twinsift.llm.jaccard_join import WordHashes, bitmap, grams, most_differences, signature
 from twinsift.operators.components import connected_components
 from twinsift.skew import join_groups, with_aggregates
 from twinsift.staging import ship_package, small_side, stage, stage_counted
@@ -100,7 +100,7 @@ def band_values(signatures: np.ndarray) -> np.ndarray:
 
 
 def _profile(k: int):
-    """Per document its key, the size and name of its set, a byte per place, and the band values."""
+    """Per document its key, the size and name of its set, a byte per place, a bitmap and the band values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -115,12 +115,14 @@ def _profile(k: int):
                     new.append(members)
             signs = super_minhash(new)
             low, bands = (signs & np.uint64(255)).astype(np.uint8), band_values(signs)
+            bits = [bitmap(members) for members in new]
             rows = [None if name is None else at[name] for name in names]
             yield pa.RecordBatch.from_arrays([
                 batch.column("key"), pa.array(n, pa.int32()), pa.array(names, pa.binary()),
                 pa.array([None if i is None else low[i].tobytes() for i in rows], pa.binary()),
+                pa.array([None if i is None else bits[i] for i in rows], pa.binary()),
                 pa.array([None if i is None else bands[i].view(np.int64) for i in rows], pa.list_(pa.int64())),
-            ], ["key", "n", "sig", "low", "bands"])
+            ], ["key", "n", "sig", "low", "bits", "bands"])
 
     return run
 
@@ -178,7 +180,7 @@ def _verified(read: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
 
 
 def _agreeing(percent: int, only_best: bool):
-    """Pairs of different components whose signatures agree well; cells come whole and in order."""
+    """Pairs of different components whose signatures and bitmaps agree well; cells come whole and in order."""
     places = BANDS * PLACES
     p = percent / 100
     least = math.floor(places * p - DEVIATIONS * math.sqrt(places * p * (1 - p)))
@@ -186,9 +188,12 @@ def _agreeing(percent: int, only_best: bool):
     def pairs(t: pa.Table) -> list[tuple[int, int]]:
         node, component, n, minor = (t.column(c).to_numpy() for c in ("node", "component", "n", "minor"))
         low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, places)
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(low), -1)
         rest, found = np.flatnonzero(~minor), []
         for i in np.flatnonzero(minor).tolist():
-            fit = rest[(component[rest] != component[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
+            differ = most_differences(n[rest], n[i], percent)  # negative where the sizes are too far apart
+            fit = np.flatnonzero((component[rest] != component[i]) & (differ >= 0))
+            fit = rest[fit[np.bitwise_count(bits[rest[fit]] ^ bits[i]).sum(axis=1, dtype=np.int64) <= differ[fit]]]
             if not len(fit):
                 continue
             agree = (low[fit] == low[i]).sum(axis=1)
@@ -234,9 +239,9 @@ def _across(rows: DataFrame, nodes: DataFrame, links: DataFrame, percent: int, o
     met = join_groups(named, bands, ["band"], "all", total)
     met = met.selectExpr(
         "band", "node", "component", "component <> main as minor", f"cast(ceil(all / {CELL}) as int) as nj", f"cast(ceil(minors / {CELL}) as int) as ni"
-    ).join(nodes.select("node", "n", "low"), "node")
+    ).join(nodes.select("node", "n", "low", "bits"), "node")
     own = "cast(pmod(xxhash64(node), {}) as int)"
-    columns = ["band", "node", "component", "n", "low"]
+    columns = ["band", "node", "component", "n", "low", "bits"]
     as_minor = met.where("minor").selectExpr(*columns, "true as minor", f"{own.format('ni')} as i", "explode(sequence(0, nj - 1)) as j")
     as_any = met.selectExpr(*columns, "false as minor", "explode(sequence(0, ni - 1)) as i", f"{own.format('nj')} as j")
     dealt = as_minor.unionByName(as_any).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
@@ -257,9 +262,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, key: st
     spark = documents.sparkSession
     ship_package(spark)
     read = documents.select(F.col(key).cast("bigint").alias("key"), F.col("text").cast("binary").alias("text"))
-    profile, total = stage_counted(read.mapInArrow(_profile(k), "key bigint, n int, sig binary, low binary, bands array<bigint>"), "profiles")
+    profile, total = stage_counted(read.mapInArrow(_profile(k), "key bigint, n int, sig binary, low binary, bits binary, bands array<bigint>"), "profiles")
     distinct = profile.where("n > 0").groupBy("sig").agg(
-        F.min("key").alias("first_key"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("n", "low", "bands")]
+        F.min("key").alias("first_key"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("n", "low", "bits", "bands")]
     )
     nodes, n_nodes = stage_counted(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
