@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from tests.helpers import grouped
 from pyspark.sql import functions as F
 
 from twinsift.functions.bits import hamming, hash_hex, similarity_percent
+from twinsift.functions import images as images_module
 from twinsift.functions.images import _hash_images, dhash, dhash_bgr, dhash_of_pixels
 from twinsift.operators import hamming as hm
 from twinsift.operators.components import connected_components
@@ -249,6 +251,25 @@ def test_known_image_hashes(spark):
     assert all(want[r.i] == r.x for r in sql_form.collect())
 
 
+def test_bands_are_as_good_as_the_whole_image(monkeypatch):
+    rng = np.random.default_rng(4)
+    shapes = [(h, w, c) for h in (1, 3, 8, 37) for w in (1, 5, 9, 40) for c in (1, 2, 3, 4)]
+    images = [rng.integers(0, 256, (3, *shape), dtype=np.uint8) for shape in shapes]
+    whole = [images_module._stack_hashes(stack, bgr).tolist() for stack in images for bgr in (False, True)]
+    monkeypatch.setattr(images_module, "STACK_BYTES", 1)  # a row at a time
+    assert [images_module._stack_hashes(stack, bgr).tolist() for stack in images for bgr in (False, True)] == whole
+
+
+def test_a_large_image_takes_little_beside_itself():
+    side = 6000
+    pixels = np.random.default_rng(5).integers(0, 256, side * side * 3, dtype=np.uint8).tobytes()  # 108 MB
+    tracemalloc.start()
+    (found,) = _hash_images([side], [side], [3], [pixels], True)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert found is not None and peak < 60e6
+
+
 def test_both_forms_agree_on_random_rasters(spark):
     rng = random.Random(8)
     rows = []

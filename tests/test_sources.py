@@ -1,4 +1,5 @@
 import os
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pytest
@@ -9,8 +10,10 @@ from twinsift.operators.exact import exact_members
 from twinsift.operators.near import near_members, similarity_listing, skipped_images
 from twinsift.plans import scan as jobs
 from twinsift.sources import file_content, synthetic
+from twinsift.sources import images as images_source
 from twinsift.sources.images import hash_listed
-from twinsift.sources.listing import _stat_files, list_tree
+from twinsift.sources.listing import _stat, _stat_files, _store_entries, list_tree
+from twinsift.staging import release
 
 
 @pytest.fixture
@@ -52,6 +55,48 @@ def test_listing_rules(spark, tree):
     assert when["a.txt"] == (tree / "a.txt").stat().st_mtime_ns // 1000
 
 
+@pytest.fixture
+def plain_tree(tmp_path):
+    """A tree of files and folders alone, as a store has them."""
+    root = tmp_path / "ro ot%20#1"
+    (root / "sub" / "sub2").mkdir(parents=True)
+    for name, content in {"a.txt": b"same", "sub/b.txt": b"same", "sub/sub2/zero": b"", ".hidden": b"h", "_under": b"uu", "sub/näme ?&#%41 x": b"x" * 10}.items():
+        (root / name).write_bytes(content)
+    return root
+
+
+@pytest.mark.parametrize("tail", ["", "/"])
+def test_a_tree_by_its_uri_is_the_same(spark, plain_tree, tail):
+    """Through pyarrow's file systems, as trees that are not mounted are listed."""
+    by_path = list_tree(spark, str(plain_tree))
+    uri = f"file://{quote(str(plain_tree))}{tail}"
+    by_uri = list_tree(spark, uri)
+    facts = ("size", "mtime_ns", "mtime")
+    found = {unquote(r.path.removeprefix("file://")): tuple(r[c] for c in facts) for r in by_uri.files.collect()}
+    assert found == {r.path: tuple(r[c] for c in facts) for r in by_path.files.collect()} and len(found) == 6
+    assert by_uri.stats.drop("duration_ms").first() == by_path.stats.drop("duration_ms").first()
+    assert by_uri.skipped.count() == 0
+    members = {verify: file_content.exact_file_members(by_uri.files, verify).collect() for verify in ("sha256", "bytes")}
+    for rows in members.values():
+        assert sorted(os.path.basename(r.path) for r in rows) == ["a.txt", "b.txt"]
+    scan = jobs.scan_tree(spark, uri, min_size=1)
+    assert sorted(r.action for r in jobs.plan_cleanup(scan).collect()) == ["delete", "keep"]
+
+
+def test_what_a_store_cannot_give(spark, plain_tree):
+    for root in (f"file://{plain_tree}/none", "file:///dev/null", "nostore://x/y"):
+        assert [r.reason for r in list_tree(spark, root).skipped.collect()] == ["Root is not a valid directory"]
+    gone = f"file://{quote(str(plain_tree))}/gone"
+    assert _stat(gone.encode()) == (None, None, "Skipped unreadable size")
+    assert _stat(f"file://{quote(str(plain_tree))}/sub".encode())[2] == "Skipped non-regular file"
+    ((path, kind),) = _entries_of(gone)
+    assert path == gone.encode() and kind.startswith("Iteration error")
+
+
+def _entries_of(uri):
+    return list(_store_entries(uri.encode()))
+
+
 def test_times_are_exact_to_the_nanosecond(spark, tmp_path):
     at = 1_796_171_612_518_170_840
     times = {"a": at, "b": at + 100, "c": -1_500, "d": 999}
@@ -153,6 +198,23 @@ def test_image_source(spark, pictures):
     }
 
 
+def test_images_are_read_folder_by_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(images_source, "IMAGES_PER_READ", 2)
+    for i in range(9):
+        write_png(tmp_path / f"{i}.png", 20, 20, gradient(20) if i % 2 else checkerboard)
+    reads = []
+    real = images_source.decode_linked
+    monkeypatch.setattr(images_source, "decode_linked", lambda spark, folder: reads.append(folder) or real(spark, folder))
+    found = hash_listed(list_tree(spark, str(tmp_path)).files)
+    hashes = {os.path.basename(r.path): r.dhash for r in found.collect()}
+    assert len(hashes) == 9 and None not in hashes.values() and len(set(hashes.values())) == 2
+    assert 2 < len(reads) <= 5 and len(set(reads)) == len(reads)
+    links = os.path.dirname(reads[0].removeprefix("file://"))
+    assert sum(len(names) for _, _, names in os.walk(links)) == 9
+    release(spark)
+    assert not os.path.exists(links) and len(os.listdir(tmp_path)) == 9
+
+
 @pytest.mark.parametrize("spelling", ["{}", "{}/", "{}/../x [1]", "//{}", "./x [1]"])
 def test_no_image_is_lost(spark, tmp_path, monkeypatch, spelling):
     """Hidden names and folders, and any spelling of a root that looks like a pattern."""

@@ -23,30 +23,41 @@ def _bounds(extent: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return start, np.minimum(np.maximum(edges[1:], start + 1), extent)
 
 
-#: Pixels of equally sized images are hashed together up to this many bytes.
+#: Pixels of equally sized images are hashed together up to this many bytes, and larger images
+#: are summed up in bands of so many.
 STACK_BYTES = 1 << 22
 
 
+def _bright(pixels: np.ndarray, bgr: bool) -> np.ndarray:
+    """Brightness of (..., channels) bytes."""
+    if pixels.shape[-1] < 3:
+        return (pixels[..., 0].astype(np.uint32) * (RED + GREEN + BLUE)) // SCALE
+    red, blue = (2, 0) if bgr else (0, 2)
+    total = pixels[..., red].astype(np.uint32)
+    total *= RED
+    for channel, weight in ((1, GREEN), (blue, BLUE)):
+        total += pixels[..., channel].astype(np.uint32) * np.uint32(weight)
+    total //= SCALE
+    return total
+
+
 def _stack_hashes(stack: np.ndarray, bgr: bool) -> np.ndarray:
-    """Hashes of images of one shape: (images, height, width, channels) of bytes."""
+    """Hashes of images of one shape: (images, height, width, channels) of bytes.
+
+    Rows of a cell are added up band by band, so besides the images there is never more than a
+    band. Small images make cells overlap; cells look their columns up in running sums.
+    """
     n, height, width, channels = stack.shape
-    first = stack[..., 0].astype(np.int64)
-    red = green = blue = first
-    if channels >= 3:
-        green, third = stack[..., 1].astype(np.int64), stack[..., 2].astype(np.int64)
-        red, blue = (third, first) if bgr else (first, third)
-    bright = (red * RED + green * GREEN + blue * BLUE) // SCALE
-    # Summed-area tables: small images make cells overlap, so cells look their sums up.
-    area = np.zeros((n, height + 1, width + 1), dtype=np.int64)
-    area[:, 1:, 1:] = bright.cumsum(1).cumsum(2)
     x0, x1 = _bounds(width, GRID_WIDTH)
     y0, y1 = _bounds(height, GRID_HEIGHT)
-
-    def corner(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return area[:, y[:, None], x[None, :]]
-
-    total = corner(y1, x1) - corner(y0, x1) - corner(y1, x0) + corner(y0, x0)
-    grid = total // np.outer(y1 - y0, x1 - x0)
+    step = max(1, STACK_BYTES // (n * width * channels))
+    grid = np.empty((n, GRID_HEIGHT, GRID_WIDTH), np.int64)
+    for row, (top, bottom) in enumerate(zip(y0.tolist(), y1.tolist())):
+        columns = np.zeros((n, width + 1), np.int64)
+        for at in range(top, bottom, step):
+            columns[:, 1:] += _bright(stack[:, at : min(at + step, bottom)], bgr).sum(axis=1, dtype=np.int64)
+        sums = columns.cumsum(axis=1)
+        grid[:, row] = (sums[:, x1] - sums[:, x0]) // ((bottom - top) * (x1 - x0))
     rises = (grid[:, :, :-1] < grid[:, :, 1:]).reshape(n, -1)
     packed = np.packbits(rises, axis=1, bitorder="little")
     return np.ascontiguousarray(packed).view("<i8")[:, 0]
@@ -70,7 +81,9 @@ def _hash_images(width, height, channels, data, bgr: bool) -> list[int | None]:
         step = max(1, STACK_BYTES // needed)
         for start in range(0, len(images), step):
             part = images[start : start + step]
-            stack = np.stack([pixels[:needed] for _, pixels in part]).reshape(-1, *shape)
+            # One image alone is not copied.
+            stack = part[0][1][:needed] if len(part) == 1 else np.stack([pixels[:needed] for _, pixels in part])
+            stack = stack.reshape(-1, *shape)
             for (i, _), value in zip(part, _stack_hashes(stack, bgr)):
                 hashes[i] = int(value)
     return hashes

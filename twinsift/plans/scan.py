@@ -1,8 +1,7 @@
-"""The two jobs over a directory tree: scan it, and plan its cleanup."""
+"""The two jobs over a directory tree, mounted or by its URI: scan it, and plan its cleanup."""
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from twinsift.plans.cleanup import make_plan
 from twinsift.plans.report import write_report
 from twinsift.sources.file_content import exact_file_members
 from twinsift.sources.images import hash_listed
-from twinsift.sources.listing import Listing, list_tree
+from twinsift.sources.listing import Listing, is_tree, list_tree
 from twinsift.staging import stage
 
 
@@ -35,7 +34,7 @@ def scan_tree(
     verify: str = "sha256",
 ) -> Scan:
     """List ``root`` and find its exact and, if asked, near groups; members carry their keeper."""
-    if not os.path.isdir(root):
+    if not is_tree(root):
         raise ValueError(f"Provided path is not a valid directory: {root}")
     listing = list_tree(spark, root, min_size)
     exact = stage(exact_file_members(listing.files, verify, strategy, "mtime_ns"), "exact-members")

@@ -1,4 +1,4 @@
-"""Content of files on a file system that all executors mount, read in chunks where Spark runs the task.
+"""Content of files that all executors reach, mounted or by URI, read in chunks where Spark runs the task.
 
 Bytes never enter a row: a task streams each of its files and emits its fingerprint and
 digest, or compares two files and emits whether they are equal.
@@ -17,6 +17,7 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, St
 from twinsift.operators.exact import DIGEST_KEY, dup_size_candidates, group_rows
 from twinsift.operators.ordering import keeper
 from twinsift.skew import with_aggregates
+from twinsift.sources.storage import open_bytes
 from twinsift.staging import ship_package, shuffle_width, stage, stage_counted
 
 CHUNK = 64 * 1024
@@ -31,7 +32,7 @@ def _hash_file(path: bytes) -> tuple[int | None, bytes | None]:
 
     fingerprint, digest = xxhash.xxh64(seed=SEED), hashlib.sha256()
     try:
-        with open(path, "rb") as file:
+        with open_bytes(path) as file:
             while chunk := file.read(CHUNK):
                 fingerprint.update(chunk)
                 digest.update(chunk)
@@ -51,7 +52,7 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _readable(path: bytes) -> bool:
     try:
-        with open(path, "rb") as file:
+        with open_bytes(path) as file:
             file.read(1)
         return True
     except OSError:
@@ -66,7 +67,7 @@ def _equal_files(a: bytes, b: bytes) -> tuple[bool, bool]:
     if a == b:
         return (True, True) if _readable(a) else (False, False)
     try:
-        with open(a, "rb") as first, open(b, "rb") as second:
+        with open_bytes(a) as first, open_bytes(b) as second:
             while True:
                 x, y = first.read(CHUNK), second.read(CHUNK)
                 if x != y:

@@ -2,8 +2,13 @@
 
 The image source lists folders by itself: it passes over names that begin with ``.`` or ``_``,
 and reads ``[1]`` in a path as a pattern. So it is given links instead. Every image of a listing
-gets one below the shared folder, named by the SHA-256 of its path, in one of 256 folders; what
-was decoded is joined back by that name. Only the hash leaves a task.
+gets one below the shared folder, named by the SHA-256 of its path; what was decoded is joined
+back by that name. Only the hash leaves a task.
+
+Spark's driver lists what an image source reads. So links are dealt to folders of about
+``IMAGES_PER_READ``, and each folder is a read of its own, one after the other: however many
+images there are, the driver holds the names of one folder. The links go with the session's
+other staged tables.
 """
 
 from __future__ import annotations
@@ -18,14 +23,18 @@ from pyspark.sql import functions as F
 
 from twinsift.functions.images import dhash_bgr
 from twinsift.functions.paths import is_image_path
-from twinsift.staging import scratch_dir, ship_package, stage
+from twinsift.staging import scratch_dir, ship_package, stage, stage_counted, staged_elsewhere
+
+
+#: Images whose names the driver lists at once.
+IMAGES_PER_READ = 100_000
 
 
-def _link_images(folder: str):
+def _link_images(folder: str, parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for raw, name in zip(batch["raw"], batch["name"]):
-                place = os.path.join(folder, name[:2])
+                place = os.path.join(folder, str(int(name[:12], 16) % parts))
                 os.makedirs(place, exist_ok=True)
                 try:
                     os.symlink(bytes(raw), os.fsencode(os.path.join(place, name + ".png")))
@@ -65,8 +74,16 @@ def hash_listed(files: DataFrame) -> DataFrame:
     listed = files.where(is_image_path(F.col("path"))).withColumn("_name", F.sha2(F.col("path").cast("binary"), 256))
     folder = f"{_mounted(scratch_dir(spark))}/image-links-{uuid.uuid4().hex}"
     links = listed.select(F.col("path").cast("binary").alias("raw"), F.col("_name").alias("name"))
-    linked = stage(links.mapInPandas(_link_images(folder), "name string"), "image-links")
-    if linked.isEmpty():
+    links, n = stage_counted(links, "image-names")
+    if n == 0:
         return listed.drop("_name").withColumn("dhash", F.lit(None).cast("bigint"))
-    decoded = stage(decode_linked(spark, f"file://{folder}"), "image-hashes")
+    parts = -(-n // IMAGES_PER_READ)
+    staged_elsewhere(spark, f"file://{folder}")
+    links.mapInPandas(_link_images(folder, parts), "name string").write.format("noop").mode("overwrite").save()
+    decoded = None
+    for part in range(parts):
+        if parts > 1 and not os.path.isdir(f"{folder}/{part}"):  # no name fell into it
+            continue
+        found = stage(decode_linked(spark, f"file://{folder}/{part}"), "image-hashes")
+        decoded = found if decoded is None else decoded.unionByName(found)
     return listed.join(decoded, F.col("_name") == F.col("name"), "left").drop("_name", "name")

@@ -1,10 +1,14 @@
-"""Inventory of a directory tree on a file system that all executors mount.
+"""Inventory of a directory tree on a file system that all executors reach: mounted, or by its URI.
 
 Spark's own file sources leave out names that begin with ``.`` or ``_`` and follow links, so
 the tree is listed level by level instead: each level is a table of directories, listed in
 parallel. Names are read first and sizes and times in a second pass over all files, so one
 directory with very many files does not hold up a single task with its ``stat`` calls.
 Paths travel as bytes, since file names need not be valid text.
+
+Trees that no one mounts (``s3://...``, ``hdfs://...``) are listed the same way through pyarrow's
+file systems, where Spark runs the tasks; their paths keep the form of URIs. Such stores have no
+links, and a name that is no file or folder is skipped as not regular.
 """
 
 from __future__ import annotations
@@ -17,9 +21,11 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsift.sources import storage
 from twinsift.staging import ship_package, shuffle_width, stage
 
 # Why an item was skipped.
@@ -69,11 +75,28 @@ def _entries(folder: bytes) -> Iterator[tuple[bytes, str]]:
         yield folder, f"{ITERATION_ERROR}: {error.strerror}"
 
 
+def _store_entries(folder: bytes) -> Iterator[tuple[bytes, str]]:
+    """The same in a store that is reached by URI."""
+    uri = folder.decode()
+    try:
+        store, path = storage.located(uri)
+        found = store.get_file_info(fs.FileSelector(path, recursive=False))
+    except PermissionError:
+        return
+    except OSError as error:
+        yield folder, f"{ITERATION_ERROR}: {error.strerror or error}"
+        return
+    kinds = {fs.FileType.Directory: "enter", fs.FileType.File: "file"}
+    for info in found:
+        yield storage.joined(uri, info.base_name).encode(), kinds.get(info.type, NOT_REGULAR)
+
+
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows: list[tuple[bytes, str]] = []
     for batch in batches:
         for folder in batch["path"]:
-            for row in _entries(bytes(folder)):
+            folder = bytes(folder)
+            for row in (_store_entries if storage.is_uri(folder) else _entries)(folder):
                 rows.append(row)
                 if len(rows) == BATCH:
                     yield pd.DataFrame(rows, columns=["path", "kind"])
@@ -83,6 +106,8 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _stat(path: bytes) -> tuple[int | None, int | None, str | None]:
+    if storage.is_uri(path):
+        return _store_stat(path.decode())
     try:
         found = os.lstat(path)
     except OSError:
@@ -92,6 +117,17 @@ def _stat(path: bytes) -> tuple[int | None, int | None, str | None]:
     return found.st_size, found.st_mtime_ns, None
 
 
+def _store_stat(uri: str) -> tuple[int | None, int | None, str | None]:
+    try:
+        store, path = storage.located(uri)
+        info = store.get_file_info(path)
+    except OSError:
+        return None, None, UNREADABLE_SIZE
+    if info.type != fs.FileType.File:
+        return None, None, NOT_REGULAR if info.type == fs.FileType.Directory else UNREADABLE_SIZE
+    return info.size, info.mtime_ns, None
+
+
 def _stat_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         facts = [_stat(path) for path in batch.column("path").to_pylist()]
@@ -100,12 +136,26 @@ def _stat_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("path"), *columns], ["path", "size", "mtime_ns", "reason"])
 
 
+def is_tree(root: str) -> bool:
+    """Whether ``root`` is a folder that can be listed."""
+    if not storage.is_uri(root):
+        return os.path.isdir(root)
+    try:
+        store, path = storage.located(root.rstrip("/"))
+        return store.get_file_info(path).type == fs.FileType.Directory
+    except (OSError, ValueError):  # ValueError: no such kind of store
+        return False
+
+
 def list_tree(spark: SparkSession, root: str, min_size: int = 0) -> Listing:
-    """List ``root``, whose spelling is made plain; files smaller than ``min_size`` are left out of files, bytes and skipped alike."""
+    """List ``root``, whose spelling is made plain; files smaller than ``min_size`` are left out of files, bytes and skipped alike.
+
+    A root with a scheme, as in ``s3://bucket/folder``, is listed through pyarrow's file systems.
+    """
     started = time.monotonic()
-    root = os.path.abspath(root)
+    root = root.rstrip("/") if storage.is_uri(root) else os.path.abspath(root)
     ship_package(spark)
-    if not os.path.isdir(root):
+    if not is_tree(root):
         return _no_tree(spark, root)
     width = shuffle_width(spark)
     frontier = spark.createDataFrame([(os.fsencode(root),)], "path binary")

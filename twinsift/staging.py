@@ -99,6 +99,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return staged
 
 
+def staged_elsewhere(spark: SparkSession, path: str) -> None:
+    """Have ``release`` delete a folder that was not written by ``stage``."""
+    _staged.setdefault(spark.conf.get("spark.app.id", "local"), []).append(path)
+
+
 def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """Stage ``df`` and count its rows on the way."""
     seen = Observation()
