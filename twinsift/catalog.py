@@ -237,20 +237,43 @@ def dhash_expression(spark, folder):
     return rasters(spark, folder).select("img_id", hash_hex(hashed).alias("dhash"))
 
 
-@query
-def hamming_pairs(spark, folder):
+def _pairs(spark, folder, threshold):
     a, b = hash_hex(F.col("hash_a")), hash_hex(F.col("hash_b"))
-    return near.near_pairs(images(spark, folder), NEAR_THRESHOLD).select(
+    return near.near_pairs(images(spark, folder), threshold).select(
         F.least(a, b).alias("hash_a"), F.greatest(a, b).alias("hash_b"), "distance", "similarity"
     )
 
 
 @query
-def near_groups(spark, folder):
-    members = near.near_members(images(spark, folder), NEAR_THRESHOLD)
+def hamming_pairs(spark, folder):
+    return _pairs(spark, folder, NEAR_THRESHOLD)
+
+
+@query
+def hamming_pairs_10(spark, folder):
+    return _pairs(spark, folder, 10)
+
+
+@query
+def hamming_pairs_20(spark, folder):
+    return _pairs(spark, folder, 20)
+
+
+def _group_sizes(spark, folder, threshold):
+    members = near.near_members(images(spark, folder), threshold)
     return members.groupBy("group_id").agg(F.count("*").alias("n_members"))
 
 
+@query
+def near_groups(spark, folder):
+    return _group_sizes(spark, folder, NEAR_THRESHOLD)
+
+
+@query
+def near_groups_16(spark, folder):
+    return _group_sizes(spark, folder, 16)
+
+
 @query
 def skipped_images(spark, folder):
     return near.skipped_images(file_images(spark, folder))

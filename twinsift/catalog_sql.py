@@ -49,11 +49,11 @@ HEX = "printf('%08x%08x', {0}hi, {0}lo)"
 DISTANCE = "cast(bit_count(xor({0}.hi, {1}.hi)) + bit_count(xor({0}.lo, {1}.lo)) as integer)"
 
 
-def _near(images: str) -> str:
+def _near(images: str, threshold: int = 14) -> str:
     """Components by a recursive union over ``images(path, hi, lo, ...)``."""
     return f"""edges as (
   select a.path as a, b.path as b from {images} a join {images} b
-    on a.path <> b.path and {DISTANCE.format('a', 'b')} <= 14),
+    on a.path <> b.path and {DISTANCE.format('a', 'b')} <= {threshold}),
 reach(a, b) as (
   select path, path from {images}
   union
@@ -66,6 +66,13 @@ near as (
 near_far as (select *, cast(bit_count(xor(hi, ref_hi)) + bit_count(xor(lo, ref_lo)) as integer) as distance from near)"""
 
 
+def _pairs_sql(threshold: int) -> str:
+    return _with(RASTERS, "d as (select distinct hi, lo from hashes)") + f"""
+        select {HEX.format('a.')} as hash_a, {HEX.format('b.')} as hash_b, {DISTANCE.format('a', 'b')} as distance,
+               cast(100 - ({DISTANCE.format('a', 'b')} * 100) // 64 as integer) as similarity
+        from d a join d b on (a.hi < b.hi or (a.hi = b.hi and a.lo < b.lo)) and {DISTANCE.format('a', 'b')} <= {threshold}"""
+
+
 IMAGES = "images as (select r.path, h.hi, h.lo from rasters r join hashes h using (img_id))"
 
 FILE_IMAGES = """file_images as (
@@ -148,10 +155,10 @@ def oracle_sql() -> dict[str, str]:
         "luma_cells": hashes + "select img_id, gy, gx, luma from grid",
         "dhash_rasters": hashes + f"select img_id, {HEX.format('')} as dhash from hashes",
         "dhash_expression": hashes + f"select img_id, {HEX.format('')} as dhash from hashes",
-        "hamming_pairs": _with(RASTERS, "d as (select distinct hi, lo from hashes)") + f"""
-            select {HEX.format('a.')} as hash_a, {HEX.format('b.')} as hash_b, {DISTANCE.format('a', 'b')} as distance,
-                   cast(100 - ({DISTANCE.format('a', 'b')} * 100) // 64 as integer) as similarity
-            from d a join d b on (a.hi < b.hi or (a.hi = b.hi and a.lo < b.lo)) and {DISTANCE.format('a', 'b')} <= 14""",
+        "hamming_pairs": _pairs_sql(14),
+        "hamming_pairs_10": _pairs_sql(10),
+        "hamming_pairs_20": _pairs_sql(20),
+        "near_groups_16": _with(RASTERS, IMAGES, _near("images", 16), recursive=True) + "select group_id, count(*) as n_members from near group by group_id",
         "near_groups": near + "select group_id, count(*) as n_members from near group by group_id",
         "skipped_images": _with(FILES, RASTERS) + """select f.path from files f
             where regexp_matches(lower(f.path), '[^/][.](jpg|jpeg|png|bmp)$') and f.doc_id not in (select img_id from rasters)""",
