@@ -111,26 +111,29 @@ def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return staged, seen.get["n"]
 
 
-def release(spark: SparkSession, keep: str | None = None) -> int:
-    """Delete the tables this session staged, but those whose label begins with ``keep``; returns how many.
+def release(spark: SparkSession) -> int:
+    """Delete the tables this session staged; returns how many. Call when results are written."""
+    return discard_paths(spark, staged_paths(spark))
 
-    Call when results are written.
-    """
-    app = spark.conf.get("spark.app.id", "local")
-    paths = _staged.pop(app, [])
-    if keep is not None:
-        _staged[app] = [p for p in paths if p.rsplit("/", 1)[1].startswith(keep)]
-        paths = [p for p in paths if p not in _staged[app]]
-    _delete(spark, paths)
-    return len(paths)
+
+def staged_paths(spark: SparkSession) -> list[str]:
+    """Where this session's staged tables are, in the order in which they were written."""
+    return list(_staged.get(spark.conf.get("spark.app.id", "local"), []))
+
+
+def discard_paths(spark: SparkSession, paths: list[str]) -> int:
+    """Delete some of the staged tables; returns how many."""
+    known = _staged.get(spark.conf.get("spark.app.id", "local"), [])
+    mine = [path for path in paths if path in known]
+    for path in mine:
+        known.remove(path)
+    _delete(spark, mine)
+    return len(mine)
 
 
 def discard(staged: DataFrame) -> None:
     """Delete a table that ``stage`` returned, once nothing reads it any more."""
-    spark = staged.sparkSession
-    path = _paths.pop(staged)
-    _staged[spark.conf.get("spark.app.id", "local")].remove(path)
-    _delete(spark, [path])
+    discard_paths(staged.sparkSession, [_paths.pop(staged)])
 
 
 def _delete(spark: SparkSession, names: list[str]) -> None:
