@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Columns of documents that the operators use by name.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def passing_columns(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``step`` over documents, whose further columns come out as they went in, whatever their names."""
+
+    @wraps(step)
+    def run(documents: DataFrame, *args, **options) -> DataFrame:
+        names = documents.columns
+        plain = [name if name in OWN else f"column_{i}" for i, name in enumerate(names)]
+        return step(documents.toDF(*plain), *args, **options).select(*plain).toDF(*names)
+
+    return run
+
+
 def numbered(documents: DataFrame, label: str) -> DataFrame:
     """``documents`` with ``_row``, which tells all rows apart: the place in its file, so that nothing
     is copied; for tables that are not read from Parquet files a number in a staged copy."""

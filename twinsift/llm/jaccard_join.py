@@ -28,9 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinsift.llm.common import passing_columns
+from twinsift.llm.set_pairs import linked_pairs
 from twinsift.operators.components import connected_components
 from twinsift.staging import ship_package, small_side, stage, stage_counted
 
@@ -266,8 +269,8 @@ def _sets(k: int):
         hashes = WordHashes()
         for batch in batches:
             members = [np.unique(grams(hashes.of(text.as_py()), k)) for text in batch.column("text")]
-            arrays = [pa.array([signature(m) for m in members], pa.binary()), pa.array([m.view(np.int64) for m in members], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["sig", "members"])
+            arrays = [pa.array([f(m) for m in members], pa.binary()) for f in (signature, lambda m: m.tobytes())]
+            yield pa.RecordBatch.from_arrays(arrays, ["name", "members"])
 
     return run
 
@@ -344,12 +347,9 @@ def _verified(read: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
     wanted, n_wanted = stage_counted(ends.join(nodes, "sig").select("sig", "first_key"), "wanted")
     keyed = read.join(small_side(wanted.select(F.col("first_key").alias("key")), n_wanted), "key", "left_semi")
     texts = keyed.unionByName(read.where("key is null")).select("text")
-    sets = texts.mapInArrow(_sets(k), "sig binary, members array<bigint>").dropDuplicates(["sig"])
-    sets = stage(sets, "sets")
-    both = pairs.join(sets.toDF("a", "in_a"), "a").join(sets.toDF("b", "in_b"), "b")
-    common = F.size(F.array_intersect("in_a", "in_b"))
-    sized = both.select("a", "b", common.alias("common"), (F.size("in_a") + F.size("in_b")).alias("total"))
-    links, n_links = stage_counted(sized.where(f"100L * common >= {percent}L * (total - common)").select("a", "b"), "links")
+    sets = texts.mapInArrow(_sets(k), "name binary, members binary")
+    sets = stage(sets.join(small_side(wanted.select(F.col("sig").alias("name")), n_wanted), "name", "left_semi"), "sets")
+    links, n_links = linked_pairs(pairs, n, sets, percent)
     return links, n - n_links
 
 
@@ -358,12 +358,29 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     return classes(documents, 3, 90).select(F.col("key").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), "component_id")
 
 
+def _placed(documents: DataFrame) -> DataFrame:
+    """``documents`` with a number ``_row`` that tells all rows apart, made of their places in files.
+
+    Where that is a hash which two rows share, or the rows do not come straight from files, it is
+    a number in a staged copy.
+    """
+    try:
+        placed = documents.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row"))
+        if placed.groupBy("_row").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return placed
+    except AnalysisException:
+        pass
+    return stage(documents.withColumn("_row", F.monotonically_increasing_id()), "near-documents")
+
+
+@passing_columns
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each group of near copies, and all that have no words.
 
-    Documents are numbered in a staged copy, so null and repeated ids do no harm.
+    Rows are told apart by their places, so null and repeated ids do no harm, and repeated rows
+    are copies like others.
     """
-    staged = stage(documents.withColumn("_row", F.monotonically_increasing_id()), "near-documents")
-    found = classes(staged, k, percent, key="_row")
+    placed = _placed(documents)
+    found = classes(placed, k, percent, key="_row")
     rest, n = stage_counted(found.where("key <> component_id").select(F.col("key").alias("_row")), "near-copies")
-    return staged.join(small_side(rest, n), "_row", "left_anti").select(*documents.columns)
+    return placed.join(small_side(rest, n), "_row", "left_anti").select(*documents.columns)

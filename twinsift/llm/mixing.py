@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinsift.llm.common import numbered, words
+from twinsift.llm.common import numbered, passing_columns, words
 from twinsift.staging import small_side, stage, stage_counted
 
 #: The golden ratio's fraction in units of 10**-19: exact arithmetic at any slot number.
@@ -134,6 +134,7 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@passing_columns
 def repeat_documents(documents: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, rounded to whole documents.
 

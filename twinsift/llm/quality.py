@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsift.llm.common import let, words
+from twinsift.llm.common import let, passing_columns, words
 from twinsift.staging import small_side, stage, stage_counted
 
 #: Least distance of a limit from the median, by rate.
@@ -145,6 +145,7 @@ def decide(measured: DataFrame, min_rows: int = 100, spread: float = 5.0) -> Dat
     return joined.withColumn("_kept", ~F.col("_base_failed") & F.coalesce(fine, F.lit(False))).drop("_lang", "_source", "_at")
 
 
+@passing_columns
 def keep_good(documents: DataFrame, min_rows: int = 100, spread: float = 5.0) -> DataFrame:
     """The documents that pass, with their own columns. Needs text, lang and source.
 

@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm.common import numbered, words
+from twinsift.llm.common import numbered, passing_columns, words
 from twinsift.staging import scratch_dir, small_side, stage, stage_counted
 
 #: Form of a candidate.
@@ -185,6 +185,7 @@ def findings(documents: DataFrame) -> DataFrame:
     )
 
 
+@passing_columns
 def redact(documents: DataFrame) -> DataFrame:
     """The documents with every secret replaced by ``<secret>``, and ``n_chars``, if there, renewed.
 

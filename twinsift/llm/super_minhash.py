@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm.jaccard_join import WordHashes, bitmap, grams, most_differences, signature
+from twinsift.llm.set_pairs import linked_pairs
 from twinsift.operators.components import connected_components
 from twinsift.skew import join_groups, with_aggregates
 from twinsift.staging import ship_package, small_side, stage, stage_counted
@@ -138,27 +139,6 @@ def _sets(k: int):
     return run
 
 
-def _compare(percent: int):
-    """Links between pivots and members; a pivot's set comes before those of its members."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, own = None, None
-        for batch in batches:
-            a, b = [], []
-            for group, node, members in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "members"))):
-                members = np.frombuffer(members, np.uint64)
-                if node is None:
-                    pivot, own = group, members
-                elif group == pivot:
-                    common = len(np.intersect1d(own, members, assume_unique=True))
-                    if 100 * common >= percent * (len(own) + len(members) - common):
-                        a.append(group)
-                        b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
 def _verified(read: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
     """``(a, b)`` of the staged distinct pairs, those that are links, and how many are not."""
     pairs, n = stage_counted(pairs.distinct(), "met")
@@ -167,15 +147,8 @@ def _verified(read: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
     keyed = read.join(small_side(wanted.select(F.col("first_key").alias("key")).distinct(), n_wanted), "key", "left_semi")
     texts = keyed.unionByName(read.where("key is null")).select("text")
     sets = texts.mapInArrow(_sets(k), "sig binary, members binary")
-    sets = stage(sets.join(small_side(wanted.select("sig", "node"), n_wanted), "sig").select("node", "members"), "sets")
-    groups = with_aggregates(pairs, ["a"], {}, n)
-    salted = groups.selectExpr("a", "b", f"pmod(xxhash64(b), ceil(_rows / {GROUP})) as salt")
-    of_members = small_side(salted, n).join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "members")
-    pivots = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a")
-    both = of_members.unionByName(pivots.withColumn("b", F.lit(None).cast("bigint")))
-    dealt = both.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    # A set that came from several rows of one key is the same set each time.
-    links, n_links = stage_counted(dealt.mapInArrow(_compare(percent), "a bigint, b bigint").distinct(), "links")
+    sets = stage(sets.join(small_side(wanted.select("sig", F.col("node").alias("name")), n_wanted), "sig").select("name", "members"), "sets")
+    links, n_links = linked_pairs(pairs, n, sets, percent, GROUP)
     return pairs, links, n - n_links
 
 
