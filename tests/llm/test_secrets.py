@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from twinsift.llm.secrets import candidates, findings, redact
 
@@ -68,3 +69,43 @@ def test_short_secrets_are_redacted(spark):
     short = [(2000 + i, f"plain words password = \"hunter{i}!\" and hunter more", "s1", 1, "x") for i in range(30)]
     got = {r.doc_id: r.text for r in redact(spark.createDataFrame(docs + short, SCHEMA)).collect()}
     assert all(got[2000 + i] == "plain words password = \"<secret>\" and hunter more" for i in range(30))
+
+
+def test_prose_and_code_are_left(spark):
+    """What has a secret's name before it and is none stays, beside real ones of the same shape."""
+    docs, _ = corpus()
+    rng = random.Random(8)
+    made = lambda: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQR23456789!%#") for _ in range(rng.randint(8, 14))) + "7"
+    harmless = [
+        'password: "the password field is required"', "token = None", "secret: see chapter two", "The key token: remember to bring water",
+        "api_key = os.environ(KEY)", 'password = "${DB_PASSWORD}"', "secret = settings.secret_key", "auth: <your token>", 'pwd = "changeme"', "token=null,",
+    ]
+    plain = {3000 + i: f"plain words {harmless[i % len(harmless)]} and more" for i in range(60)}
+    planted = {4000 + i: made() for i in range(60)}
+    shapes = ('password = "{}" and more', "pwd={} and more", "api_key: '{}' and more")
+    texts = plain | {i: "plain words " + shapes[i % 3].format(v) for i, v in planted.items()}
+    rows = docs + [(i, t, f"s{i % 4}", 1, "x") for i, t in texts.items()]
+    got = {r.doc_id: r.text for r in redact(spark.createDataFrame(rows, SCHEMA)).collect()}
+    lost = [t for i, t in plain.items() if got[i] != t]
+    found = [i for i, v in planted.items() if got[i] == texts[i].replace(v, "<secret>")]
+    assert not lost
+    assert len(found) >= 0.9 * len(planted)
+    clean = [i for i, t in ((d[0], d[1]) for d in docs) if i % 8 and got[i] != t]
+    assert len(clean) <= (len(found) + 50) // 10  # of what was taken for a secret
+
+
+def test_a_value_goes_only_where_it_stands(spark):
+    docs, _ = corpus()
+    key = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
+    text = f'token = "{key}" path/{key}/x {key}ff ({key}) pwd=ab1\\Ec pwd=ab1\\Ecd pwd=ab1\\Ec'
+    df = spark.createDataFrame(docs + [(5000, text, "s1", 1, "x")], SCHEMA)
+    (out,) = [r.text for r in redact(df).collect() if r.doc_id == 5000]
+    assert out.startswith(f'token = "<secret>" path/{key}/x {key}ff (<secret>)')
+
+
+def test_long_series_of_stops_take_linear_time(spark):
+    rows = [(1, "token=a" + "," * 100_000 + "b", "s", 1, "x"), (2, "token=" + "a;" * 100_000, "s", 1, "x"), (3, "password='" + "x" * 200_000, "s", 1, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    start = time.perf_counter()
+    found = {r.value[:3] + r.value[-1] for r in candidates(df).collect()}
+    assert time.perf_counter() - start < 6 and "a,,b" in found

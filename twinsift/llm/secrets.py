@@ -34,7 +34,7 @@ LEAD = (
 )
 VALUE = (
     r"""(?<=://[^\s:/@]{0,200}:)[^\s/]+(?=@[\w\[])|(?<=")(?:(?!(?<!\\)")[^\n])++(?=")|(?<=')(?:(?!(?<!\\)')[^\n])++(?=')|(?<=`)(?:(?!(?<!\\)`)[^\n])++(?=`)"""
-    r"""|(?<!//[^\s:/@]{0,200}:)(?<=:)[^\s/:]+(?=@[\w.\-]+[:/.])|(?<!//[^\s:/@]{0,200}:)(?![/"'`])(?:(?![;&,][\w.\-]{1,40}=)(?![,;"'`]*(?:\s|$))\S)++"""
+    r"""|(?<!//[^\s:/@]{0,200}:)(?<=:)[^\s/:]+(?=@[\w.\-]+[:/.])|(?<!//[^\s:/@]{0,200}:)(?![/"'`])(?:[^\s,;&"'`]|&(?![\w.\-]{1,40}=)|[,;"'`]++(?!(?<=[;,])[\w.\-]{1,40}=)(?=\S))++"""
 )
 CONTEXT = f"({LEAD})({VALUE})"
 
@@ -42,6 +42,11 @@ CONTEXT = f"({LEAD})({VALUE})"
 NAMES = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|client.?key)"
 OTHERS = r"(?i)(sha\d*|md5|hash|digest|checksum|commit|uuid|guid|http|www|example|sample|dummy|xxxx)"
 SAMPLES = r"(?i)(test|example|sample|mock|fixture|doc)"
+#: Values that stand for no secret, whatever name they are assigned to.
+PLACEHOLDERS = (
+    r"(?i)^(none|null|nil|true|false|undefined|todo|tbd|n/?a|required|optional|str|string|bytes|int|value|your[\w\- ]*|change[\-_ ]?me|example|redacted|hidden"
+    r"|x{3,}|\*{3,}|\.{3,}|<[^>]*>|\$\{[^}]*\}|\$\(.*|\$\w+|%\w+%|\{\{.*|[A-Za-z_][\w.]*\(.*|[A-Za-z_]\w*(\.[A-Za-z_]\w*)+)$"
+)
 FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_(live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}|glpat-[A-Za-z0-9_\-]{20}|eyJ[A-Za-z0-9_\-]{10,})"
 
 #: Labelled findings used by a fit at most (about); trees and depth of the forest.
@@ -50,6 +55,9 @@ MAX_ROWS, TREES, DEPTH = 20_000, 20, 6
 #: Share of documents that makes a letter triple part of the dictionary.
 COMMON = 0.02
 
+#: Share of a value's letter triples in the dictionary from which a value of letters alone is prose.
+PROSE = 0.5
+
 FEATURES = ["log_length", "letter_digit", "case_turns", "digits", "coverage", "in_sample_path", "path_rate", "named", "other", "assigned", "quoted", "known_format"]
 
 
@@ -128,21 +136,35 @@ def described(found: DataFrame, known: list[bool]) -> DataFrame:
         flag(before.rlike(r"[:=]\s*[\"'`]*\s*$")).alias("assigned"),
         flag(before.rlike(r"[\"'`]\s*$")).alias("quoted"),
         flag(value.rlike(FORMATS)).alias("known_format"),
+        flag(_harmless(value, F.col("lead"), covered / F.greatest(F.length(value) - 2, F.lit(1)))).alias("harmless"),
     )
 
 
+def _harmless(value: Column, lead: Column, coverage: Column) -> Column:
+    """Whether a value is evidently none: a placeholder, a call, or words as prose has them.
+
+    Prose is letters with blanks and stops alone: several words of which one at least is in the
+    dictionary, one word that is mostly in it, or the next word after a colon, without quotes.
+    """
+    letters = value.rlike(r"^[\p{L}\p{M}\s'’.,!?()\-]+$")
+    several = value.rlike(r"\S\s+\S") & (coverage > 0)
+    told = lead.rlike(r":\s+$")
+    return value.rlike(PLACEHOLDERS) | (letters & (several | told | (coverage >= PROSE)))
+
+
 def seed_labels(found: DataFrame) -> DataFrame:
     """Labelled findings by rule, where nobody has labelled any: 1 for values with digits that are
-    assigned to a name of a secret or have a known format, 0 for others without either sign."""
+    assigned to a name of a secret or have a known format; 0 for those that are harmless in
+    themselves, named or not, and for others without name and format."""
     strong = (F.col("named") + F.col("assigned") >= 2) & (F.col("digits") > 0) & (F.col("other") == 0) | (F.col("known_format") > 0)
-    weak = F.col("named") + F.col("known_format") == 0
-    return found.withColumn("label", F.when(strong, 1.0).when(weak, 0.0))
+    weak = (F.col("harmless") > 0) | (F.col("named") + F.col("known_format") == 0)
+    return found.withColumn("label", F.when(strong & (F.col("harmless") == 0), 1.0).when(weak, 0.0))
 
 
 def judged(found: DataFrame, max_rows: int = MAX_ROWS, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """Described candidates with a ``label`` (1, 0 or null), rated by a forest trained on the labelled.
 
-    Adds ``path_rate``, ``score`` and ``is_secret``. If the labels are of one kind only there is
+    Adds ``path_rate``, ``score`` and ``is_secret``; what is harmless in itself is no secret. If the labels are of one kind only there is
     nothing to train, and every score is that label (0 without labels).
     """
     paths = found.where("label is not null").groupBy("path").agg(((F.sum("label") + 1) / (F.count("*") + 20)).alias("path_rate"))
@@ -151,19 +173,33 @@ def judged(found: DataFrame, max_rows: int = MAX_ROWS, trees: int = TREES, depth
     kinds = found.where("label is not null").agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("ones")).first()
     if kinds.ones in (0, kinds.n):
         score = 1.0 if kinds.ones else 0.0
-        return rated.withColumns({"score": F.lit(score), "is_secret": F.lit(int(score))})
-    draw = F.pmod(F.xxhash64("value", "before", F.lit(23)), F.lit(1_000_000)) < int(1e6 * min(1.0, max_rows / kinds.n))
+        verdict = F.when(F.col("harmless") > 0, 0).otherwise(int(score))
+        return rated.withColumns({"score": F.lit(score), "is_secret": verdict})
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-    sample = stage(rated.where("label is not null").where(draw).select("label", *FEATURES), "secret-labels")
-    if sample.agg(F.countDistinct("label")).first()[0] < 2:
-        sample = rated.where("label is not null").select("label", *FEATURES)
-    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", numTrees=trees, maxDepth=depth, seed=7)
+    sample = stage(_drawn(rated.where("label is not null"), max_rows), "secret-labels")
+    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", weightCol="weight", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", numTrees=trees, maxDepth=depth, seed=7)
     # Saved and loaded: a model fresh from its fit drags its training summary, and the session, into every task.
     saved = f"{scratch_dir(found.sparkSession)}/secret-forest-{uuid.uuid4().hex}"
     forest.fit(vectors.transform(sample)).save(saved)
     model = RandomForestClassificationModel.load(saved)
     scored = model.transform(vectors.transform(rated)).withColumn("score", vector_to_array("_p")[1])
-    return scored.withColumn("is_secret", (F.col("score") >= 0.5).cast("int")).drop("_features", "_p", "_r", "_y")
+    verdict = ((F.col("score") >= 0.5) & (F.col("harmless") == 0)).cast("int")
+    return scored.withColumn("is_secret", verdict).drop("_features", "_p", "_r", "_y")
+
+
+def _drawn(labelled: DataFrame, max_rows: int) -> DataFrame:
+    """``(label, weight, features)``: at most ``max_rows / 2`` kinds of findings of each label, by chance.
+
+    Findings that look alike to the forest are one kind with their number as its weight, so a
+    copied value counts, but fills no room, and each label is there however rare.
+    """
+    kinds = labelled.groupBy("label", *FEATURES).agg(F.count("*").cast("double").alias("n"))
+    spread = F.xxhash64(*FEATURES, F.lit(23))
+    parts = []
+    for label in (0.0, 1.0):
+        mine = kinds.where(F.col("label") == label)
+        parts.append(mine.orderBy(spread, *FEATURES).limit(max_rows // 2))
+    return parts[0].unionByName(parts[1]).withColumn("weight", F.log2(F.col("n") + 1)).drop("n")
 
 
 def find(documents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -192,12 +228,15 @@ def redact(documents: DataFrame) -> DataFrame:
     Rows are told apart by their place, so null and repeated ids do no harm.
     """
     staged = numbered(documents, "secret-documents")
-    # One row for each document with secrets; equal values are replaced together, longer ones first,
-    # and those found by context only after their lead, as they may be short.
-    values = find(staged, "_row").where("is_secret = 1").select(F.col("key").alias("_row"), F.concat("lead", "value").alias("whole"), "lead").distinct()
-    lists = values.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("whole", "lead")), lambda a, b: F.length(b["whole"]) - F.length(a["whole"])).alias("_secrets"))
+    # One row for each document with secrets; equal values are replaced together. A value goes only
+    # where it stands as it was found: by itself, or between its lead and its end.
+    quoted = lambda c: F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    by_form = F.concat(F.lit(r"(?<![\p{L}\p{N}_+/=\-])()"), quoted(F.col("value")), F.lit(r"(?![\p{L}\p{N}_+/=\-])"))
+    by_context = F.concat(F.lit("("), quoted(F.col("lead")), F.lit(")"), quoted(F.col("value")), F.lit(r"""(?=$|[\s"'`,;&@])"""))
+    values = find(staged, "_row").where("is_secret = 1").select(F.col("key").alias("_row"), F.when(F.col("lead") == "", by_form).otherwise(by_context).alias("pattern"), F.length("value").alias("length")).distinct()
+    lists = values.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("length", "pattern")), lambda a, b: b["length"] - a["length"]).alias("_secrets"))
     lists, n = stage_counted(lists, "secret-lists")
-    clean = F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s["whole"], F.concat(s["lead"], F.lit("<secret>"))))
+    clean = F.aggregate("_secrets", F.col("text"), lambda t, s: F.regexp_replace(t, s["pattern"], F.lit("$1<secret>")))
     joined = staged.join(small_side(lists, n), "_row", "left").withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
