@@ -2,7 +2,9 @@
 
 Words are hashed, every run of ``k`` words gets one hash, and of every ``window`` successive
 run hashes the smallest is chosen, the rightmost one among equals. Any ``k + window - 1``
-words that two texts share give them a common hash, and its position tells where.
+words that two texts share give them a common hash, and its position tells where. Words longer
+than ``LONG`` characters, and words in scripts that are written without blanks, count as as many
+words as they have characters, so texts of any kind have runs.
 
 All of it is array functions of one row, so it needs no shuffle. A window minimum over ``w``
 values is built in log2(w) passes, each taking the smaller of two shorter windows.
@@ -13,41 +15,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsift.llm.common import let, words
+from twinsift.llm.common import let
 
 #: Bits of a packed value that hold the position (counted down); the 36 bits above hold the hash.
 POSITION_BITS = 27
 _LAST = (1 << POSITION_BITS) - 1
 _HASH_MASK = (1 << (63 - POSITION_BITS)) - 1
 
+#: Characters from which on a word is taken apart.
+LONG = 24
+
+# Scripts without blanks between words.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+
+#: A character of such a script, a word of at most ``LONG`` others, or a character of any other word.
+UNIT = rf"[{UNSPACED}]|(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D{UNSPACED}]{{1,{LONG}}}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
+
 #: Pieces between which block limits are placed by quantiles of the key.
 PIECES = 128
 
 
+def units(text: Column) -> Column:
+    """The words of a text, and the characters of words that are long or in scripts without blanks."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
+
+
 def winnow(text: Column, k: int = 5, window: int = 8) -> Column:
     """Chosen run hashes of ``text`` with their word positions, packed, in order of position.
 
-    Null and blank texts give an empty array. A text of fewer than ``k`` words has one run, all
-    its words; a text of fewer runs than ``window`` has one window, all its runs.
+    Null and blank texts give an empty array. Of a text of fewer than ``2 * window`` runs all are
+    chosen, and after them each of its words by itself.
     """
-    return let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) > 0, _select(h, k, window)).otherwise(F.array().cast("array<bigint>")))
+    return let(F.transform(units(text), lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) > 0, _select(h, k, window)).otherwise(F.array().cast("array<bigint>")))
 
 
 def _select(h: Column, k: int, window: int) -> Column:
-    runs = F.greatest(F.size(h) - k + 1, F.lit(1))
+    runs = F.size(h) - k + 1
 
-    def packed(i: Column) -> Column:
-        # get() is null beyond the end and xxhash64 passes over nulls: short texts are one run.
-        run = F.xxhash64(*(F.get(h, i + j) for j in range(k)))
+    def packed(run: Column, i: Column) -> Column:
         return F.shiftleft(run.bitwiseAND(F.lit(_HASH_MASK)), POSITION_BITS).bitwiseOR((F.lit(_LAST) - i).cast("bigint"))
 
     def shrink(m: Column, span: int) -> Column:
         if span == window:
-            return F.array_distinct(F.slice(m, F.lit(1), F.greatest(runs - window + 1, F.lit(1))))
+            return F.array_distinct(F.slice(m, F.lit(1), runs - window + 1))
         step = min(span, window - span)
         return let(F.transform(m, lambda x, i: F.least(x, F.get(m, i + step))), lambda n: shrink(n, span + step))
 
-    return let(F.transform(F.sequence(F.lit(0), runs - 1), packed), lambda m: shrink(m, 1))
+    every = F.transform(F.sequence(F.lit(0), runs - 1), lambda i: packed(F.xxhash64(*(F.get(h, i + j) for j in range(k))), i))
+    single = F.transform(h, lambda x, i: packed(F.xxhash64(x), i))
+    chosen = let(every, lambda m: F.when(runs >= 2 * window, shrink(m, 1)).otherwise(F.concat(m, single)))
+    return F.when(runs < 1, single).otherwise(chosen)
 
 
 def hashes(chosen: Column) -> Column:
