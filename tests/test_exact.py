@@ -1,9 +1,11 @@
+import hashlib
 import random
 
 import pytest
-from tests.helpers import grouped, inventory
 from pyspark.sql import functions as F
 
+from tests.helpers import grouped, inventory
+from twinsift.functions import content as content_module
 from twinsift.functions.content import files_identical
 from twinsift.operators import exact
 
@@ -128,3 +130,48 @@ def test_identical_to_first_of_its_size(spark):
     files = inventory(spark, {"/a": b"one", "/b": b"two", "/c": b"one", "/d": b"alone"})
     found = {r.path: (r.first_path, r.identical) for r in exact.identical_to_first(files).collect()}
     assert found == {"/a": ("/a", True), "/b": ("/a", False), "/c": ("/a", True)}
+
+
+def test_pieces_of_contents(spark, monkeypatch):
+    monkeypatch.setattr(content_module, "FIRST_PIECE", 4)
+    data = [b"", b"abc", b"abcd", b"abcde", bytes(range(12)), bytes(range(13)), bytes(range(250)) * 2, None]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "i int, content binary")
+    got = {r.i: r.p for r in df.select("i", content_module.digests_of_pieces(F.col("content")).alias("p")).collect()}
+    for i, whole in enumerate(data):
+        want, at, size = [], 0, 4
+        while whole is not None and (at < len(whole) or not want):
+            want.append(bytearray(hashlib.sha256(whole[at : at + size]).digest()))
+            at, size = at + size, 2 * size
+        assert got[i] == (None if whole is None else want)
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_contents_are_not_shuffled(spark, settings, tmp_path, broadcast):
+    """Neither by digests nor piece by piece, where fingerprints collide and where they do not."""
+    rows = [(f"/{i:03d}", f"{i % 40:040d}" * (i % 3 + 1)) for i in range(200)]
+    spark.createDataFrame(rows, "path string, content string").repartition(3).write.parquet(str(tmp_path / "t"))
+    files = spark.read.parquet(str(tmp_path / "t")).selectExpr("path", "cast(octet_length(content) as bigint) as size", "timestamp'2024-01-01' as mtime", "content")
+    want = {}
+    for path, content in rows:
+        want.setdefault(content, []).append(path)
+    want = sorted(sorted(paths) for paths in want.values() if len(paths) > 1)
+    plans = []
+    real = exact.stage_counted
+
+    def watched(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label)
+
+    with settings(broadcastRows=broadcast), pytest.MonkeyPatch.context() as patch:
+        patch.setattr(exact, "stage_counted", watched)
+        for same in (False, True):
+            extra = {"make_fingerprint": lambda c: F.lit(7).cast("bigint")} if same else {}
+            members = exact.exact_members(files, "bytes", **extra)
+            plans.append(members._jdf.queryExecution().executedPlan().toString())
+            assert sorted(sorted(paths) for paths in grouped(members).values()) == want
+        groups = exact.exact_groups(files)
+        plans.append(groups._jdf.queryExecution().executedPlan().toString())
+        assert groups.count() == len(want)
+    shuffled = [line for plan in plans for line in plan.split("Exchange hashpartitioning")[1:] if "content#" in line.splitlines()[0]]
+    assert not shuffled and all("Join [content" not in plan for plan in plans)
+    assert not any("Exchange" in plan.replace("BroadcastExchange", "").replace("ReusedExchange", "") and "content#" in plan for plan in plans)

@@ -20,6 +20,25 @@ def digest(content: Column) -> Column:
     return F.unhex(F.sha2(content, 256))
 
 
+#: Bytes of a content's first piece; each further one is twice as long as the one before.
+FIRST_PIECE = 64 * 1024
+
+
+def digests_of_pieces(content: Column) -> Column:
+    """SHA-256 of the pieces of a content, in order: equal for equal contents alone."""
+    data = content.cast("binary")
+    n = F.octet_length(data)
+    # Piece i starts at FIRST_PIECE * (2 ** i - 1).
+    last = F.floor(F.log2((F.greatest(n, F.lit(1)) - 1) / FIRST_PIECE + 1)).cast("int")
+
+    def piece(i: Column) -> Column:
+        size = F.pow(F.lit(2.0), i) * FIRST_PIECE
+        start = (size - FIRST_PIECE + 1).cast("int")
+        return F.unhex(F.sha2(F.substring(data, start, F.least(size, F.lit(2.0**31 - 1)).cast("int")), 256))
+
+    return F.when(data.isNotNull(), F.transform(F.sequence(F.lit(0), last), piece))
+
+
 def files_identical(
     path_a: Column, size_a: Column, content_a: Column,
     path_b: Column, size_b: Column, content_b: Column,

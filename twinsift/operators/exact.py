@@ -12,13 +12,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.functions.content import digest, files_identical, fingerprint
+from twinsift.functions.content import digest, digests_of_pieces, files_identical, fingerprint
 from twinsift.operators.ordering import keeper
-from twinsift.skew import number_rows, with_aggregates
+from twinsift.operators.row_vectors import marked, vectors_of, with_places
+from twinsift.skew import join_groups, number_rows, with_aggregates
 from twinsift.staging import hot_rows, small_side, stage_counted
 
 DIGEST_KEY = ["size", "fingerprint", "digest"]
-CONTENT_KEY = ["size", "fingerprint", "content"]
+PIECES_KEY = ["size", "pieces"]
 
 
 def min_size_filter(files: DataFrame, min_size: int = 0) -> DataFrame:
@@ -61,16 +62,20 @@ def exact_groups(
 ) -> DataFrame:
     """``(group_id, size, n_members, wasted_bytes[, keeper])``, one row per set of identical files.
 
-    One scan and one shuffle of narrow rows; copies of one file combine before the shuffle.
+    One scan of the contents. Keys alone are counted first, with copies combined before the
+    shuffle; paths move only where a key occurs more than once.
     """
     if verify == "sha256":
-        keyed, keys = fingerprint_table(files), DIGEST_KEY
+        keyed, total = stage_counted(fingerprint_table(files), "fingerprints")
+        keys = DIGEST_KEY
+        counts = keyed.groupBy(*keys).agg(F.count("*").alias("n_members")).where("n_members > 1")
+        keyed = join_groups(keyed, counts, keys, "n_members", total)
     else:
         keyed, keys = exact_members(files, verify), ["group_id", "size"]
     facts = [F.count("*").alias("n_members"), F.min("path").alias("first_path")]
     if strategy:
         facts.append(keeper(keyed, strategy, mtime)["path"].alias("keeper"))
-    groups = keyed.groupBy(*keys).agg(*facts).where("n_members > 1")
+    groups = keyed.groupBy(*keys).agg(*facts)
     return groups.select(
         F.col("first_path").alias("group_id"), "size", "n_members", wasted_bytes().alias("wasted_bytes"),
         *(["keeper"] if strategy else []),
@@ -87,60 +92,54 @@ def exact_members(
     """Members of all exact groups: ``(group_id, n_members[, keeper], path, size, mtime, ...)``.
 
     ``verify="sha256"`` compares size, fingerprint and SHA-256, so content is read once and
-    never shuffled. ``verify="bytes"`` compares the bytes themselves. With a ``strategy``
-    every row also carries its group's ``keeper`` path, found in the same aggregation.
+    never shuffled. ``verify="bytes"`` reads content a second time where size and fingerprint
+    repeat, and compares it piece by piece; see ``_verify_pieces``. With a ``strategy`` every row
+    also carries its group's ``keeper`` path, found in the same aggregation.
     """
     if verify not in ("sha256", "bytes"):
         raise ValueError(f"verify must be 'sha256' or 'bytes', not {verify!r}")
+    placed = with_places(files) if verify == "bytes" else None
     keyed, total = stage_counted(
-        fingerprint_table(files, verify == "sha256", make_fingerprint), "fingerprints"
+        fingerprint_table(files if placed is None else placed, verify == "sha256", make_fingerprint), "fingerprints"
     )
     facts = {"group_id": F.min("path")}
     if strategy:
         facts["keeper"] = keeper(keyed, strategy, mtime)
     if verify == "sha256":
         return group_rows(keyed, DIGEST_KEY, facts, total)
-    return _verify_bytes(files, keyed, facts, total, make_fingerprint)
+    pieces, total = _verify_pieces(files, keyed, total)
+    return group_rows(pieces, PIECES_KEY, facts, total)
 
 
 def group_rows(keyed: DataFrame, keys: Sequence[str], facts: dict[str, Column], total: int) -> DataFrame:
     """Rows whose keys occur more than once, with the facts of their group."""
-    own = [c for c in keyed.columns if c not in ("fingerprint", "digest", "content")]
+    own = [c for c in keyed.columns if c not in ("fingerprint", "digest", "pieces")]
     attached = with_aggregates(keyed, keys, facts, total, "n_members", "n_members > 1")
     if "keeper" in facts:
         attached = attached.withColumn("keeper", F.col("keeper.path"))
     return attached.select("group_id", "n_members", *[c for c in facts if c != "group_id"], *own)
 
 
-def _verify_bytes(
-    files: DataFrame, keyed: DataFrame, facts: dict[str, Column], total: int, make_fingerprint
-) -> DataFrame:
-    """Groups by content within each repeated (size, fingerprint).
+def _verify_pieces(files: DataFrame, keyed: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """The files whose size and fingerprint repeat, with their contents as digests of pieces.
 
-    Distinct contents are counted per bucket, with copies combined before the shuffle. Where
-    a bucket has one content, the narrow rows already are the group; only buckets with a
-    fingerprint collision (normally none) are regrouped by the content itself.
+    Sizes and fingerprints are counted first. The contents of the repeated ones are read where
+    they lie, found by their places, and leave the scan as the digests of pieces that double in
+    size, so no content is shuffled however many there are, and contents that share size and
+    fingerprint part by their first piece. Tables that don't come from files have no places;
+    there every content is cut into pieces, and those that repeat are joined by their paths.
     """
     bucket = ["size", "fingerprint"]
-    repeated = keyed.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").select(*bucket)
-    repeated, n_repeated = stage_counted(repeated, "buckets")
-    wide = files.where(F.col("content").isNotNull()).withColumn(
-        "fingerprint", make_fingerprint(F.col("content"))
-    )
-    # Beyond a broadcast this is a shuffle join, for which Spark filters the contents first by a
-    # Bloom filter of the buckets where it pays.
-    candidates = wide.join(small_side(repeated, n_repeated), bucket, "left_semi")
-    mixed = (
-        candidates.select(*CONTENT_KEY).distinct()
-        .groupBy(*bucket).agg(F.count("*").alias("variants")).where("variants > 1").select(*bucket)
-    )
-    mixed, n_mixed = stage_counted(mixed, "collisions")
-    if n_mixed == 0:
-        return group_rows(keyed, bucket, facts, total)
-    listed = small_side(mixed, n_mixed)
-    clean = group_rows(keyed.join(listed, bucket, "left_anti"), bucket, facts, total)
-    collided = group_rows(wide.join(listed, bucket, "left_semi"), CONTENT_KEY, facts, total)
-    return clean.unionByName(collided)
+    counts = keyed.groupBy(*bucket).agg(F.count("*").alias("n_files")).where("n_files > 1")
+    repeated = join_groups(keyed, counts, bucket, "n_files", total)
+    kept = [c for c in files.columns if c != "content"]
+    cut = [*kept, digests_of_pieces(F.col("content")).alias("pieces")]
+    if "_file" in keyed.columns:
+        again = marked(files, *vectors_of(repeated.select("_file", "_row"))).where("_named").select(*cut)
+    else:
+        listed, n = stage_counted(repeated.select("path").distinct(), "repeated")
+        again = files.where("content is not null").select(*cut).join(small_side(listed, n), "path", "left_semi").select(*kept, "pieces")
+    return stage_counted(again, "pieces")
 
 
 def identical_to_first(files: DataFrame) -> DataFrame:
