@@ -32,6 +32,19 @@ def test_balance_groups_and_slots(spark):
     assert len(where["copy"]) == 1
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 30])
+def test_a_third_of_rows_are_empty(spark, settings, limit):
+    """They are few bytes, hence one unit in one shard, whose rows are numbered over many tasks."""
+    docs = [(i, "word " * (20 + i % 30), None, "x") for i in range(600)] + [(1000 + i, "", None, "x") for i in range(300)] + [(None, "", None, "x")] * 3
+    with settings(hotRows=limit):
+        rows = sharded_documents(spark.createDataFrame(docs, SCHEMA).repartition(4)).collect()
+    check(rows, docs)
+    empty = sorted((r.doc_id or -1, r.slot) for r in rows if r.size == 1)
+    assert len({r.shard for r in rows if r.size == 1}) == 1 and len(empty) == 303
+    slots = [slot for _, slot in empty]
+    assert slots[3:] == sorted(slots[3:]) and sorted(slots) == list(range(min(slots), min(slots) + 303))
+
+
 def test_hot_group_is_split_in_order(spark):
     docs = [(i, "same text", None, "x") for i in range(1000)]
     rows = sharded_documents(spark.createDataFrame(docs, SCHEMA)).collect()

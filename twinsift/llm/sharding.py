@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinsift.skew import number_rows
 from twinsift.staging import shuffle_width, stage
 
 
@@ -60,7 +61,7 @@ def shard(documents: DataFrame, n_shards: int = 8, text: str = "text", key: str
     same_text = ["hash", "text_crc32", "size"]
     # Documents are told apart by (key, hash): rows equal in both are interchangeable.
     groups = rows.groupBy(*same_text).agg(F.min("key").alias("lead"), F.sum("size").alias("group_bytes"))
-    total = rows.agg(F.sum("size")).first()[0]
+    total, n_rows = rows.agg(F.sum("size"), F.count("*")).first()
     if total is None:
         return rows.select("key", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
     whole = F.col("group_bytes") <= F.lit(total / n_shards * whole_share)
@@ -72,10 +73,14 @@ def shard(documents: DataFrame, n_shards: int = 8, text: str = "text", key: str
     cut = F.floor(F.col("first_byte").cast("decimal(38,0)") * n_shards / F.lit(total).cast("decimal(38,0)")).cast("int")
     placed = stage(placed.withColumn("shard", F.least(cut, F.lit(n_shards - 1))), "units")
     starts = placed.groupBy("shard").agg(F.min("first_row").alias("start"))
-    placed = placed.join(F.broadcast(starts), "shard").select(*(F.col(c).alias(f"_{c}") for c in order), "shard", (F.col("first_row") - F.col("start")).alias("at"))
+    placed = placed.join(F.broadcast(starts), "shard").select(
+        *(F.col(c).alias(f"_{c}") for c in order), "shard", "first_row", "n", (F.col("first_row") - F.col("start")).alias("at")
+    )
     of = F.col("hash").eqNullSafe(F.col("_hash")) & F.col("lead").eqNullSafe(F.col("_lead")) & F.col("unit").eqNullSafe(F.col("_unit"))
-    number = F.row_number().over(Window.partitionBy(*order).orderBy("key")) - 1
-    return member.withColumn("_in_unit", number).join(placed, of).select("key", "size", "text_crc32", "shard", (F.col("at") + F.col("_in_unit")).cast("bigint").alias("slot"))
+    found = member.join(placed, of).select("key", "size", "text_crc32", "shard", "first_row", "n", "at")
+    # The rows of a unit, of which one may have a third of all, in order of their keys.
+    counted = number_rows(found, ["first_row"], ["key"], "_in_unit", n_rows, "n")
+    return counted.select("key", "size", "text_crc32", "shard", (F.col("at") + F.col("_in_unit") - 1).alias("slot"))
 
 
 def sharded_documents(documents: DataFrame, n_shards: int = 8) -> DataFrame:
