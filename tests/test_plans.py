@@ -188,7 +188,7 @@ def test_content_is_not_shuffled(spark, settings, tmp_path):
         quarantine, manifest = curate.read_batches(spark, str(tmp_path / "trash"), table.schema)
         restored = curate.undo_last(table, quarantine, manifest).corpus
         plan = restored._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan.replace("BroadcastExchange", "") and plan.count("BroadcastHashJoin") == 2
+        assert "Exchange" not in plan.replace("BroadcastExchange", "") and plan.count("BroadcastHashJoin") >= 2
         assert restored.count() == 9000
 
 
@@ -215,7 +215,7 @@ def test_a_batch_is_written_whole_or_not_at_all(spark, tmp_path, broken):
 
     def refuse(self, path, *args, **options):
         if path == f"{folder}/{broken}/batch_id=batch_2":
-            raise AnalysisException(errorClass="PATH_ALREADY_EXISTS", messageParameters={"outputPath": path})
+            raise AnalysisException(f"no room for {path}")
         return real(self, path, *args, **options)
 
     with pytest.MonkeyPatch.context() as patch:
