@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from twinsift.llm.toxicity import background_rate, fit, passages, segments, toxic_documents
+from twinsift.llm.toxicity import DRIFT, Weights, background_rate, features, fit, passages, segments, toxic_documents
 
 SCHEMA = "doc_id bigint, text string, label string, n string"
 
@@ -76,3 +76,17 @@ def test_degenerate(spark):
     assert toxic_documents(spark.createDataFrame([], SCHEMA), labels).collect() == []
     nulls = spark.createDataFrame([(1, None), (None, 1), (3, 1), (3, 0)], "doc_id bigint, toxic int")
     assert toxic_documents(spark.createDataFrame(docs, SCHEMA), nulls).count() == 5
+
+
+def test_evidence_of_both_signs_and_long_words():
+    long = "x" * 5000
+    assert features(long)[0] != features(long + "y")[0] and len(features(long)[0]) == 64 and features("ab") == ["ab"]
+    words = Weights({"class": -2.0, "cla-": 1.5, features(long)[0]: 3.0})
+    assert words.of("class clay other " + long).tolist() == [-2.0, 1.5, DRIFT, 3.0]
+
+
+def test_background_rate_with_clean_words():
+    many = np.array([3.0] * 10 + [-1.0] * 200)
+    plain, with_times = background_rate(1000, many), background_rate(1000, np.array([3.0, -1.0]), np.array([10, 200]))
+    assert plain == pytest.approx(with_times) and with_times > background_rate(1000, many[:10])
+    assert background_rate(1000, np.array([-1.0])) == 1.0

@@ -1,8 +1,9 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 Every word, and its first letters (a stem may take many endings), has a log-odds of toxic
-against other documents under a Dirichlet prior. Significant ones are weights; any other word
-weighs a little less than nothing. In a text, all maximal segments of the weights are found in
+against other documents under a Dirichlet prior. Significant ones are weights: those of words of either
+sign, those of first letters where they speak for toxicity and the word itself says nothing; any
+other word weighs a little less than nothing. In a text, all maximal segments of the weights are found in
 one linear scan (Ruzzo and Tompa, 1999). By extreme-value theory the best segment of ``n``
 random words exceeds ``s`` with a chance of about ``often * n * exp(-rate * s)``, where ``rate``
 follows from the weights' distribution in clean text and ``often`` from its segments; what
@@ -15,6 +16,7 @@ are bounded too (``max_features``), so they can be sent to every task.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -37,6 +39,9 @@ STEMS = range(3, 8)
 #: Weight of a word that says nothing, least significance of a weight, prior count of each.
 DRIFT, SIGNIFICANT, PRIOR = -0.25, 2.5, 0.5
 
+#: Letters of a word that stands for itself among the features.
+LONGEST = 200
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -57,8 +62,10 @@ class Weights(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        known = [x for f in features(word) if (x := self.weights.get(f)) is not None]
-        value = max(known) if known else DRIFT
+        own, *stems = features(word)
+        value = self.weights.get(own)  # a word's own evidence, for or against, comes before its stems'
+        if value is None:
+            value = max((x for f in stems if (x := self.weights.get(f)) is not None), default=DRIFT)
         if len(word) <= 40:
             if len(self) > 1_000_000:
                 self.clear()
@@ -71,7 +78,9 @@ class Weights(dict):
 
 
 def features(word: str) -> list[str]:
-    return [word, *(word[:k] + "-" for k in STEMS if len(word) > k)]
+    """The whole word, a very long one by its digest, and its beginnings."""
+    own = word if len(word) <= LONGEST else hashlib.sha256(word.encode()).hexdigest()
+    return [own, *(word[:k] + "-" for k in STEMS if len(word) > k)]
 
 
 def segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
@@ -114,14 +123,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums = (Counter(), Counter())
         for text, toxic in zip(_texts(batch), batch.column("toxic").to_pylist()):
-            sums[toxic].update({f for w in set(_LETTERS.findall(text.lower())) for f in features(w[:200])})
+            sums[toxic].update({f for w in set(_LETTERS.findall(text.lower())) for f in features(w)})
         names = list(sums[0] | sums[1])
         counts = [pa.array([s[f] for f in names], pa.int64()) for s in sums]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], ["feature", "clean", "toxic"])
 
 
 def log_odds(counts: DataFrame, n_toxic: int, max_features: int) -> DataFrame:
-    """``(feature, weight, z)``: significant log-odds of ``counts(feature, clean, toxic)``."""
+    """``(feature, weight, z)``: significant log-odds, of either sign, of ``counts(feature, clean, toxic)``."""
     sums = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sums = stage(sums, "feature-counts")
     all_clean, all_toxic = sums.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -130,7 +139,9 @@ def log_odds(counts: DataFrame, n_toxic: int, max_features: int) -> DataFrame:
     z = weight / F.sqrt(1 / (F.col("toxic") + PRIOR) + 1 / (F.col("clean") + PRIOR))
     least = max(3, math.ceil(0.002 * n_toxic))
     strong = sums.where(F.col("toxic") >= least).select("feature", weight.alias("weight"), z.alias("z")).where(F.col("z") >= SIGNIFICANT)
-    return strong.orderBy(F.desc("z"), "feature").limit(max_features)
+    # Evidence against is that of whole words alone, since stems take endings of all kinds.
+    against = sums.where(~F.col("feature").endswith("-")).select("feature", weight.alias("weight"), z.alias("z")).where(F.col("z") <= -SIGNIFICANT)
+    return strong.unionByName(against).orderBy(F.desc(F.abs("z")), "feature").limit(max_features)
 
 
 def _measure(weights):
@@ -140,7 +151,7 @@ def _measure(weights):
             found = [words.of(text) for text in _texts(batch)]
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
             parts = pa.array([[dict(first=a, last=b, score=s) for a, b, s in segments(w)] for w in found], kind)
-            ups = pa.array([w[w > 0].tolist() for w in found], pa.list_(pa.float64()))
+            ups = pa.array([w[w != DRIFT].tolist() for w in found], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([len(w) for w in found], pa.int32()), parts, ups], ["doc_id", "label", "n", "passages", "ups"])
 
     return run
@@ -149,11 +160,15 @@ def _measure(weights):
 _MEASURED = "doc_id bigint, label int, n int, passages array<struct<first int, last int, score double>>, ups array<double>"
 
 
-def background_rate(n_words: int, ups: np.ndarray) -> float:
-    """The positive solution of mean(exp(rate * weight)) = 1 over clean words; 1 if they never rise."""
-    if not len(ups) or not n_words:
+def background_rate(n_words: int, ups: np.ndarray, times: np.ndarray | None = None) -> float:
+    """The positive solution of mean(exp(rate * weight)) = 1 over clean words; 1 if they never rise.
+
+    ``ups`` are the weights of known words, each ``times`` as often (once); the others weigh ``DRIFT``.
+    """
+    if not (ups > 0).any() or not n_words:
         return 1.0
-    mean = lambda r: (np.exp(r * ups).sum() + (n_words - len(ups)) * math.exp(r * DRIFT)) / n_words
+    times = np.ones(len(ups)) if times is None else times
+    mean = lambda r: ((times * np.exp(r * ups)).sum() + (n_words - times.sum()) * math.exp(r * DRIFT)) / n_words
     low, high = 1e-3, 2.0
     for _ in range(60):
         mid = (low + high) / 2
@@ -213,11 +228,14 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_f
     chosen = _weights(weighing, n_toxic, max_features)
     shared = spark.sparkContext.broadcast(chosen)
     rest = known.where("draw % 3 = 2").select("doc_id", "text", F.col("toxic").alias("label"))
-    rows = rest.mapInArrow(_measure(shared), _MEASURED).collect()  # a third of the sample
+    measured = stage(rest.mapInArrow(_measure(shared), _MEASURED), "measured")
+    rows = measured.drop("ups").collect()  # a third of the sample
+    found = measured.where("label = 0").select(F.explode("ups").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    weights = found.collect()  # no more than there are weights
     if not rows:
         return Model(chosen, 1.0, 1.0, 0.0, -30.0)
     clean = [r for r in rows if not r.label]
-    rate = background_rate(sum(r.n for r in clean), np.array([u for r in clean for u in r.ups]))
+    rate = background_rate(sum(r.n for r in clean), np.array([r.w for r in weights]), np.array([r.n for r in weights]))
     rate, often = background_tail(sum(r.n for r in clean), np.array([p.score for r in clean for p in r.passages]), rate)
     x = np.array([strength([tuple(p) for p in r.passages], r.n, rate, often) for r in rows])
     slope, offset = logistic(x, np.array([r.label for r in rows]))
@@ -228,7 +246,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_f
 
 def _weights(rows: DataFrame, n_toxic: int, max_features: int) -> dict[str, float]:
     counts = rows.mapInArrow(_count, "feature string, clean bigint, toxic bigint")
-    return {r.feature: r.weight for r in log_odds(counts, n_toxic, max_features).collect() if r.weight > 0}
+    return {r.feature: r.weight for r in log_odds(counts, n_toxic, max_features).collect()}
 
 
 def passages(documents: DataFrame, model: Model) -> DataFrame:
