@@ -117,10 +117,13 @@ def _turns(value: Column, one: str, other: str) -> Column:
 
 def described(found: DataFrame, known: list[bool]) -> DataFrame:
     """Candidates with their features, but for ``path_rate``."""
-    bits = F.array(*(F.lit(x) for x in known))
+    # 63 triples a number: a literal for each triple makes plans that fill the driver's memory.
+    packed = [sum(x << i for i, x in enumerate(known[at : at + 63])) for at in range(0, len(known), 63)]
+    bits = F.split(F.lit(",".join(map(str, packed))), ",").cast("array<bigint>")
     place = lambda t, i: F.ascii(F.substring(t, i, 1)) - 97
+    number = lambda t: place(t, 1) * 676 + place(t, 2) * 26 + place(t, 3)
     triples = F.regexp_extract_all(F.lower("value"), F.lit("(?=([a-z]{3}))"), F.lit(1))
-    covered = F.size(F.filter(F.col("_t"), lambda t: F.get(bits, place(t, 1) * 676 + place(t, 2) * 26 + place(t, 3))))
+    covered = F.size(F.filter(F.col("_t"), lambda t: F.getbit(F.get(bits, F.floor(number(t) / 63).cast("int")), F.pmod(number(t), F.lit(63))) == 1))
     value, before = F.col("value"), F.col("before")
     flag = lambda c: c.cast("double")
     return found.withColumn("_t", triples).select(
