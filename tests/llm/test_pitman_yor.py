@@ -107,3 +107,33 @@ def test_hot_context_is_seated_in_slices(spark):
     assert len(sliced) == len(docs)
     assert all(sliced[i].base_score == whole[i].base_score for i in sliced)
     assert sum(r.score for r in sliced.values()) == pytest.approx(sum(r.score for r in whole.values()), rel=0.02)
+
+
+def test_customers_leave_before_they_are_seated_again():
+    one = np.zeros(1, np.int64)
+    got = [py.seat(np.array([2]), one, one, np.random.default_rng(i))[0][0] for i in range(1500)]
+    # The other customer alone: one table here, which is the parent's one customer; one word and the unknown.
+    d, s = py.DISCOUNT, py.STRENGTH
+    pull = (s + d) * (1 - d + (s + d) / 2) / (s + 1)
+    assert abs(np.mean(got) - 1 - pull / (pull + 1 - d)) < 0.025
+
+
+def test_all_customers_have_a_seat_and_blocks_agree(monkeypatch):
+    rng = np.random.default_rng(3)
+    customers = np.r_[rng.integers(1, 6, 300), rng.integers(50, 400, 12)]
+    context, word = rng.integers(0, 12, 312), rng.integers(0, 50, 312)
+    found = []
+    for heavy in (16_384, 40):
+        monkeypatch.setattr(py, "HEAVY", heavy)
+        s = py.Seating(customers, context, word, rng)
+        t = np.zeros(312)
+        for sweep in range(50):
+            s.sweep()
+            light = np.flatnonzero(customers <= heavy)
+            assert (np.bincount(s.pair, s.size, minlength=312)[light] == customers[light]).all() and (s.table >= 0).all()
+            assert (np.bincount(s.pair, s.size > 0, minlength=312)[light] == s.t[light]).all()
+            assert all(x.sum() == customers[p] and len(x) == s.t[p] and x.min() > 0 for p, x in s.heavy.items())
+            assert (s.here == np.bincount(context, s.t, minlength=12)).all() and (s.of_word == np.bincount(word, s.t, minlength=50)).all() and s.total == s.t.sum()
+            t += s.t / 40 if sweep >= 10 else 0
+        found.append(t)
+    assert found[0].sum() == pytest.approx(found[1].sum(), rel=0.08)

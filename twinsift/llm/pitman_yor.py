@@ -8,9 +8,9 @@ all contexts share, and whose own base is uniform over the known words and one u
              + (t + d * tables of u) / (t + customers of u) * p(w),
 
 and likewise for p(w) from the parent's customers. How many tables the customers of a word take
-is sampled: restaurants are seated by the Chinese-restaurant process given their number of
-tables, which is updated from the seating, sweep after sweep. The formula is linear in tables,
-so averaging them over the sweeps averages the predictive probabilities.
+is sampled by Gibbs moves: every customer leaves the table it has, which may close it, and is
+seated again by the Chinese-restaurant process given all others, sweep after sweep. The formula is
+linear in tables, so averaging them over the sweeps averages the predictive probabilities.
 
 How it is spread: documents are packed into batches of tokens, written once. A batch asks, for
 its distinct pairs, the bucket of each context; the buckets add up the counts of all batches,
@@ -44,8 +44,8 @@ DISCOUNT, STRENGTH = 0.8, 1.0
 #: Sweeps of the sampler, the first of them not averaged.
 SWEEPS = 5
 
-#: Customers of one word that are seated one by one; more are added by their expectation.
-SEATED = 40
+#: Rounds in which the customers of a pair move; customers from which a pair moves in blocks, and their number.
+ROUNDS, HEAVY, BLOCKS = 256, 16_384, 64
 
 #: Tokens of a batch, and pairs that a bucket has on average.
 BATCH, BUCKET = 3_000_000, 1_200_000
@@ -241,40 +241,153 @@ def _many(buckets: int, least: int):
 
 
 def tables(customers: np.ndarray, pull: np.ndarray, rng: np.random.Generator, d: float = DISCOUNT) -> np.ndarray:
-    """Tables that the customers of each word take, seated one after the other.
+    """Tables that the customers of each word take, all seated one after the other.
 
     ``pull`` is (strength + d * tables of the restaurant) * parent's probability of the word: a
-    customer opens a table with the chance pull / (pull + seated - d * tables of the word).
+    customer opens a table with the chance pull / (pull + seated - d * tables of the word). Of
+    those after the first ``ROUNDS`` a block of 1 / ``ROUNDS`` of the seated is drawn at once.
     """
     t = np.minimum(customers, 1).astype(float)
-    at = np.flatnonzero(customers > 1)
-    for seated in range(1, SEATED):
+    seated, at = 1, np.flatnonzero(customers > 1)
+    while len(at):
+        block = max(1, seated // ROUNDS)
+        chance = pull[at] / (pull[at] + seated - d * t[at])
+        t[at] += rng.binomial(np.minimum(customers[at] - seated, block).astype(np.int64), chance)
+        seated += block
         at = at[customers[at] > seated]
-        if not len(at):
-            return t
-        t[at] += rng.random(len(at)) * (pull[at] + seated - d * t[at]) < pull[at]
-    at = at[customers[at] > SEATED]
-    rest = pull[at] * np.log((pull[at] + customers[at] - d * t[at]) / (pull[at] + SEATED - d * t[at]))
-    t[at] = np.minimum(t[at] + rest, customers[at])
     return t
 
 
+class Seating:
+    """Restaurants whose customers leave their tables and are seated again, sweep after sweep.
+
+    A customer who leaves may close a table, which then counts neither in the restaurant nor as a
+    customer of the parent; the next seat is chosen given all others: a table by its customers
+    less the discount, or a new one by the parent's probability of the word. The parent, whose
+    customers are the tables here, is seated anew after each sweep. In a round one customer of
+    each pair moves, and of pairs of more than ``ROUNDS`` customers 1 / ``ROUNDS`` of them. Pairs
+    of more than ``HEAVY`` customers are kept as sizes of tables and move in blocks.
+    """
+
+    def __init__(self, customers: np.ndarray, context: np.ndarray, word: np.ndarray, rng: np.random.Generator, scale: np.ndarray | float = 1.0):
+        self.c, self.context, self.word, self.rng = customers.astype(np.int64), context, word, rng
+        self.here = np.zeros(int(context.max(initial=-1)) + 1)
+        self.scale = np.broadcast_to(np.asarray(scale, float), self.here.shape)
+        self.of_word = np.zeros(int(word.max(initial=-1)) + 1)
+        self.parent, self.total = np.zeros(len(self.of_word)), 0.0  # the parent's tables, and its customers
+        self.t, self.seated = np.zeros(len(self.c), np.int64), np.zeros(len(self.c), np.int64)
+        light = np.where(self.c <= HEAVY, self.c, 0)
+        self.first = np.cumsum(light) - light
+        self.pair = np.repeat(np.arange(len(light), dtype=np.int32), light)
+        self.rank = (np.arange(len(self.pair)) - self.first[self.pair]).astype(np.int32)
+        self.table, self.size = np.full(len(self.pair), -1, np.int32), np.zeros(len(self.pair), np.int32)
+        self.free = np.arange(len(self.pair), dtype=np.int32)  # of each pair as many as it has customers less tables
+        self.heavy = {int(p): np.zeros(0, np.int64) for p in np.flatnonzero(self.c > HEAVY)}
+
+    def pull(self, p: np.ndarray, closed: np.ndarray | int = 0) -> np.ndarray:
+        """(strength + d * tables of the context) * parent's probability of the word, of pairs ``p``
+        without the tables they have just ``closed``; what moves in the same round still counts."""
+        context, word = self.context[p], self.word[p]
+        mine, here = self.of_word[word] - closed, self.here[context] - closed
+        over = mine - DISCOUNT * np.minimum(np.maximum(self.parent[word], 1), mine)
+        elsewhere = (self.scale[context] - 1) * here  # tables in other slices of the context
+        return (STRENGTH + DISCOUNT * here * self.scale[context]) * (over + self.base) / (STRENGTH + self.total - closed + elsewhere)
+
+    def _count(self, p: np.ndarray, by: int) -> None:
+        np.add.at(self.here, self.context[p], by)
+        np.add.at(self.of_word, self.word[p], by)
+        self.total += by * len(p)
+
+    def sweep(self) -> None:
+        first = not self.seated.any()
+        self.base = (STRENGTH + DISCOUNT * self.parent.sum()) / (len(self.of_word) + 1)  # the parent's own base for any word
+        if first:
+            late = ROUNDS + (ROUNDS * np.log(np.maximum(self.rank, 1) / ROUNDS)).astype(np.int32)
+            order, turn = np.arange(len(self.pair)), np.where(self.rank < ROUNDS, self.rank, late)
+        else:  # a single customer has no other table to go to
+            order = np.flatnonzero(self.c[self.pair] > 1)
+            turn = self.rank[order] % ROUNDS
+        order = order[np.argsort(turn, kind="stable")].astype(np.int32)
+        cuts = np.cumsum(np.bincount(turn)) if len(turn) else []
+        del turn
+        for low, high in zip([0, *cuts[:-1]], cuts):
+            if high > low:
+                self._move(order[low:high], first)
+        for p in self.heavy:
+            left = int(self.c[p])
+            while left:
+                done = self.c[p] - left
+                block = int(min(left, max(1, done // BLOCKS if first else -(-self.c[p] // BLOCKS))))
+                self._move_block(p, block, first)
+                left -= block
+        self.parent = tables(self.of_word, np.full(len(self.of_word), (STRENGTH + DISCOUNT * np.maximum(self.parent, 1).sum()) / (len(self.of_word) + 1)), self.rng)
+
+    def _move(self, i: np.ndarray, first: bool) -> None:
+        """Seat the customers ``i``, in order of their pairs, who leave their tables but in the ``first`` sweep."""
+        p, rng = self.pair[i], self.rng
+        before, q = self.t[p], np.zeros(0, np.int32)
+        if not first:
+            old = self.table[i]
+            np.subtract.at(self.size, old, 1)
+            self.table[i] = -1
+            np.subtract.at(self.seated, p, 1)
+            closed = np.unique(old[self.size[old] == 0])
+            q = self.pair[closed]
+            self.free[self.first[q] + self.c[q] - self.t[q] + _places(q)] = closed
+            np.subtract.at(self.t, q, 1)
+        pull, n = self.pull(p, before - self.t[p]), self.seated[p]
+        self._count(q, -1)
+        new = rng.random(len(i)) * (pull + n - DISCOUNT * self.t[p]) < pull
+        seat = np.empty(len(i), np.int32)
+        at = np.flatnonzero(~new)
+        among = n if first else self.c[p]  # in the first sweep the seated are those of lower ranks
+        while len(at):  # the table of any customer, refused by the share of the discount in it
+            table = self.table[self.first[p[at]] + (rng.random(len(at)) * among[at]).astype(np.int64)]
+            size = self.size[table]
+            taken = (table >= 0) & (rng.random(len(at)) * size < size - DISCOUNT)
+            seat[at[taken]] = table[taken]
+            at = at[~taken]
+        q = p[new]
+        seat[new] = self.free[self.first[q] + self.c[q] - self.t[q] - 1 - _places(q)]
+        np.add.at(self.size, seat, 1)
+        self.table[i] = seat
+        np.add.at(self.seated, p, 1)
+        np.add.at(self.t, q, 1)
+        self._count(q, 1)
+
+    def _move_block(self, p: int, block: int, first: bool) -> None:
+        sizes, rng, own = self.heavy[p], self.rng, np.array([p])
+        if not first:
+            sizes = sizes - rng.multivariate_hypergeometric(sizes, block, method="marginals")
+            sizes = sizes[sizes > 0]
+            self._count(np.repeat(own, self.t[p] - len(sizes)), -1)
+        else:
+            self.seated[p] += block
+        pull, weight = self.pull(own)[0], sizes - DISCOUNT
+        new = int(rng.binomial(block, pull / (pull + weight.sum())))
+        if block > new:
+            sizes = sizes + rng.multinomial(block - new, weight / weight.sum())
+        self.heavy[p] = np.r_[sizes, np.ones(new, np.int64)]
+        self.t[p] = len(self.heavy[p])
+        self._count(np.repeat(own, new), 1)
+
+
+def _places(q: np.ndarray) -> np.ndarray:
+    """For each of some sorted values how many equal ones precede it."""
+    return np.arange(len(q)) - np.searchsorted(q, q)
+
+
 def seat(customers: np.ndarray, context: np.ndarray, word: np.ndarray, rng: np.random.Generator, scale: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Average tables per pair and per context, by Gibbs sweeps; contexts and words are numbers from 0.
 
     ``scale`` is how many times the tables of its pairs here a context has in all.
     """
-    t = np.minimum(customers, 1).astype(float)
-    total, pairs = np.zeros(int(context.max(initial=-1)) + 1), np.zeros(len(t))
+    seating, pairs = Seating(customers, context, word, rng, scale), np.zeros(len(customers))
     for sweep in range(SWEEPS):
-        here = np.bincount(context, t, minlength=len(total))
-        of_context = here * scale
-        of_word = np.bincount(word, t)
-        pull = (STRENGTH + DISCOUNT * of_context[context]) * of_word[word] / (t.sum() + (of_context - here)[context] + 1)
-        t = tables(customers, pull, rng)
+        seating.sweep()
         if sweep:
-            pairs += t / (SWEEPS - 1)
-    return pairs, np.bincount(context, pairs, minlength=len(total))
+            pairs += seating.t / (SWEEPS - 1)
+    return pairs, np.bincount(context, pairs, minlength=len(seating.here))
 
 
 class Asked:
