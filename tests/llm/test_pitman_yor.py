@@ -137,3 +137,47 @@ def test_all_customers_have_a_seat_and_blocks_agree(monkeypatch):
             t += s.t / 40 if sweep >= 10 else 0
         found.append(t)
     assert found[0].sum() == pytest.approx(found[1].sum(), rel=0.08)
+
+
+def test_counts_are_added_in_the_type_of_their_array(monkeypatch):
+    """``at`` with a number of another type casts every element, at some fifty times the cost."""
+
+    class Same:
+        def __init__(self, of):
+            self.of, self.seen = of, 0
+
+        def at(self, array, places, by):
+            assert np.asarray(by).dtype == array.dtype
+            self.seen += 1
+            self.of.at(array, places, by)
+
+    class Numpy:
+        add, subtract = Same(np.add), Same(np.subtract)
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    monkeypatch.setattr(py, "np", Numpy())
+    monkeypatch.setattr(py, "HEAVY", 40)
+    rng = np.random.default_rng(3)
+    py.seat(rng.integers(1, 60, 200), rng.integers(0, 9, 200), rng.integers(0, 30, 200), rng)
+    assert Numpy.add.seen and Numpy.subtract.seen
+
+
+def test_hot_contexts_need_only_their_own_tokens(spark):
+    """What is asked of hot contexts alone is what is asked of them among all."""
+    docs = [(i, " ".join(f"the w{(i * j) % 41}" for j in range(90)), i % 5 == 1) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, held boolean").repartition(1)
+    row = df.select("doc_id", df.text.cast("binary").alias("text"), "held").mapInArrow(py._tokenize, py._DDL).first().asDict()
+    names, pairs = py.Batch(row, 64).many(20)
+    followers = {b for _, text, _ in docs for a, b in zip(tokens(text), tokens(text)[1:]) if a == "the"}
+    assert names.tolist() == [py._Words()[b"the"]] and pairs.tolist() == [len(followers)]
+    hot = py.Hot(names.astype(np.uint64), np.array([3]))
+    alone = py.Batch(row, 64, hot)
+    asked = alone.ask_contexts(0, True)
+    assert len(alone.pair) == sum(t == "the" for _, text, _ in docs for t in tokens(text))
+    every = {r["bucket"]: dict(zip(py.unpack48(r["y"]).tolist(), py._array(r["z"], np.int32).tolist())) for r in py.Batch(row, 64, hot).ask_contexts(0)}
+    for r in asked:
+        got = dict(zip(py.unpack48(r["y"]).tolist(), py._array(r["z"], np.int32).tolist()))
+        assert got and got.items() <= every[r["bucket"]].items()
+    assert sum(int(py._array(r["z"], np.int32).sum()) for r in asked) == sum(t == "the" for i, text, held in docs if not held for t in tokens(text))

@@ -164,9 +164,11 @@ class Batch:
         self.buckets = buckets
         self.hot, self.hot_at = hot, hot.find(self.vocab)
 
-    def pair_up(self) -> None:
+    def pair_up(self, hot_only: bool = False) -> None:
+        """The distinct pairs, or those of hot contexts, and ``pair``: the place of each of the ``tokens`` among them."""
         size = len(self.vocab)
-        pairs, self.pair = np.unique(self.before * size + self.word, return_inverse=True)
+        self.tokens = np.flatnonzero(self.hot_at[self.before] >= 0) if hot_only else slice(None)
+        pairs, self.pair = np.unique(self.before[self.tokens] * size + self.word[self.tokens], return_inverse=True)
         self.pair = self.pair.astype(np.int32)
         self.context, self.follows = (pairs // size).astype(np.int32), (pairs % size).astype(np.int32)
         del self.before, pairs
@@ -184,18 +186,18 @@ class Batch:
 
     def many(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Contexts of at least so many distinct pairs, and their pairs."""
-        self.pair_up()
-        pairs = np.bincount(self.context, minlength=len(self.vocab))
+        size = len(self.vocab)
+        tokens = np.flatnonzero((np.bincount(self.before, minlength=size) >= least)[self.before])  # a context has no more pairs than tokens
+        pairs = np.bincount(np.unique(self.before[tokens] * size + self.word[tokens]) // size, minlength=size)
         at = np.flatnonzero(pairs >= least)
         return self.vocab[at], pairs[at]
 
     def ask_contexts(self, name: int, hot_only: bool = False) -> list[dict]:
-        self.pair_up()
-        pairs = np.bincount(self.pair[self.trained()], minlength=len(self.context)).astype(np.int32)
+        self.pair_up(hot_only)
+        pairs = np.bincount(self.pair[self.trained()[self.tokens]], minlength=len(self.context)).astype(np.int32)
         out = []
         for b in range(self.buckets):
             at = self.pair_order[self.pair_cuts[b] : self.pair_cuts[b + 1]]
-            at = at[self.in_hot[at]] if hot_only else at
             if len(at):
                 first = np.flatnonzero(np.r_[True, np.diff(self.context[at]) != 0])
                 runs = np.diff(np.r_[first, len(at)]).astype(np.int32)
@@ -294,8 +296,9 @@ class Seating:
         return (STRENGTH + DISCOUNT * here * self.scale[context]) * (over + self.base) / (STRENGTH + self.total - closed + elsewhere)
 
     def _count(self, p: np.ndarray, by: int) -> None:
-        np.add.at(self.here, self.context[p], by)
-        np.add.at(self.of_word, self.word[p], by)
+        # ``at`` is fast only if the number has the type of the array.
+        np.add.at(self.here, self.context[p], float(by))
+        np.add.at(self.of_word, self.word[p], float(by))
         self.total += by * len(p)
 
     def sweep(self) -> None:
@@ -328,31 +331,33 @@ class Seating:
         before, q = self.t[p], np.zeros(0, np.int32)
         if not first:
             old = self.table[i]
-            np.subtract.at(self.size, old, 1)
+            np.subtract.at(self.size, old, np.int32(1))
             self.table[i] = -1
-            np.subtract.at(self.seated, p, 1)
+            np.subtract.at(self.seated, p, np.int64(1))
             closed = np.unique(old[self.size[old] == 0])
             q = self.pair[closed]
             self.free[self.first[q] + self.c[q] - self.t[q] + _places(q)] = closed
-            np.subtract.at(self.t, q, 1)
+            np.subtract.at(self.t, q, np.int64(1))
         pull, n = self.pull(p, before - self.t[p]), self.seated[p]
         self._count(q, -1)
         new = rng.random(len(i)) * (pull + n - DISCOUNT * self.t[p]) < pull
         seat = np.empty(len(i), np.int32)
         at = np.flatnonzero(~new)
-        among = n if first else self.c[p]  # in the first sweep the seated are those of lower ranks
+        among = n[at] if first else self.c[p[at]]  # in the first sweep the seated are those of lower ranks
+        low = self.first[p[at]]
         while len(at):  # the table of any customer, refused by the share of the discount in it
-            table = self.table[self.first[p[at]] + (rng.random(len(at)) * among[at]).astype(np.int64)]
+            table = self.table[low + (rng.random(len(at)) * among).astype(np.int64)]
             size = self.size[table]
             taken = (table >= 0) & (rng.random(len(at)) * size < size - DISCOUNT)
             seat[at[taken]] = table[taken]
-            at = at[~taken]
+            left = np.flatnonzero(~taken)
+            at, low, among = at[left], low[left], among[left]
         q = p[new]
         seat[new] = self.free[self.first[q] + self.c[q] - self.t[q] - 1 - _places(q)]
-        np.add.at(self.size, seat, 1)
+        np.add.at(self.size, seat, np.int32(1))
         self.table[i] = seat
-        np.add.at(self.seated, p, 1)
-        np.add.at(self.t, q, 1)
+        np.add.at(self.seated, p, np.int64(1))
+        np.add.at(self.t, q, np.int64(1))
         self._count(q, 1)
 
     def _move_block(self, p: int, block: int, first: bool) -> None:
@@ -466,7 +471,7 @@ def _words(buckets: int):
         count = np.bincount(word, np.concatenate([_array(r["y"], np.int32) for r in asked])).astype(np.int64)
         customers = np.zeros(len(kinds))
         for r in sent:  # every word with tables is a word of some batch
-            np.add.at(customers, np.searchsorted(kinds, unpack48(r["x"])), _array(r["y"], np.float32))
+            np.add.at(customers, np.searchsorted(kinds, unpack48(r["x"])), _array(r["y"], np.float32).astype(float))
         known = int((count > 0).sum())
         rng = np.random.default_rng(rows[0]["bucket"] + (1 << 20))
         # The parent's base is uniform; its number of tables is hardly more than one for each word.
