@@ -181,3 +181,24 @@ def test_hot_contexts_need_only_their_own_tokens(spark):
         got = dict(zip(py.unpack48(r["y"]).tolist(), py._array(r["z"], np.int32).tolist()))
         assert got and got.items() <= every[r["bucket"]].items()
     assert sum(int(py._array(r["z"], np.int32).sum()) for r in asked) == sum(t == "the" for i, text, held in docs if not held for t in tokens(text))
+
+
+@pytest.mark.parametrize("most", [40, 10**9])
+def test_batches_hold_every_token(monkeypatch, most):
+    monkeypatch.setattr(py, "BATCH", most)
+    monkeypatch.setattr(py, "TEXTS", 7)
+    monkeypatch.setattr(py, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": classmethod(lambda cls: 0)}))
+    rng = random.Random(5)
+    parts = ["a", "Be", "ÜN", "the", "\x1f", "\x85", "\u00a0", "\0", "x" * 300]
+    texts = [None, "", " \t", " a\n", "\x0b\x0cA\r"] + ["".join(rng.choice(parts) + rng.choice([" ", "\n\n", "\t", " \r\n"]) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    source = [py.pa.record_batch({"doc_id": list(range(a, b)), "text": py.pa.array([t and t.encode() for t in texts[a:b]], py.pa.binary()), "held": [False] * (b - a)}) for a, b in ((0, 5), (5, 5), (5, 45)) if b > a]
+    got, sizes = {}, []
+    for batch in py._tokenize(iter(source)):
+        row = batch.to_pylist()[0]
+        own = py.Batch(row, 4)
+        sizes.append(own.length.sum())
+        assert row["n"] == sizes[-1] and (np.diff(np.bincount(own.word)) <= 0).all()
+        for key, start, n in zip(row["doc_id"], own.start, own.length):
+            got[key] = own.vocab[own.word[start : start + n]].tolist()
+    assert got == {i: [py._Words()[t.encode()] if t else 0 for t in tokens(text)] for i, text in enumerate(texts)}
+    assert len(sizes) > 5 if most == 40 else len(sizes) == 1

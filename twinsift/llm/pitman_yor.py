@@ -30,6 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -50,6 +51,9 @@ ROUNDS, HEAVY, BLOCKS = 256, 16_384, 64
 #: Tokens of a batch, and pairs that a bucket has on average.
 BATCH, BUCKET = 3_000_000, 1_200_000
 
+#: Texts that are split into words at once.
+TEXTS = 2048
+
 #: Pairs, counted in every batch that has them, from which a context is hot, and those of a slice of it.
 HOT_PAIRS, SLICE = 300_000, 100_000
 
@@ -108,41 +112,67 @@ class Hot(NamedTuple):
         return np.bincount(self.find(names), values, minlength=len(self.names))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_500_000:
-            self.clear()
-        value = self[word] = (xxhash.xxh64_intdigest(word) & _MASK) or 1
-        return value
+class _Words:
+    """The hashes of words, of one or of many. None is 0."""
+
+    def __getitem__(self, word: bytes) -> int:
+        return int(self.all([word])[0])
+
+    def all(self, words: list[bytes] | np.ndarray) -> np.ndarray:
+        return np.maximum(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) & np.uint64(_MASK), np.uint64(1))
+
+
+def _split(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the first of them the end, each token's place among them, and the tokens of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, b"").view(pa.string())))
+    found = lists.flatten()
+    kept = pc.not_equal(pc.binary_length(found), 0)  # white space around a text leaves empty words
+    whose = pc.list_parent_indices(lists).filter(kept).to_numpy()
+    coded = found.filter(kept).dictionary_encode()
+    length = np.bincount(whose, minlength=len(text)) + 1
+    place = np.zeros(int(length.sum()), np.int32)
+    place[np.arange(len(whose)) + whose] = coded.indices.to_numpy() + 1
+    kinds = _Words().all(coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False))
+    return np.r_[np.zeros(1, np.uint64), kinds], place, length
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches: documents, the vocabulary by falling frequency, and each token's place in it.
     The end of a text is the word 0."""
-    words, ids, held, tokens, n, k = _Words(), [], [], [], 0, 0
+    ids, held, length, kinds, places, n, k = [], [], [], [], [], 0, 0
 
     def flush() -> pa.RecordBatch:
-        vocab, place, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-        order = np.argsort(-count, kind="stable")
-        rank = np.empty(len(order), np.uint32)
+        vocab, number = np.unique(np.concatenate(kinds), return_inverse=True)
+        first = np.cumsum([0, *map(len, kinds)])
+        place = np.concatenate([number[at + own] for at, own in zip(first, places)])
+        count = np.bincount(place, minlength=len(vocab))
+        known = np.flatnonzero(count)  # a text may be cut from the batch that its words came with
+        order = known[np.argsort(-count[known], kind="stable")]
+        rank = np.empty(len(vocab), np.uint32)
         rank[order] = np.arange(len(order))
         packed = zlib.compress(rank[place].view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
         name = (TaskContext.get().partitionId() << 32) | k
-        return _rows([dict(batch=name, kind=TOKENS, bucket=-1, doc_id=ids, held=held, length=[len(t) for t in tokens], x=pack48(vocab[order]), y=packed, n=n)])
+        return _rows([dict(batch=name, kind=TOKENS, bucket=-1, doc_id=ids, held=held, length=length, x=pack48(vocab[order]), y=packed, n=n)])
 
     for batch in batches:
-        for key, text, out in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("held").to_pylist()):
-            found = (text.as_py() or b"").lower().split()
-            own = np.zeros(len(found) + 1, np.uint64)
-            own[:-1] = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-            ids.append(key)
-            held.append(out)
-            tokens.append(own)
-            n += len(own)
-            if n >= BATCH:
-                yield flush()
-                ids, held, tokens, n, k = [], [], [], 0, k + 1
-    if tokens:
+        for low in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(low, TEXTS)
+            own, place, sizes = _split(part.column("text"))
+            ends, keys, out, at = np.cumsum(sizes), part.column("doc_id").to_pylist(), part.column("held").to_pylist(), 0
+            while at < len(sizes):
+                begin = int(ends[at - 1]) if at else 0
+                upto = min(int(np.searchsorted(ends, begin + BATCH - n)) + 1, len(sizes))
+                ids += keys[at:upto]
+                held += out[at:upto]
+                length += sizes[at:upto].tolist()
+                kinds.append(own)
+                places.append(place[begin : ends[upto - 1]])
+                n += int(ends[upto - 1]) - begin
+                at = upto
+                if n >= BATCH:
+                    yield flush()
+                    ids, held, length, kinds, places, n, k = [], [], [], [], [], 0, k + 1
+    if ids:
         yield flush()
 
 
@@ -310,7 +340,7 @@ class Seating:
         else:  # a single customer has no other table to go to
             order = np.flatnonzero(self.c[self.pair] > 1)
             turn = self.rank[order] % ROUNDS
-        order = order[np.argsort(turn, kind="stable")].astype(np.int32)
+        order = order[np.argsort(turn.astype(np.int16), kind="stable")].astype(np.int32)  # 16 bits are sorted by radix; turns are below 2,000
         cuts = np.cumsum(np.bincount(turn)) if len(turn) else []
         del turn
         for low, high in zip([0, *cuts[:-1]], cuts):
